@@ -6,7 +6,7 @@ import importlib
 
 from gravitas.plans.registry import ORACLES, QUERIES, Query
 
-MODULES = ["profile_queries"]
+MODULES = ["prepare_queries"]
 
 
 def _load() -> None:
