@@ -47,10 +47,15 @@ def weekend_flag(df: DataFrame, day: str) -> DataFrame:
 
 
 def injury_features(df: DataFrame, total: str, parts: Sequence[str], severe: Sequence[str]) -> DataFrame:
-    """Whether anybody was severely hurt, and the parts in relation to the total."""
+    """Whether anybody was severely hurt, and the parts in relation to the total plus one.
+
+    A total of -1 makes the divisor 0: the rate is then infinite, or missing if the parts are 0 too.
+    """
     if len(parts) < 2:
         raise ValueError("injury features need at least two part columns")
-    rate = F.try_divide(row_sum(parts).cast("double"), (F.col(total) + 1).cast("double"))
+    parts_sum, divisor = row_sum(parts).cast("double"), (F.col(total) + 1).cast("double")
+    endless = F.when(divisor == 0, F.when(parts_sum > 0, F.lit(float("inf"))).when(parts_sum < 0, F.lit(float("-inf"))))
+    rate = F.coalesce(F.try_divide(parts_sum, divisor), endless)
     return df.withColumns({"has_severe_injury": flag(row_sum(severe) > 0), "injury_rate": rate})
 
 

@@ -6,7 +6,7 @@ import importlib
 
 from gravitas.plans.registry import ORACLES, QUERIES, Query
 
-MODULES = ["prepare_queries"]
+MODULES = ["table_queries", "profile_queries", "prepare_queries", "model_queries"]
 
 
 def _load() -> None:

@@ -330,7 +330,8 @@ def _(spark, sf):
     "injury_features",
     on_accidents(
         "select event_id, (injuries_fatal + injuries_incapacitating > 0)::int as has_severe_injury, "
-        f"{r(f'({PARTS_SUM})::double / nullif(injuries_total + 1, 0)')} as injury_rate from accidents"
+        f"case when injuries_total = -1 then case when {PARTS_SUM} > 0 then 'inf'::double end "
+        f"else {r(f'({PARTS_SUM})::double / (injuries_total + 1)')} end as injury_rate from accidents"
     ),
 )
 def _(spark, sf):
