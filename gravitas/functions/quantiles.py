@@ -27,7 +27,11 @@ def few_distinct(df: DataFrame, cols: Sequence[str], limit: int | None = None) -
     """Whether every column's distinct values fit an in-task buffer, with room for the sketch's own error."""
     limit = DISTINCT_LIMIT if limit is None else limit
     row = df.agg(*[F.approx_count_distinct(F.col(c), 0.05).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-    return all(v * 1.2 <= limit for v in row)
+    return all(is_few(v, limit) for v in row)
+
+
+def is_few(sketched: int, limit: int | None = None) -> bool:
+    return sketched * 1.2 <= (DISTINCT_LIMIT if limit is None else limit)
 
 
 @dataclass
@@ -234,10 +238,13 @@ def _finish(data: DataFrame, by: Sequence[str], open_: dict) -> None:
 
 
 def fit_quantiles(
-    df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()
+    df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), few: bool | None = None
 ) -> dict[tuple, dict[str, list[float | None]]]:
-    """Exact quantiles on the driver, one small row per group, by whichever way the sketch allows."""
-    if not few_distinct(df, cols):
+    """Exact quantiles on the driver, one small row per group, by whichever way the sketch allows.
+
+    ``few`` is what an earlier pass already found out about the number of distinct values.
+    """
+    if not (few_distinct(df, cols) if few is None else few):
         return narrow_quantiles(df, cols, probs, by)
     plist = F.array(*[F.lit(float(p)) for p in probs])
     aggs = [F.percentile(F.col(c).cast("double"), plist).alias(f"q{i}") for i, c in enumerate(cols)]

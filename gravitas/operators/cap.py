@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gravitas import preset
-from gravitas.functions.columns import clip, count_where
+from gravitas.functions.columns import clip, count_where, percent
 from gravitas.functions.quantiles import fit_quantiles
-from gravitas.operators.outliers import iqr_bounds, outside
+from gravitas.operators.distributions import per_feature
+from gravitas.operators.outliers import outside
 
 # Fixed value: scale of the modified z-score.
 MAD_SCALE = 0.6745
@@ -20,72 +21,87 @@ SUMMARY = (
 
 
 class Capper:
-    """Bounds per column that has at least one outlier: (count, percent, lower, upper)."""
+    """Bounds per column that has at least one outlier, and the condition that finds them."""
 
-    def __init__(self, method: str, bounds: dict[str, tuple[int, float, float, float]]):
+    def __init__(self, method: str, bounds: dict[str, tuple[float, float, Column]]):
         self.method = method
         self.bounds = bounds
 
     def transform(self, df: DataFrame) -> DataFrame:
-        new = {c: clip(F.col(c), lo, hi) for c, (_, _, lo, hi) in self.bounds.items()}
+        new = {c: clip(F.col(c), lo, hi) for c, (lo, hi, _) in self.bounds.items()}
         return df.withColumns(new) if new else df
 
     def summary(self, df: DataFrame) -> DataFrame:
-        rows = [(c, n, p, self.method, float(lo), float(hi)) for c, (n, p, lo, hi) in self.bounds.items()]
-        return df.sparkSession.createDataFrame(rows, SUMMARY)
+        """Outliers in the table the bounds were fitted on, counted in one pass."""
+        if not self.bounds:
+            return df.sparkSession.createDataFrame([], SUMMARY)
+
+        def build(c: str) -> dict[str, Column]:
+            lo, hi, hit = self.bounds[c]
+            return {
+                "outliers_detected": count_where(hit), "outliers_percent": percent(count_where(hit), F.count("*")),
+                "method": F.first(F.lit(self.method)), "lower_bound": F.first(F.lit(float(lo))), "upper_bound": F.first(F.lit(float(hi))),
+            }
+
+        return per_feature(df, list(self.bounds), build)
 
 
 def fit_cap(df: DataFrame, cols: Sequence[str], method: str = "iqr", threshold: float = preset.IQR_FACTOR) -> Capper:
-    if method == "none":
+    """Bounds from quantiles or moments. Whether a column has outliers at all follows from its extremes."""
+    if method == "none" or not cols:
         return Capper(method, {})
     if method == "iqr":
-        tests = {c: (lo, hi, outside(c, lo, hi)) for c, (_, _, lo, hi) in iqr_bounds(df, cols, threshold).items()}
-    elif method == "zscore":
-        tests = _zscore_tests(df, cols, threshold)
-    elif method == "robust":
-        tests = _mad_tests(df, cols, threshold)
-    else:
-        raise ValueError(f"unknown method {method!r}; use iqr, zscore, robust or none")
-    if not tests:
-        return Capper(method, {})
-    row = df.agg(F.count("*").alias("__rows"), *[count_where(t).alias(f"__{i}") for i, (_, _, t) in enumerate(tests.values())]).first()
-    found = {}
-    for i, (c, (lo, hi, _)) in enumerate(tests.items()):
-        n = row[f"__{i}"]
-        if n > 0:
-            found[c] = (n, n * 100.0 / row["__rows"], lo, hi)
-    return Capper(method, found)
+        return Capper(method, _iqr_bounds(df, cols, threshold))
+    if method == "zscore":
+        return Capper(method, _zscore_bounds(df, cols, threshold))
+    if method == "robust":
+        return Capper(method, _mad_bounds(df, cols, threshold))
+    raise ValueError(f"unknown method {method!r}; use iqr, zscore, robust or none")
+
+
+def _fitted(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, list[float]]:
+    rows = next(iter(fit_quantiles(df, cols, probs).values()), {})
+    return {c: v for c, v in rows.items() if v[0] is not None}
+
+
+def _iqr_bounds(df: DataFrame, cols: Sequence[str], t: float) -> dict:
+    out = {}
+    for c, (low, q1, q3, high) in _fitted(df, cols, [0.0, 0.25, 0.75, 1.0]).items():
+        lo, hi = q1 - t * (q3 - q1), q3 + t * (q3 - q1)
+        if low < lo or high > hi:
+            out[c] = (lo, hi, outside(c, lo, hi))
+    return out
 
 
-def _zscore_tests(df: DataFrame, cols: Sequence[str], t: float) -> dict:
+def _zscore_bounds(df: DataFrame, cols: Sequence[str], t: float) -> dict:
     """Outlying by the population deviation, capped at bounds from the sample deviation; a column with nulls has none."""
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
-        aggs += [
-            F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"),
-            F.stddev_pop(x).alias(f"p{i}"), F.stddev_samp(x).alias(f"s{i}"),
-        ]
+        figures = {"n": F.count(x), "m": F.avg(x), "p": F.stddev_pop(x), "s": F.stddev_samp(x), "l": F.min(x), "h": F.max(x)}
+        aggs += [e.alias(f"{n}{i}") for n, e in figures.items()]
     row = df.agg(F.count("*").alias("__rows"), *aggs).first()
     out = {}
     for i, c in enumerate(cols):
         mean, pop, samp = row[f"m{i}"], row[f"p{i}"], row[f"s{i}"]
-        if row[f"n{i}"] == row["__rows"] and pop:
+        if row[f"n{i}"] < row["__rows"] or not pop:
+            continue
+        if max(mean - row[f"l{i}"], row[f"h{i}"] - mean) / pop > t:
             hit = F.abs((F.col(c) - F.lit(mean)) / F.lit(pop)) > F.lit(float(t))
             out[c] = (mean - t * samp, mean + t * samp, hit)
     return out
 
 
-def _mad_tests(df: DataFrame, cols: Sequence[str], t: float) -> dict:
+def _mad_bounds(df: DataFrame, cols: Sequence[str], t: float) -> dict:
     """Modified z-score around the median. A column whose MAD is 0 is left alone: its bounds would erase every value."""
-    mids = {c: v[0] for c, v in next(iter(fit_quantiles(df, cols, [0.5]).values()), {}).items() if v[0] is not None}
+    mids = {c: v[0] for c, v in _fitted(df, cols, [0.5]).items()}
     if not mids:
         return {}
     spread = df.select(*[F.abs(F.col(c) - F.lit(m)).alias(c) for c, m in mids.items()])
-    mads = {c: v[0] for c, v in next(iter(fit_quantiles(spread, list(mids), [0.5]).values()), {}).items()}
     out = {}
-    for c, m in mids.items():
-        if mads[c]:
-            hit = F.abs(F.lit(MAD_SCALE) * (F.col(c) - F.lit(m)) / F.lit(mads[c])) > F.lit(float(t))
-            out[c] = (m - t * mads[c] / MAD_SCALE, m + t * mads[c] / MAD_SCALE, hit)
+    for c, (mad, far) in _fitted(spread, list(mids), [0.5, 1.0]).items():
+        if mad and MAD_SCALE * far / mad > t:
+            m = mids[c]
+            hit = F.abs(F.lit(MAD_SCALE) * (F.col(c) - F.lit(m)) / F.lit(mad)) > F.lit(float(t))
+            out[c] = (m - t * mad / MAD_SCALE, m + t * mad / MAD_SCALE, hit)
     return out

@@ -2,33 +2,87 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gravitas import preset
-from gravitas.functions.columns import pearson
 
-PAIRS_PER_PASS = 200
+MOMENTS = "a int, b int, n double, mean_a double, mean_b double, m_aa double, m_bb double, m_ab double"
+
+
+def _pair_moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Count, means and centred second moments of every pair over a task's rows, by matrix products.
+
+    A pair uses the rows in which both are known. Values are taken relative to the first known one of the task, so
+    that large offsets do not cost precision and a constant column has a moment of exactly 0.
+    """
+    total = shift = None
+    for pdf in batches:
+        x = pdf.to_numpy(dtype=float)
+        if not len(x):
+            continue
+        known = ~np.isnan(x)
+        if shift is None:
+            shift = np.full(x.shape[1], np.nan)
+        new = np.isnan(shift) & known.any(axis=0)
+        shift[new] = x[known.argmax(axis=0), np.arange(x.shape[1])][new]
+        z = np.where(known, x - shift, 0.0)
+        m = known.astype(float)
+        part = np.stack([m.T @ m, z.T @ m, (z * z).T @ m, z.T @ z])
+        total = part if total is None else total + part
+    if total is None:
+        return
+    a, b = np.triu_indices(len(shift), 1)
+    n = total[0][a, b]
+    a, b, n = a[n > 0], b[n > 0], n[n > 0]
+    sa, sb = total[1][a, b], total[1][b, a]
+    yield pd.DataFrame(
+        {
+            "a": a, "b": b, "n": n, "mean_a": shift[a] + sa / n, "mean_b": shift[b] + sb / n,
+            "m_aa": total[2][a, b] - sa * sa / n, "m_bb": total[2][b, a] - sb * sb / n, "m_ab": total[3][a, b] - sa * sb / n,
+        }
+    )
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Upper triangle in long form; each pair uses the rows in which both are known. Null where undefined."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-    out = None
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        batch = pairs[start : start + PAIRS_PER_PASS]
-        wide = df.agg(*[pearson(F.col(a), F.col(b)).alias(f"r{i}") for i, (a, b) in enumerate(batch)])
-        rows = [
-            F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"), F.col(f"r{i}").alias("correlation"))
-            for i, (a, b) in enumerate(batch)
-        ]
-        long = wide.select(F.inline(F.array(*rows)))
-        out = long if out is None else out.unionByName(long)
-    if out is None:
+    """Upper triangle in long form; each pair uses the rows in which both are known. Null where undefined.
+
+    One pass for any number of columns: a task sends one row per pair. The same as aggregate expressions needs three
+    of them per pair, too much code to compile for more than a few columns.
+    """
+    if len(cols) < 2:
         raise ValueError("correlation needs two numeric columns")
-    return out
+    partial = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).mapInPandas(_pair_moments, MOMENTS)
+    pair = Window.partitionBy("a", "b")
+
+    def centre(mean: str) -> Column:
+        return F.sum(F.col("n") * F.col(mean)).over(pair) / F.sum("n").over(pair)
+
+    apart = partial.withColumns({"da": F.col("mean_a") - centre("mean_a"), "db": F.col("mean_b") - centre("mean_b")})
+
+    def whole(own: str, x: str, y: str) -> Column:
+        return F.sum(F.col(own) + F.col("n") * F.col(x) * F.col(y))
+
+    def varies(own: str, mean: str) -> Column:
+        return (F.max(own) > 0) | (F.max(mean) > F.min(mean))
+
+    r = whole("m_ab", "da", "db") / F.nullif(
+        F.sqrt(F.greatest(whole("m_aa", "da", "da"), F.lit(0.0))) * F.sqrt(F.greatest(whole("m_bb", "db", "db"), F.lit(0.0))),
+        F.lit(0.0),
+    )
+    defined = varies("m_aa", "mean_a") & varies("m_bb", "mean_b")
+    seen = apart.groupBy("a", "b").agg(F.when(defined, F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0))).alias("correlation"))
+    label = F.array(*[F.lit(c) for c in cols])
+    listed = df.sparkSession.createDataFrame(
+        [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))], "a int, b int"
+    )
+    return listed.join(seen, ["a", "b"], "left").select(
+        label[F.col("a")].alias("feature_1"), label[F.col("b")].alias("feature_2"), "correlation"
+    )
 
 
 def strong_correlations(matrix: DataFrame, k: int = 10) -> DataFrame:
@@ -46,12 +100,11 @@ def multicollinearity(matrix: DataFrame) -> DataFrame:
     return matrix.where(F.abs("correlation") > preset.COLLINEAR)
 
 
-def target_correlations(df: DataFrame, cols: Sequence[str], target: str, k: int = 5) -> DataFrame:
+def target_correlations(matrix: DataFrame, target: str, k: int = 5) -> DataFrame:
     """The k largest positive and the k largest negative correlations with a numeric target."""
-    others = [c for c in cols if c != target]
-    wide = df.agg(*[pearson(F.col(c), F.col(target)).alias(f"r{i}") for i, c in enumerate(others)])
-    rows = [F.struct(F.lit(c).alias("feature"), F.col(f"r{i}").alias("correlation")) for i, c in enumerate(others)]
-    long = wide.select(F.inline(F.array(*rows)))
+    first, second = F.col("feature_1"), F.col("feature_2")
+    other = F.when(first == target, second).when(second == target, first)
+    long = matrix.select(other.alias("feature"), "correlation").where(F.col("feature").isNotNull())
     order = [F.round(F.abs("correlation"), 9).desc(), F.col("feature")]
     return long.where("correlation > 0").orderBy(*order).limit(k).unionByName(
         long.where("correlation < 0").orderBy(*order).limit(k)

@@ -26,8 +26,10 @@ def pair_counts(df: DataFrame, a: str, b: str) -> DataFrame:
 def dense(counts: DataFrame) -> DataFrame:
     """All combinations of the observed a and b values, absent ones with 0.
 
-    The values of b are the columns of the table a reader sees; more than MAX_CATEGORIES of them is an error.
+    The values of b are the columns of the table a reader sees; more than MAX_CATEGORIES of them is an error. The
+    condition on n, always true, keeps the count in every branch, so that all of them share one aggregate of the table.
     """
+    counts = counts.where("n > 0")
     seen = counts.select("b").distinct().limit(MAX_CATEGORIES + 1).agg(F.sort_array(F.collect_set("b")).alias("bs"))
     checked = seen.select(
         F.when(F.size("bs") <= MAX_CATEGORIES, F.col("bs")).otherwise(
@@ -54,16 +56,27 @@ def crosstab_wide(df: DataFrame, a: str, b: str, categories: Sequence) -> DataFr
     return counted.na.fill(0)
 
 
-def top_values(df: DataFrame, col: str, k: int) -> DataFrame:
-    counted = df.where(F.col(col).isNotNull()).groupBy(F.col(col)).agg(F.count("*").alias("__n"))
-    return counted.orderBy(F.desc("__n"), col).limit(k).select(col)
+def top_values(df: DataFrame, tops: dict[str, int]) -> dict[str, list]:
+    """The k commonest values of each column, all from one pass."""
+    sets = df.groupingSets([[F.col(c)] for c in tops], *tops).agg(F.grouping_id().alias("g"), F.count("*").alias("n"))
+    # A column's bit is 0 in the grouping that counts it.
+    bits = {c: sum(1 << i for i, o in enumerate(reversed(list(tops))) if o != c) for c in tops}
+    limit: Column = F.lit(0)
+    value: Column = F.lit(None).cast("string")
+    for c, k in tops.items():
+        limit = F.when(F.col("g") == bits[c], k).otherwise(limit)
+        value = F.when(F.col("g") == bits[c], F.col(c).isNotNull()).otherwise(value)
+    known = sets.where(F.coalesce(value.cast("boolean"), F.lit(False)))
+    place = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("n"), *tops))
+    rows = known.withColumn("place", place).where((F.col("place") <= max(tops.values())) & (F.col("place") <= limit)).collect()
+    return {c: [r[c] for r in rows if r["g"] == bits[c]] for c in tops}
 
 
 def keep_top_values(df: DataFrame, tops: dict[str, int]) -> DataFrame:
-    """Rows whose value is among the k commonest, for each column; the kept lists have k rows, so they broadcast."""
+    """Rows whose value is among the k commonest, for each column; the short lists become filters of the scan."""
     out = df
-    for c, k in tops.items():
-        out = out.join(F.broadcast(top_values(df, c, k)), c, "left_semi")
+    for c, values in top_values(df, tops).items():
+        out = out.where(F.col(c).isin(values))
     return out
 
 
@@ -131,15 +144,18 @@ def not_mode(df: DataFrame, col: str) -> DataFrame:
 def interaction_counts(df: DataFrame, hour: str, day: str, weather: str) -> DataFrame:
     """Weekend nights with their percent of all rows, and rush hours in other than the usual weather."""
     h, d = F.col(hour), F.col(day)
-    rush = is_morning_rush(h) | is_evening_rush(h)
-    usual = mode_of(df, weather).scalar()
-    marked = df.select(
-        (d.isin(*preset.WEEKEND) & is_night(h)).alias("wn"), (rush & ~F.col(weather).eqNullSafe(usual)).alias("rb")
+    per = df.groupBy(F.col(weather).alias("w")).agg(
+        F.count("*").alias("n"),
+        count_where(d.isin(*preset.WEEKEND) & is_night(h)).alias("weekend_nights"),
+        count_where(is_morning_rush(h) | is_evening_rush(h)).alias("rush"),
     )
-    return marked.agg(
-        count_where(F.col("wn")).alias("weekend_nights"),
-        percent(count_where(F.col("wn")), F.count("*")).alias("weekend_night_percent"),
-        count_where(F.col("rb")).alias("rush_hour_bad_weather"),
+    # The usual weather's rush hours are taken off the rush hours of all weathers.
+    usual = arg_max(F.col("rush"), F.when(F.col("w").isNotNull(), F.col("n")), ties=F.col("w"))
+    nights = F.sum("weekend_nights")
+    return per.agg(
+        nights.alias("weekend_nights"),
+        percent(nights, F.sum("n")).alias("weekend_night_percent"),
+        (F.sum("rush") - F.coalesce(usual, F.lit(0))).alias("rush_hour_bad_weather"),
     )
 
 

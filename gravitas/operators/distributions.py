@@ -113,7 +113,8 @@ def profile_categorical(df: DataFrame, col: str, top: int = 5) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing"),
         arg_max("value", F.when(F.col("value").isNotNull(), F.col("n"))).alias("most_frequent"),
     )
-    best = counted.where(F.col("value").isNotNull()).orderBy(F.desc("n"), "value").limit(top)
+    # Nulls sort last and are dropped after the limit, so both branches share one aggregate of the table.
+    best = counted.orderBy(F.col("value").isNull(), F.desc("n"), "value").limit(top).where(F.col("value").isNotNull())
     whole = facts.select(F.struct("*")).scalar()
     return best.withColumn("f", whole).select(
         "value", "n", percent(F.col("n"), F.col("f.rows")).alias("percent"),

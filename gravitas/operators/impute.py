@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from gravitas import preset
 from gravitas.functions.buckets import with_range_bucket
 from gravitas.functions.columns import numeric_columns, string_columns
-from gravitas.functions.quantiles import fit_quantiles
+from gravitas.functions.quantiles import fit_quantiles, is_few
 from gravitas.operators.reshape import arg_max
 
 SUMMARY = "feature string, method string, fill_value string, missing_count long"
@@ -26,16 +26,22 @@ def modes(df: DataFrame, cols: Sequence[str]) -> dict[str, str]:
     return {r["feature"]: r["mode"] for r in counted.groupBy("feature").agg(arg_max("value", "n").alias("mode")).collect()}
 
 
-def medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
+def medians(df: DataFrame, cols: Sequence[str], few: bool | None = None) -> dict[str, float]:
     if not cols:
         return {}
-    fitted = next(iter(fit_quantiles(df, cols, [0.5]).values()), {})
+    fitted = next(iter(fit_quantiles(df, cols, [0.5], few=few).values()), {})
     return {c: v[0] for c, v in fitted.items() if v[0] is not None}
 
 
-def null_counts(df: DataFrame, cols: Sequence[str]) -> tuple[int, dict[str, int]]:
-    row = df.agg(F.count("*").alias("__rows"), *[F.count(F.col(c)).alias(f"__{i}") for i, c in enumerate(cols)]).first()
-    return row["__rows"], {c: row["__rows"] - row[f"__{i}"] for i, c in enumerate(cols)}
+def null_counts(df: DataFrame, cols: Sequence[str], sketched: Sequence[str] = ()) -> tuple[int, dict[str, int], dict[str, int]]:
+    """Rows, nulls per column, and about how many distinct values the ``sketched`` columns have, in one pass."""
+    row = df.agg(
+        F.count("*").alias("__rows"),
+        *[F.count(F.col(c)).alias(f"__{i}") for i, c in enumerate(cols)],
+        *[F.approx_count_distinct(F.col(c), 0.05).alias(f"__d{i}") for i, c in enumerate(sketched)],
+    ).first()
+    nulls = {c: row["__rows"] - row[f"__{i}"] for i, c in enumerate(cols)}
+    return row["__rows"], nulls, {c: row[f"__d{i}"] for i, c in enumerate(sketched)}
 
 
 class Imputer:
@@ -68,11 +74,12 @@ def fit_auto(df: DataFrame, mostly_null_percent: float | None = preset.MOSTLY_NU
     With ``mostly_null_percent`` None no column is left out: the mode-median strategy.
     """
     text, numeric = string_columns(df), numeric_columns(df)
-    rows, nulls = null_counts(df, [*text, *numeric])
+    rows, nulls, distinct = null_counts(df, [*text, *numeric], numeric)
     bound = 100.0 if mostly_null_percent is None else mostly_null_percent
     todo = [c for c, n in nulls.items() if 0 < n < rows and n * 100.0 / rows <= bound]
     by_mode = modes(df, [c for c in todo if c in text])
-    by_median = medians(df, [c for c in todo if c in numeric])
+    gaps = [c for c in todo if c in numeric]
+    by_median = medians(df, gaps, all(is_few(distinct[c]) for c in gaps))
     fills: dict[str, tuple[str, object, int]] = {}
     for c in df.columns:
         if c in by_mode:
@@ -84,7 +91,7 @@ def fit_auto(df: DataFrame, mostly_null_percent: float | None = preset.MOSTLY_NU
 
 def fit_mean(df: DataFrame, cols: Sequence[str]) -> Imputer:
     """Mean per numeric column that has nulls."""
-    rows, nulls = null_counts(df, cols)
+    rows, nulls, _ = null_counts(df, cols)
     todo = [c for c in cols if 0 < nulls[c] < rows]
     if not todo:
         return Imputer({})

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gravitas.functions.buckets import running_sums, with_range_bucket
 from gravitas.functions.columns import percent
 from gravitas.operators.reshape import union_all
+from gravitas.session import ensure_checkpoint_dir
 
 # Fixed value: smallest probability a logarithm is taken of, the spacing of doubles at 1.
 SMALLEST = 2.220446049250313e-16
@@ -27,7 +28,8 @@ def outcome_counts(df: DataFrame, actual: str, predicted: str, by: Sequence[str]
 
 def confusion_matrix(df: DataFrame, actual: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
     """Counts over all pairs of classes, with the percent of each actual class; 0 where nothing was counted."""
-    counts = outcome_counts(df, actual, predicted, by)
+    # The condition, always true, keeps the count in every branch: they share one aggregate of the predictions.
+    counts = outcome_counts(df, actual, predicted, by).where("n > 0")
     classes = counts.select(F.explode(F.array("actual", "predicted")).alias("c")).distinct()
     known = classes.agg(F.sort_array(F.collect_set("c"))).scalar()
     models = counts.select(*by, F.lit(1).alias("__one")).distinct()
@@ -125,8 +127,12 @@ def one_vs_rest(df: DataFrame, actual_index: str, probabilities: Column, n_class
 
 
 def roc_cumulative(scores: DataFrame, by: Sequence[str] = (), rows_per_bucket: int | None = None) -> DataFrame:
-    """True and false positives at each distinct score, from the highest down."""
-    ranged = with_range_bucket(scores, "score", rows_per_bucket=rows_per_bucket)
+    """True and false positives at each distinct score, from the highest down.
+
+    The scores are written down first: ranges and sums need several passes, and the predictions are scored only once.
+    """
+    ensure_checkpoint_dir(scores.sparkSession)
+    ranged = with_range_bucket(scores.checkpoint(), "score", rows_per_bucket=rows_per_bucket)
     group = [*by, "class"]
     return running_sums(ranged, group, "bucket", F.col("score").desc(), {"tp": "pos", "fp": "neg"}, descending=True).drop("bucket")
 
@@ -134,8 +140,9 @@ def roc_cumulative(scores: DataFrame, by: Sequence[str] = (), rows_per_bucket: i
 def roc_points(scores: DataFrame, by: Sequence[str] = (), rows_per_bucket: int | None = None) -> DataFrame:
     """Rates at each distinct score; the corner (0, 0) belongs to no score."""
     group = [*by, "class"]
-    sums = scores.groupBy(*group).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    points = roc_cumulative(scores, by, rows_per_bucket).join(F.broadcast(sums), group)
+    cumulated = roc_cumulative(scores, by, rows_per_bucket)
+    sums = cumulated.groupBy(*group).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    points = cumulated.join(F.broadcast(sums), group)
     rated = points.select(
         *group, "score", F.try_divide(F.col("fp").cast("double"), F.col("N")).alias("fpr"),
         F.try_divide(F.col("tp").cast("double"), F.col("P")).alias("tpr"),

@@ -23,11 +23,12 @@ def sort_by_abs(df: DataFrame, by: str, ties: Sequence[str]) -> DataFrame:
     return df.orderBy(F.abs(F.col(by)).desc_nulls_last(), *ties)
 
 
-def arg_max(label: str | Column, measure: str | Column, descending_ties: Column | None = None) -> Column:
-    """Label of the largest measure; among equal ones the smallest label, as an aggregate."""
+def arg_max(label: str | Column, measure: str | Column, ties: Column | None = None) -> Column:
+    """Label of the largest measure, as an aggregate; among equal ones the smallest ``ties``, by default the label."""
     lab = F.col(label) if isinstance(label, str) else label
     val = F.col(measure) if isinstance(measure, str) else measure
-    return F.min_by(lab, F.when(val.isNotNull(), F.struct((-val).alias("m"), lab.alias("l"))))
+    then = lab if ties is None else ties
+    return F.min_by(lab, F.when(val.isNotNull(), F.struct((-val).alias("m"), then.alias("l"))))
 
 
 def union_all(*parts: DataFrame) -> DataFrame:

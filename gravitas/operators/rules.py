@@ -24,7 +24,8 @@ def domain_rules(df: DataFrame, rules: Sequence[Rule], examples: int = 5) -> Dat
             bad = bad | (F.col(c) > F.lit(hi))
         tests.append(F.struct(F.lit(c).alias("feature"), F.when(bad, F.col(c).cast("double")).alias("value")))
     long = df.select(F.inline(F.array(*tests))).where(F.col("value").isNotNull())
-    values = long.groupBy("feature", "value").agg(F.count("*").alias("n"))
+    # The condition, always true, keeps the count in both branches below: they share one aggregate of the table.
+    values = long.groupBy("feature", "value").agg(F.count("*").alias("n")).where("n > 0")
     place = F.row_number().over(Window.partitionBy("feature").orderBy("value"))
     shown = (
         values.withColumn("p", place)

@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from gravitas import preset
 from gravitas.functions.hashing import order_key
 
+FIRST_STEP = 2
 STEP = 3
 LEAF_ROWS = 100_000
-MAX_CLASSES = 10_000
+MAX_CLASSES = 1_000
 
 
 def class_counts(df: DataFrame, target: str) -> dict:
@@ -27,15 +28,45 @@ def class_counts(df: DataFrame, target: str) -> dict:
     return {r[target]: r["n"] for r in rows}
 
 
-def cut_keys(df: DataFrame, target: str, row_id: str, cuts: dict, seed: int = preset.SEED, leaf_rows: int | None = None) -> dict:
+def prefix_counts(df: DataFrame, target: str, row_id: str, seed: int) -> dict[object, list[tuple[str, int]]]:
+    """Rows per class and first digits of the order key; at most 256 entries per class, so they fit the driver."""
+    keyed = df.where(F.col(target).isNotNull()).select(
+        F.col(target).alias("c"), F.substring(order_key(F.col(row_id), seed), 1, FIRST_STEP).alias("q")
+    )
+    counted = keyed.groupBy("c", "q").agg(F.count("*").alias("n"))
+    rows = counted.limit(MAX_CLASSES * 16**FIRST_STEP + 1).collect()
+    out: dict = {}
+    for r in rows:
+        out.setdefault(r["c"], []).append((r["q"], r["n"]))
+    if len(out) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes in {target!r}")
+    return {c: sorted(qs) for c, qs in out.items()}
+
+
+def _locate(rank: int, before: int, counted: Sequence[tuple[str, int]]) -> tuple[str, int, int]:
+    """Prefix that holds a rank, the rows before it and in it."""
+    for q, n in counted:
+        if rank <= before + n:
+            return q, before, n
+        before += n
+    raise ValueError("rank beyond the class")
+
+
+def cut_keys(
+    df: DataFrame, target: str, row_id: str, cuts: dict, seed: int = preset.SEED, leaf_rows: int | None = None,
+    first: dict | None = None,
+) -> dict:
     """For each class the keys at the given ranks: ``{class: {rank: key}}``; rank 1 is the first row in the order."""
     leaf = LEAF_ROWS if leaf_rows is None else leaf_rows
     keyed = df.select(F.col(target).alias("c"), order_key(F.col(row_id), seed).alias("k"))
-    # Open searches as (class, rank): (prefix, rows of the class before the prefix, rows in it)
     found: dict = {c: {} for c in cuts}
-    open_ = {(c, rank): ("", 0, None) for c, ranks in cuts.items() for rank in ranks if rank > 0}
+    if not any(rank > 0 for ranks in cuts.values() for rank in ranks):
+        return found
+    counted = first if first is not None else prefix_counts(df, target, row_id, seed)
+    # Open searches as (class, rank): (prefix, rows of the class before the prefix, rows in it)
+    open_ = {(c, rank): _locate(rank, 0, counted[c]) for c, ranks in cuts.items() for rank in ranks if rank > 0}
     while open_:
-        deep = {s: p for s, p in open_.items() if p[2] is None or p[2] > leaf}
+        deep = {s: p for s, p in open_.items() if p[2] > leaf}
         if deep:
             open_ |= _descend(keyed, deep)
             continue
@@ -60,9 +91,6 @@ def cut_keys(df: DataFrame, target: str, row_id: str, cuts: dict, seed: int = pr
 
 def _inside(keyed: DataFrame, prefixes: Sequence[tuple]) -> DataFrame:
     """Rows under one of the prefixes, with the prefix as ``p``; the list has one entry per open cut."""
-    if all(p == "" for _, p in prefixes):
-        classes = [c for c, _ in prefixes]
-        return keyed.where(F.col("c").isin(classes)).withColumn("p", F.lit(""))
     size = len(prefixes[0][1])
     side = keyed.sparkSession.createDataFrame(prefixes, f"c {keyed.schema['c'].dataType.simpleString()}, p string")
     return keyed.withColumn("p", F.substring("k", 1, size)).join(F.broadcast(side), ["c", "p"], "left_semi")
@@ -75,14 +103,7 @@ def _descend(keyed: DataFrame, deep: dict) -> dict:
     counts: dict = {}
     for r in longer.groupBy("c", "p", "q").agg(F.count("*").alias("n")).orderBy("q").collect():
         counts.setdefault((r["c"], r["p"]), []).append((r["q"], r["n"]))
-    out = {}
-    for (c, rank), (p, before, _) in deep.items():
-        for q, n in counts.get((c, p), []):
-            if rank <= before + n:
-                out[(c, rank)] = (q, before, n)
-                break
-            before += n
-    return out
+    return {(c, rank): _locate(rank, before, counts[(c, p)]) for (c, rank), (p, before, _) in deep.items()}
 
 
 def assign_by_rank(
@@ -93,10 +114,10 @@ def assign_by_rank(
 
     ``parts`` gives, for a class size, the labels with the rank each one ends at, in order; row ids must be unique.
     """
-    sizes = class_counts(df, target)
-    plan = {c: list(parts(n)) for c, n in sizes.items()}
+    first = prefix_counts(df, target, row_id, seed)
+    plan = {c: list(parts(sum(n for _, n in counted))) for c, counted in first.items()}
     cuts = {c: [end for (_, end) in ends[:-1]] for c, ends in plan.items()}
-    keys = cut_keys(df, target, row_id, cuts, seed, leaf_rows)
+    keys = cut_keys(df, target, row_id, cuts, seed, leaf_rows, first)
     kind = df.schema[target].dataType.simpleString()
     label_kind = "int" if all(isinstance(lab, int) for ends in plan.values() for lab, _ in ends) else "string"
     rows = []

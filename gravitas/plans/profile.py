@@ -111,7 +111,7 @@ class Profile:
             "collinear": correlation.multicollinearity(matrix),
         }
         if self.target in numeric:
-            out["target"] = correlation.target_correlations(self.df, numeric, self.target)
+            out["target"] = correlation.target_correlations(matrix, self.target)
         top = out["strong"].first()
         if top:
             self.insights.append(f"Strongest correlation: {top['feature_1']} ↔ {top['feature_2']} ({top['correlation']:.3f})")

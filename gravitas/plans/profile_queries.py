@@ -522,7 +522,7 @@ def target_corr_sql(target: str) -> str:
     ),
 )
 def _(spark, sf):
-    return rounded(correlation.target_correlations(accidents(spark, sf), NUMERIC, "injuries_total"))
+    return rounded(correlation.target_correlations(correlation.correlation_matrix(accidents(spark, sf), NUMERIC), "injuries_total"))
 
 
 def outlier_summary_sql(cols: list[str], table: str) -> str:
