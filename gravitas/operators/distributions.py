@@ -175,7 +175,9 @@ def histogram_bins(df: DataFrame, col: str, bins: int = 30, by: str | None = Non
     keep = df.where(F.col(col).isNotNull())
     if by:
         keep = keep.where(F.col(by).isNotNull())
-    place = F.least(F.floor(F.try_divide(x - F.col("e.lo"), F.col("e.hi") - F.col("e.lo")) * bins) + 1, F.lit(bins))
+    share = F.try_divide(x - F.col("e.lo"), F.nullif(F.col("e.hi") - F.col("e.lo"), F.lit(0.0)))
+    # least skips nulls, so a column of one value is told apart: all of it falls in the first bin.
+    place = F.when(share.isNotNull(), F.least(F.floor(share * bins) + 1, F.lit(bins)))
     group = [by] if by else []
     binned = keep.withColumn("e", ends).select(*group, F.coalesce(place, F.lit(1)).cast("int").alias("bin"))
     counted = binned.groupBy(*group, "bin").agg(F.count("*").alias("n"))

@@ -6,7 +6,6 @@ import time
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 from gravitas import preset
 from gravitas.operators import metrics
 from gravitas.operators.split import class_counts, stratified_folds
-from gravitas.session import ensure_checkpoint_dir
+from gravitas.session import cached, ensure_checkpoint_dir
 
 LABEL, FEATURES, WEIGHT = "label", "features", "class_weight"
 
@@ -85,7 +84,7 @@ def define_models(n_rows: int, profile: Profile = JOB, seed: int = preset.SEED,
 
 @dataclass
 class Prepared:
-    """A table ready for fitting: assembled features, label index and weight, kept for the passes of a fit."""
+    """A table ready for fitting: assembled features, label index and weight."""
 
     frame: DataFrame
     features: list[str]
@@ -106,13 +105,12 @@ def assembler(features: Sequence[str]) -> VectorAssembler:
 
 
 def prepare(df: DataFrame, target: str, features: Sequence[str], indexer: StringIndexerModel | None = None) -> Prepared:
-    """Assemble once and persist: every model and fold then reads the same stored vectors."""
+    """Add features, label index and class weight."""
     ensure_checkpoint_dir(df.sparkSession)
     fitted = indexer or label_indexer(target).fit(df)
     carried = [c for c in ("event_id", "fold") if c in df.columns]
     weighted = with_class_weight(df, target)
-    ready = assembler(features).transform(fitted.transform(weighted)).select(*carried, target, LABEL, WEIGHT, FEATURES)
-    frame = ready.persist(StorageLevel.MEMORY_AND_DISK)
+    frame = assembler(features).transform(fitted.transform(weighted)).select(*carried, target, LABEL, WEIGHT, FEATURES)
     return Prepared(frame, list(features), fitted, frame.count())
 
 
@@ -123,11 +121,13 @@ class Trained:
 
 
 def fit_all(train: Prepared, estimators: Mapping[str, Estimator]) -> Trained:
+    """Fit the models one after the other; the assembled rows are kept while that takes."""
     out = Trained()
-    for name, est in estimators.items():
-        start = time.time()
-        out.models[name] = est.fit(train.frame)
-        out.log.append((name, time.time() - start, train.n_rows, len(train.features), len(train.classes)))
+    with cached(train.frame) as frame:
+        for name, est in estimators.items():
+            start = time.time()
+            out.models[name] = est.fit(frame)
+            out.log.append((name, time.time() - start, train.n_rows, len(train.features), len(train.classes)))
     return out
 
 
@@ -205,7 +205,8 @@ def tune(ready: Prepared, estimator, grid, folds: int = 5, parallelism: int = 2)
     search = CrossValidator(
         estimator=estimator, estimatorParamMaps=grid, evaluator=judge, numFolds=folds, foldCol="fold", parallelism=parallelism
     )
-    return search.fit(ready.frame)
+    with cached(ready.frame) as frame:
+        return search.fit(frame)
 
 
 def tuning_table(df: DataFrame, name: str, search) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from gravitas import preset
@@ -14,7 +13,7 @@ from gravitas.plans.profile_queries import (
     COLUMNS, MEASURES, NIGHT, PARTS_SUM, RISK_CASE, RUSH, T, case_of, pairs_sql, union_all,
 )
 from gravitas.plans.registry import on_accidents, query, r, with_ctes
-from gravitas.session import fresh_path
+from gravitas.session import cached, fresh_path
 from gravitas.sources import sinks, tables
 from gravitas.sources.accidents import accidents
 from gravitas.sources.tables import scan_table
@@ -84,8 +83,9 @@ def _(spark, sf):
 
 @query("cache_source", on_accidents(f"select {T}, count(*) as n from accidents group by 1"))
 def _(spark, sf):
-    kept = accidents(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
-    return kept.groupBy(T).agg(F.count("*").alias("n"))
+    with cached(accidents(spark, sf)) as kept:
+        sizes = split.class_counts(kept, T)
+    return spark.createDataFrame(list(sizes.items()), f"{T} string, n bigint")
 
 
 # --- projections and filters
