@@ -1,7 +1,7 @@
 """Exact linear-interpolated quantiles without holding a column's distinct values in one task.
 
 ``percentile`` keeps every distinct value of a column in its buffer. That is the fast way while the number of distinct
-values is small, which one sketch pass checks. Beyond it each quantile is bracketed by a bounded sketch and the bracket
+values is small, which one survey pass checks with a sketch. Beyond it each quantile is bracketed by a bounded sketch and the bracket
 is verified by exact counts and narrowed, pass by pass, until few distinct values remain between its ends.
 """
 
@@ -23,17 +23,28 @@ def percentile_expr(col: str, prob: float) -> Column:
     return F.percentile(F.col(col).cast("double"), F.lit(prob))
 
 
-def few_distinct(df: DataFrame, cols: Sequence[str], limit: int | None = None) -> bool:
-    """Whether every column's distinct values fit an in-task buffer, with room for the sketch's own error."""
-    limit = DISTINCT_LIMIT if limit is None else limit
-    row = df.agg(*[F.approx_count_distinct(F.col(c), 0.05).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-    return all(is_few(v, limit) for v in row)
-
-
 def is_few(sketched: int, limit: int | None = None) -> bool:
+    """Whether that many distinct values fit an in-task buffer, with room for the sketch's own error."""
     return sketched * 1.2 <= (DISTINCT_LIMIT if limit is None else limit)
 
 
+def survey(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> list:
+    """Per group and column: values, extremes and about how many are distinct (n, lo, hi, d and the column's place)."""
+    stats = []
+    for i, c in enumerate(cols):
+        v = F.col(c).cast("double")
+        stats += [
+            F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"),
+            F.approx_count_distinct(v, 0.05).alias(f"d{i}"),
+        ]
+    return _bounded(df.groupBy(*by).agg(*stats))
+
+
+def few_distinct(surveyed: list, cols: Sequence[str], limit: int | None = None) -> list[str]:
+    """Columns whose distinct values, over all groups, fit an in-task buffer."""
+    return [c for i, c in enumerate(cols) if is_few(sum(row[f"d{i}"] for row in surveyed), limit)]
+
+
 @dataclass
 class _Target:
     """One quantile looked for: the two neighbouring ranks it interpolates, and the bracket known to hold both."""
@@ -56,7 +67,8 @@ class _Target:
 
 
 def narrow_quantiles(
-    df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), limit: int | None = None
+    df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), limit: int | None = None,
+    surveyed: list | None = None,
 ) -> dict[tuple, dict[str, list[float | None]]]:
     """Exact quantiles per group and column by verified narrowing; result keyed by group tuple, then column.
 
@@ -64,11 +76,7 @@ def narrow_quantiles(
     """
     limit = DISTINCT_LIMIT if limit is None else limit
     data = df.select(*by, *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)])
-    stats = []
-    for i in range(len(cols)):
-        v = F.col(f"v{i}")
-        stats += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
-    first = _bounded(data.groupBy(*by).agg(*stats))
+    first = survey(df, cols, by) if surveyed is None else surveyed
     targets: dict[tuple, dict[tuple[int, int], _Target]] = {}
     for row in first:
         found = targets.setdefault(tuple(row[b] for b in by), {})
@@ -237,20 +245,38 @@ def _finish(data: DataFrame, by: Sequence[str], open_: dict) -> None:
             t.settle(row["x"], row["y"])
 
 
+def part_of_survey(surveyed: list, cols: Sequence[str], wanted: Sequence[str], by: Sequence[str]) -> list:
+    """The survey of some of its columns, with their places renumbered."""
+    at = [cols.index(c) for c in wanted]
+    return [
+        {**{b: row[b] for b in by}, **{f"{k}{j}": row[f"{k}{i}"] for j, i in enumerate(at) for k in ("n", "lo", "hi", "d")}}
+        for row in surveyed
+    ]
+
+
 def fit_quantiles(
-    df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), few: bool | None = None
+    df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), few: Sequence[str] | None = None
 ) -> dict[tuple, dict[str, list[float | None]]]:
-    """Exact quantiles on the driver, one small row per group, by whichever way the sketch allows.
+    """Exact quantiles on the driver, one small row per group; each column in the way its number of values allows.
 
-    ``few`` is what an earlier pass already found out about the number of distinct values.
+    ``few`` are the columns an earlier pass already found to have few distinct values.
     """
-    if not (few_distinct(df, cols) if few is None else few):
-        return narrow_quantiles(df, cols, probs, by)
-    plist = F.array(*[F.lit(float(p)) for p in probs])
-    aggs = [F.percentile(F.col(c).cast("double"), plist).alias(f"q{i}") for i, c in enumerate(cols)]
-    return {
-        tuple(r[b] for b in by): {
-            c: list(r[f"q{i}"]) if r[f"q{i}"] is not None else [None] * len(probs) for i, c in enumerate(cols)
-        }
-        for r in _bounded(df.groupBy(*by).agg(*aggs))
-    }
+    cols = list(cols)
+    surveyed = None
+    if few is None or set(cols) - set(few):
+        surveyed = survey(df, cols, by)
+        few = few_distinct(surveyed, cols)
+    direct = [c for c in cols if c in few]
+    many = [c for c in cols if c not in few]
+    out: dict[tuple, dict[str, list[float | None]]] = {}
+    if direct:
+        plist = F.array(*[F.lit(float(p)) for p in probs])
+        aggs = [F.percentile(F.col(c).cast("double"), plist).alias(f"q{i}") for i, c in enumerate(direct)]
+        for r in _bounded(df.groupBy(*by).agg(*aggs)):
+            found = {c: r[f"q{i}"] for i, c in enumerate(direct)}
+            out[tuple(r[b] for b in by)] = {c: [None] * len(probs) if q is None else list(q) for c, q in found.items()}
+    if many:
+        rest = part_of_survey(surveyed, cols, many, by)
+        for g, found in narrow_quantiles(df, many, probs, by, surveyed=rest).items():
+            out.setdefault(g, {}).update(found)
+    return out

@@ -29,11 +29,16 @@ def quantile_columns(
     df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()
 ) -> Callable[[str], list[Column]]:
     """Quantile aggregates per column: computed in place if few values are distinct, else fitted and put in as values."""
-    if quantiles.few_distinct(df, cols):
-        return lambda c: [quantiles.percentile_expr(c, p) for p in probs]
-    fitted = quantiles.narrow_quantiles(df, cols, probs, by)
+    cols = list(cols)
+    surveyed = quantiles.survey(df, cols, by)
+    few = quantiles.few_distinct(surveyed, cols)
+    many = [c for c in cols if c not in few]
+    rest = quantiles.part_of_survey(surveyed, cols, many, by)
+    fitted = quantiles.narrow_quantiles(df, many, probs, by, surveyed=rest) if many else {}
 
     def of(c: str) -> list[Column]:
+        if c in few:
+            return [quantiles.percentile_expr(c, p) for p in probs]
         out = []
         for i in range(len(probs)):
             pick: Column = F.lit(None).cast("double")

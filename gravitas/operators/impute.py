@@ -26,7 +26,7 @@ def modes(df: DataFrame, cols: Sequence[str]) -> dict[str, str]:
     return {r["feature"]: r["mode"] for r in counted.groupBy("feature").agg(arg_max("value", "n").alias("mode")).collect()}
 
 
-def medians(df: DataFrame, cols: Sequence[str], few: bool | None = None) -> dict[str, float]:
+def medians(df: DataFrame, cols: Sequence[str], few: Sequence[str] | None = None) -> dict[str, float]:
     if not cols:
         return {}
     fitted = next(iter(fit_quantiles(df, cols, [0.5], few=few).values()), {})
@@ -79,7 +79,7 @@ def fit_auto(df: DataFrame, mostly_null_percent: float | None = preset.MOSTLY_NU
     todo = [c for c, n in nulls.items() if 0 < n < rows and n * 100.0 / rows <= bound]
     by_mode = modes(df, [c for c in todo if c in text])
     gaps = [c for c in todo if c in numeric]
-    by_median = medians(df, gaps, all(is_few(distinct[c]) for c in gaps))
+    by_median = medians(df, gaps, [c for c in gaps if is_few(distinct[c])])
     fills: dict[str, tuple[str, object, int]] = {}
     for c in df.columns:
         if c in by_mode:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gravitas.functions.quantiles import fit_quantiles
@@ -13,13 +13,7 @@ from gravitas.operators.distributions import per_feature
 
 def detect_binary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Whether a column holds both 0 and 1 and nothing else, not even nulls."""
-    def build(c: str):
-        x = F.col(c).cast("double")
-        return {
-            "is_binary": (F.count(F.when(x.isNull() | ~x.isin(0.0, 1.0), 1)) == 0) & (F.min(x) < F.max(x))
-        }
-
-    return per_feature(df, cols, build).select("feature", F.coalesce("is_binary", F.lit(False)).alias("is_binary"))
+    return per_feature(df, cols, lambda c: {"is_binary": is_binary(F.col(c).cast("double"))}).select("feature", F.coalesce("is_binary", F.lit(False)).alias("is_binary"))
 
 
 def scalable(df: DataFrame, cols: Sequence[str]) -> list[str]:
@@ -39,12 +33,20 @@ class Scaler:
         return df.withColumns(new) if new else df
 
 
-def fit_scale(df: DataFrame, cols: Sequence[str], method: str = "standard") -> Scaler:
-    """standard: mean and population deviation; robust: median and interquartile range; minmax: extremes."""
+def is_binary(x: Column) -> Column:
+    return (F.count(F.when(x.isNull() | ~x.isin(0.0, 1.0), 1)) == 0) & (F.min(x) < F.max(x))
+
+
+def fit_scale(df: DataFrame, cols: Sequence[str], method: str = "standard", exclude_binary: bool = False) -> Scaler:
+    """standard: mean and population deviation; robust: median and interquartile range; minmax: extremes.
+
+    Binary columns are told apart in the same pass as means, deviations and extremes are taken.
+    """
     if not cols:
         return Scaler(method, {})
     params: dict[str, tuple[float, float]] = {}
     if method == "robust":
+        cols = scalable(df, cols) if exclude_binary else cols
         for c, (q1, q2, q3) in next(iter(fit_quantiles(df, cols, [0.25, 0.5, 0.75]).values()), {}).items():
             if q2 is not None:
                 params[c] = (q2, (q3 - q1) or 1.0)
@@ -53,10 +55,10 @@ def fit_scale(df: DataFrame, cols: Sequence[str], method: str = "standard") -> S
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
         pair = (F.min(x), F.max(x) - F.min(x)) if method == "minmax" else (F.avg(x), F.stddev_pop(x))
-        aggs += [pair[0].alias(f"m{i}"), pair[1].alias(f"w{i}")]
+        aggs += [pair[0].alias(f"m{i}"), pair[1].alias(f"w{i}"), is_binary(x).alias(f"b{i}")]
     row = df.agg(*aggs).first()
     for i, c in enumerate(cols):
-        if row[f"m{i}"] is not None:
+        if row[f"m{i}"] is not None and not (exclude_binary and row[f"b{i}"]):
             params[c] = (row[f"m{i}"], row[f"w{i}"] or 1.0)
     return Scaler("minmax" if method == "minmax" else "standard", params)
 

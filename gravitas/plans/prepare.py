@@ -11,7 +11,7 @@ from gravitas import preset
 from gravitas.functions.columns import numeric_columns, require, string_columns
 from gravitas.operators import cap, encode, features, impute, quality, resample, scale, skew, split
 from gravitas.operators.distributions import mode_of
-from gravitas.session import fresh_path
+from gravitas.session import cached, fresh_path
 from gravitas.sources import sinks
 from gravitas.sources.tables import scan_table
 
@@ -118,10 +118,9 @@ class Preparation:
     def scale_features(self, scaling_method: str = "standard", exclude_binary: bool = True) -> DataFrame:
         before = self._shape()
         cols = self._features(numeric_columns(self.df))
-        if exclude_binary:
-            cols = scale.scalable(self.df, cols)
-        self.df = scale.fit_scale(self.df, cols, scaling_method).transform(self.df)
-        self._note("feature_scaling", f"{scaling_method}_scaling", before, f"Scaled {len(cols)} features")
+        fitted = scale.fit_scale(self.df, cols, scaling_method, exclude_binary)
+        self.df = fitted.transform(self.df)
+        self._note("feature_scaling", f"{scaling_method}_scaling", before, f"Scaled {len(fitted.params)} features")
         return self.df
 
     def handle_imbalance(self, method: str = "smote") -> DataFrame:
@@ -195,22 +194,25 @@ def _finite(df: DataFrame) -> DataFrame:
 
 
 def fit_preparation(train: DataFrame, target: str, row_id: str) -> Fitted:
-    """Fit every step on training rows, in the order they are applied."""
-    out = _dated(train)
-    imputer = impute.fit_auto(out.drop(target))
-    out = imputer.transform(out)
-    usual = mode_of(out, preset.WEATHER).first()["mode"] if preset.WEATHER in out.columns else None
-    out = features.engineer(out, True, usual)
-    capper = cap.fit_cap(out, [c for c in preset.OUTLIER_COLUMNS if c in out.columns])
-    out = capper.transform(out)
-    measures = [c for c in preset.OUTLIER_COLUMNS if c in out.columns]
-    logged = skew.skewed_columns(out, measures) if measures else []
-    out = skew.apply_log1p(out, logged)
-    text = string_columns(out, [target])
-    encoder = encode.fit_label(out, text) if text else None
-    out = _finite(encoder.transform(out, unknown_code=-1) if encoder else out)
-    numeric = numeric_columns(out, [target, row_id, "split", "fold"])
-    scaler = scale.fit_scale(out, scale.scalable(out, numeric))
+    """Fit every step on training rows, in the order they are applied.
+
+    Each fit is a pass; the rows are kept meanwhile, so that no pass parses dates or recomputes the split again.
+    """
+    with cached(_dated(train)) as raw:
+        imputer = impute.fit_auto(raw.drop(target))
+        out = imputer.transform(raw)
+        usual = mode_of(out, preset.WEATHER).first()["mode"] if preset.WEATHER in out.columns else None
+        out = features.engineer(out, True, usual)
+        measures = [c for c in preset.OUTLIER_COLUMNS if c in out.columns]
+        capper = cap.fit_cap(out, measures)
+        out = capper.transform(out)
+        logged = skew.skewed_columns(out, measures) if measures else []
+        out = skew.apply_log1p(out, logged)
+        text = string_columns(out, [target])
+        encoder = encode.fit_label(out, text) if text else None
+        out = _finite(encoder.transform(out, unknown_code=-1) if encoder else out)
+        numeric = numeric_columns(out, [target, row_id, "split", "fold"])
+        scaler = scale.fit_scale(out, numeric, exclude_binary=True)
     return Fitted(imputer, usual, capper, logged, encoder, scaler, numeric)
 
 

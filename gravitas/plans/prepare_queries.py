@@ -513,19 +513,19 @@ QUARTILES = "quantile_cont({c}::double, 0.75) - quantile_cont({c}::double, 0.25)
 @query("scale_standard", scaled_sql("avg({c})", "stddev_pop({c})"))
 def _(spark, sf):
     acc = accidents(spark, sf)
-    return doubles(scale.fit_scale(acc, scale.scalable(acc, SCALED)).transform(acc), SCALED, "event_id")
+    return doubles(scale.fit_scale(acc, SCALED, exclude_binary=True).transform(acc), SCALED, "event_id")
 
 
 @query("scale_robust", scaled_sql("quantile_cont({c}::double, 0.5)", QUARTILES))
 def _(spark, sf):
     acc = accidents(spark, sf)
-    return doubles(scale.fit_scale(acc, scale.scalable(acc, SCALED), "robust").transform(acc), SCALED, "event_id")
+    return doubles(scale.fit_scale(acc, SCALED, "robust", True).transform(acc), SCALED, "event_id")
 
 
 @query("scale_minmax", scaled_sql("min({c})", "(max({c}) - min({c}))"))
 def _(spark, sf):
     acc = accidents(spark, sf)
-    return doubles(scale.fit_scale(acc, scale.scalable(acc, SCALED), "minmax").transform(acc), SCALED, "event_id")
+    return doubles(scale.fit_scale(acc, SCALED, "minmax", True).transform(acc), SCALED, "event_id")
 
 
 @query(
