@@ -153,10 +153,10 @@ def _first_k(edges: DataFrame, k: int) -> DataFrame:
 
 
 def collapse(points: DataFrame, keep: int) -> DataFrame:
-    """One row per distinct vector of a group: ``v`` the smallest id, ``ids`` the smallest few."""
+    """One row per distinct vector of a group: ``v`` the smallest id, ``ids`` the smallest few with their tags."""
     order = Window.partitionBy("g", "vec").orderBy("id")
     few = points.withColumn("at", F.row_number().over(order)).where(F.col("at") <= keep)
-    return few.groupBy("g", "vec").agg(F.min("id").alias("v"), F.sort_array(F.collect_list("id")).alias("ids"))
+    return few.groupBy("g", "vec").agg(F.min("id").alias("v"), F.sort_array(F.collect_list(F.struct("id", "tag"))).alias("ids"))
 
 
 def _pick_pivots(distinct: DataFrame, wanted: dict[str, tuple[int, int]]) -> dict[str, np.ndarray]:
@@ -179,12 +179,14 @@ def nearest_neighbours(
 ) -> DataFrame:
     """k nearest other points of the same group for each query, nearer first, equally near ones by id.
 
-    ``points`` has ``id`` bigint unique, ``g`` string, ``vec`` array<double> without nulls; ``queries`` has a subset of
-    its ids. The result has ``id``, ``g``, ``vec`` and ``neighbours``, an array of (dist, id, vec).
+    ``points`` has ``id`` bigint unique, ``g`` string, ``vec`` array<double> without nulls, and may have a string ``tag``
+    that neighbours carry along; ``queries`` has a subset of its ids. The result has ``id``, ``g``, ``tag``, ``vec`` and
+    ``neighbours``, an array of (dist, id, tag, vec).
     """
     spark = points.sparkSession
     ensure_checkpoint_dir(spark)
-    points = points.select("id", "g", "vec")
+    tag = F.col("tag") if "tag" in points.columns else F.lit(None).cast("string")
+    points = points.select("id", "g", "vec", tag.alias("tag"))
     distinct = collapse(points, k + 1).checkpoint()
     cell_target = cell_rows or CELL_ROWS
     counts = {r["g"]: r["n"] for r in distinct.groupBy("g").agg(F.count("*").alias("n")).collect()}
@@ -223,16 +225,18 @@ def nearest_neighbours(
     rows = F.flatten(
         F.transform(
             F.collect_list(F.struct("dist", "ids", "nvec")),
-            lambda e: F.transform(e["ids"], lambda i: F.struct(e["dist"].alias("dist"), i.alias("id"), e["nvec"].alias("vec"))),
+            lambda e: F.transform(
+                e["ids"],
+                lambda i: F.struct(e["dist"].alias("dist"), i["id"].alias("id"), i["tag"].alias("tag"), e["nvec"].alias("vec")),
+            ),
         )
     )
     lists = found.groupBy("q").agg(rows.alias("all")).select("q", F.slice(F.sort_array("all"), 1, need).alias("near"))
-    vectors = distinct.select("g", "vec", F.col("v").alias("q"))
+    # Lists meet their vectors first, one row each; only this last join has as many rows as a vector has copies.
+    listed = distinct.select("g", "vec", F.col("v").alias("q")).join(lists, "q").drop("q")
     wanted_points = points if queries is None else points.join(queries.select("id"), "id", "left_semi")
-    return (
-        wanted_points.join(vectors, ["g", "vec"])
-        .join(lists, "q")
-        .select("id", "g", "vec", F.slice(F.filter("near", lambda e: e["id"] != F.col("id")), 1, k).alias("neighbours"))
+    return wanted_points.join(listed, ["g", "vec"]).select(
+        "id", "g", "tag", "vec", F.slice(F.filter("near", lambda e: e["id"] != F.col("id")), 1, k).alias("neighbours")
     )
 
 
@@ -243,9 +247,11 @@ def neighbour_pairs(near: DataFrame) -> DataFrame:
     )
 
 
-def as_points(df: DataFrame, row_id: str, features: Sequence[str], group: str | None = None) -> DataFrame:
-    """Rows as points; a group is taken as text, and there is one group if none is named."""
+def as_points(
+    df: DataFrame, row_id: str, features: Sequence[str], group: str | None = None, tag: str | None = None
+) -> DataFrame:
+    """Rows as points; group and tag are taken as text, and there is one group if none is named."""
     g = F.col(group).cast("string") if group else F.lit("")
-    return df.select(
-        F.col(row_id).cast("bigint").alias("id"), g.alias("g"), F.array(*[F.col(c).cast("double") for c in features]).alias("vec")
-    )
+    t = F.col(tag).cast("string") if tag else F.lit(None).cast("string")
+    vec = F.array(*[F.col(c).cast("double") for c in features])
+    return df.select(F.col(row_id).cast("bigint").alias("id"), g.alias("g"), vec.alias("vec"), t.alias("tag"))

@@ -110,13 +110,11 @@ def _smote_bases(df, minority, target, row_id, features, short, k, seed) -> Data
 
 def other_class_neighbours(df, minority, target, row_id, features, k) -> DataFrame:
     """How many of the k nearest rows of any class have another class, for each row of ``minority``."""
-    points = as_points(df, row_id, features)
+    points = as_points(df, row_id, features, tag=target)
     near = nearest_neighbours(points, k, minority.select(F.col(row_id).cast("bigint").alias("id")))
-    pairs = near.select("id", F.explode("neighbours.id").alias("nid"))
-    classes = df.select(F.col(row_id).cast("bigint").alias("cid"), F.col(target).alias("c"))
-    own = pairs.join(classes.withColumnsRenamed({"cid": "id", "c": "own"}), "id")
-    seen = own.join(classes.withColumnsRenamed({"cid": "nid", "c": "other"}), "nid")
-    return seen.groupBy("id", "own").agg(F.sum(F.when(~F.col("own").eqNullSafe(F.col("other")), 1).otherwise(0)).alias("others"))
+    differs = F.filter("neighbours", lambda e: ~e["tag"].eqNullSafe(F.col("tag")))
+    own = F.col("tag").cast(df.schema[target].dataType)
+    return near.select("id", own.alias("own"), F.size(differs).alias("others"))
 
 
 def _adasyn_bases(df, minority, target, row_id, features, short, k, seed) -> DataFrame:
