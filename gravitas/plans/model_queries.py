@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from gravitas.functions.columns import pearson, rounded
 from gravitas.operators import metrics, models, ranking, split
 from gravitas.plans.prepare import Preparation, prepare_splits
+from gravitas.plans.prepare_queries import SPLIT_CTES
 from gravitas.plans.profile_queries import T, describe_sql, union_all
 from gravitas.plans.registry import on_accidents, on_predictions, query, r
 from gravitas.plans.training import Training
@@ -478,7 +479,10 @@ def _(spark, sf):
     return prepared(spark, sf).generate_preparation_summary()
 
 
-@query("prepare_splits")
+@query(
+    "prepare_splits",
+    on_accidents("select split, c as most_severe_injury, count(*) as n from splits group by 1, 2", *SPLIT_CTES),
+)
 def _(spark, sf):
     done = prepare_splits(model_rows(spark, sf))
     parts = [df.select(F.lit(n).alias("split"), T) for n, df in done.parts.items()]

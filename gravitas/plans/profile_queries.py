@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gravitas import preset
 from gravitas.functions.columns import decode, rounded
 from gravitas.operators import correlation, crosstabs, distributions, outliers, quality, rules
+from gravitas.plans.profile import Profile
 from gravitas.plans.registry import on_accidents, query, r, with_ctes
 from gravitas.sources.accidents import accidents
 from gravitas.sources.tables import scan_table
@@ -42,12 +43,23 @@ def _(spark, sf):
     return quality.dataset_overview(accidents(spark, sf), T)
 
 
-@query("dtype_summary")
+DESCRIBED = f"(describe {on_accidents('select * from accidents')})"
+
+
+@query(
+    "dtype_summary",
+    "select case column_type when 'VARCHAR' then 'string' when 'BIGINT' then 'bigint' else 'int' end as dtype, "
+    f"count(*) as n_columns from {DESCRIBED} group by 1",
+)
 def _(spark, sf):
     return quality.dtype_summary(accidents(spark, sf))
 
 
-@query("select_by_type")
+@query(
+    "select_by_type",
+    "select column_name as feature, case column_type when 'VARCHAR' then 'categorical' else 'numeric' end as kind "
+    f"from {DESCRIBED} where column_name <> '{T}'",
+)
 def _(spark, sf):
     return quality.select_by_type(accidents(spark, sf), T)
 
@@ -675,10 +687,19 @@ def _(spark, sf):
     return quality.validation_tally(quality.post_prep_checks(accidents(spark, sf), T))
 
 
-@query("eda_summary")
+@query(
+    "eda_summary",
+    on_accidents(
+        f"select cells // {len(COLUMNS)} as total_records, {len(COLUMNS)}::bigint as features, {len(NUMERIC)}::bigint as "
+        f"numeric_features, {len(TEXT)}::bigint as categorical_features, {r('missing_cells * 100.0 / cells')} as missing_percent, "
+        "'Dataset contains ' || format('{:,}', cells // 14) || ' accident records with ' || "
+        "printf('%.1f', missing_cells * 100.0::double / cells) || '% missing data' as insights from m",
+        ("m", MISSING_TOTAL),
+    ),
+)
 def _(spark, sf):
-    from gravitas.plans.profile import Profile
-
-    return Profile(accidents(spark, sf)).generate_summary()
+    profile = Profile(accidents(spark, sf))
+    profile.initial_exploration()
+    return rounded(profile.generate_summary().withColumn("insights", F.array_join("insights", "; ")))
 
 
