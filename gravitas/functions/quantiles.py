@@ -15,12 +15,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DISTINCT_LIMIT = 200_000
+# Rows that may be left between the ends of a bracket when its values are read one by one.
+BRACKET_ROWS = 20_000
 GROUP_LIMIT = 10_000
 SKETCH_ACCURACY = 10_000
 
 
-def percentile_expr(col: str, prob: float) -> Column:
-    return F.percentile(F.col(col).cast("double"), F.lit(prob))
+def percentile_exprs(col: str, probs: Sequence[float]) -> list[Column]:
+    """Entries of one percentile aggregate: written alike, they share a single buffer of values."""
+    every = F.percentile(F.col(col).cast("double"), F.array(*[F.lit(float(p)) for p in probs]))
+    return [F.try_element_at(every, F.lit(i + 1)) for i in range(len(probs))]
 
 
 def is_few(sketched: int, limit: int | None = None) -> bool:
@@ -74,7 +78,7 @@ def narrow_quantiles(
 
     The number of rows is no limit: every pass is a map-side aggregate that returns one row per group.
     """
-    limit = DISTINCT_LIMIT if limit is None else limit
+    limit = BRACKET_ROWS if limit is None else limit
     data = df.select(*by, *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)])
     first = survey(df, cols, by) if surveyed is None else surveyed
     targets: dict[tuple, dict[tuple[int, int], _Target]] = {}

@@ -38,7 +38,7 @@ def quantile_columns(
 
     def of(c: str) -> list[Column]:
         if c in few:
-            return [quantiles.percentile_expr(c, p) for p in probs]
+            return quantiles.percentile_exprs(c, probs)
         out = []
         for i in range(len(probs)):
             pick: Column = F.lit(None).cast("double")
