@@ -234,9 +234,10 @@ def _finish(data: DataFrame, by: Sequence[str], open_: dict) -> None:
         )
         for s, (i, _) in enumerate(keys)
     ]
-    hits = _with_brackets(data, by, table, names).select(
-        *by, F.inline(F.filter(F.array(*slots), lambda e: e["value"].isNotNull()))
-    )
+    within = F.lit(False)
+    for s, (i, _) in enumerate(keys):
+        within = within | F.coalesce(F.col(f"v{i}").between(F.col(f"a{s}"), F.col(f"z{s}")), F.lit(False))
+    hits = _with_brackets(data, by, table, names).where(within).select(*by, F.inline(F.array(*slots))).where("value is not null")
     counted = hits.groupBy(*by, "slot", "value", "low", "high").agg(F.count("*").alias("n"))
     ranked = counted.withColumn("end", F.sum("n").over(Window.partitionBy(*by, "slot").orderBy("value")))
 
