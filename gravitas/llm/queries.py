@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gravitas.llm import bpe
+from gravitas.llm import bpe, winnow
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,3 +45,44 @@ def encoded(docs: DataFrame) -> DataFrame:
 @query("op8_bpe")
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"))
+
+
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The columns that the contract of op5 names."""
+    ids = F.array_sort(F.col("items").cast("array<string>"))
+    return winnow.contamination(docs, items).select(
+        "doc_id",
+        "n_words",
+        winnow.covered("spans").alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", ids).cast("binary"), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
+@query(
+    "op5_decontaminate",
+    f"""
+with d as (select doc_id, coalesce({_WORDS}, []) as w from documents),
+b as (select item_id, {_WORDS} as w from benchmark where text is not null),
+bw as (
+    select distinct item_id, s, array_to_string(w[i + 1 : i + s], ' ') as t
+    from (select item_id, w, least(len(w), 10) as s, unnest(range(0, len(w) - least(len(w), 10) + 1)) as i from b where len(w) > 0)
+),
+dw as (
+    select doc_id, s, i, array_to_string(w[i + 1 : i + s], ' ') as t
+    from (select doc_id, w, s, unnest(range(0, greatest(len(w) - s + 1, 0))) as i from d, (select distinct s from bw))
+),
+hits as (select dw.doc_id, dw.i, dw.s, bw.item_id from dw join bw using (s, t)),
+places as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + s)) as p from (select distinct doc_id, i, s from hits)) group by doc_id),
+found as (select doc_id, count(*) as n_items, string_agg(id, ',' order by id) as ids from (select distinct doc_id, cast(item_id as varchar) as id from hits) group by doc_id)
+select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+    sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join places using (doc_id) left join found using (doc_id)
+""",
+)
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
