@@ -62,7 +62,7 @@ def compare(spark_df, con, sql: str) -> str:
 
 def main() -> int:
     from gravitas.session import get_spark
-    from gravitas.plans import catalog
+    import __spark_entry__ as catalog
 
     sf_dir = sys.argv[1]
     only = sys.argv[2:]
