@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gravitas.llm import bpe, winnow
+from gravitas.llm import anchors, bpe, runindex, superkmer, winnow
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -86,3 +86,32 @@ from d left join places using (doc_id) left join found using (doc_id)
 )
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op6_run_index")
+def op6_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = runindex.kept_bytes(anchors.with_spans(docs, runindex.repeated_bytes(docs)))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query(
+    "op10_super_kmer",
+    r"""
+with d as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+g as (
+    select doc_id, i, sha256(array_to_string(w[i + 1 : i + 35], ' ')) as t
+    from (select doc_id, w, unnest(range(0, greatest(len(w) - 34, 0))) as i from d)
+),
+again as (select t from g group by t having count(*) > 1),
+hit as (select distinct doc_id, p from (select doc_id, unnest(range(i, i + 35)) as p from g semi join again using (t))),
+each as (select doc_id, unnest(w) as x, unnest(range(0, len(w))) as p from d),
+kept as (select doc_id, count(*) as n, string_agg(x, ' ' order by p) as t from each anti join hit using (doc_id, p) group by doc_id)
+select d.doc_id, len(w) as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from d left join kept using (doc_id)
+""",
+)
+def op10_super_kmer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = superkmer.kept_words(anchors.with_spans(docs, superkmer.repeated_words(docs)))
+    return kept.select("doc_id", "n_words", "n_removed", digest("kept").alias("kept_sha256"))

@@ -7,13 +7,16 @@ batch holds. One document is never cut.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gravitas.session import fresh_path
+
 PIECE_BYTES = 2 << 20
 
 #: ASCII white space: space and \x09-\x0D.
@@ -144,3 +147,24 @@ def join_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
 def binary_array(data: np.ndarray, offsets: np.ndarray, kind: pa.DataType | None = None) -> pa.Array:
     whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
     return whole.cast(kind or pa.binary())
+
+
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it again: a step that lost executors need not repeat.
+
+    The shuffle files that the step has used are removed when it is done.
+    """
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    with _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

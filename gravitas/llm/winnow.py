@@ -13,8 +13,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gravitas.llm.text import unique_documents
-from gravitas.session import fresh_path
+from gravitas.llm.text import unique_documents, written
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
@@ -111,12 +110,9 @@ def contamination(
     occur. Items with a null id mark words, but are not listed. Repeated rows of items change nothing. Only the named
     columns are read. With no items every document has no hits.
     """
-    spark = docs.sparkSession
     windows = benchmark_windows(items, item_col, item_text_col, window)
     sizes = [r[0] for r in windows.select("size").distinct().collect()]  # at most ``window`` rows
-    path = fresh_path(spark, "hits")
-    find_hits(unique_documents(docs, id_col, text_col), windows, sizes).write.parquet(path)
-    hits = spark.read.parquet(path)
+    hits = written(find_hits(unique_documents(docs, id_col, text_col), windows, sizes), "hits")
     spans = hits.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.collect_set(F.when(F.col("start").isNotNull(), F.struct("start", "size"))).alias("spans"))
     listed = (
         hits.where("start is not null").select("doc_id", "text").distinct().join(windows.select("text", "item_id").distinct(), "text").groupBy("doc_id").agg(F.collect_set("item_id").alias("items"))
