@@ -45,12 +45,29 @@ class Units:
 Judge = Callable[[np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]]
 
 
-def find_runs(data: np.ndarray, offsets: np.ndarray, units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one anchor: row, first window, number of windows, anchor."""
+def anchors(data: np.ndarray, offsets: np.ndarray, units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of grams, the anchor of each window, whether the window lies in one text, the first unit of each text."""
     grams, first = units.grams(data, offsets, units.k)
-    anchor = tx.slide_min(grams, units.size - units.k + 1)
+    anchor = tx.slide(grams, units.size - units.k + 1, np.minimum)
     n = len(anchor)
     inside = np.arange(n) + units.size <= np.repeat(first[1:], np.diff(first))[:n]
+    return grams, anchor, inside, first
+
+
+def find_places(data: np.ndarray, offsets: np.ndarray, units: Units) -> np.ndarray:
+    """The anchor at each place that is one: where the largest anchor of the windows around equals the gram."""
+    grams, anchor, inside, _ = anchors(data, offsets, units)
+    if not len(anchor):
+        return np.zeros(0, np.int64)
+    w = units.size - units.k + 1
+    edge = np.zeros(w - 1, np.uint64)
+    top = tx.slide(np.concatenate((edge, np.where(inside, anchor, 0), edge)), w, np.maximum)
+    return grams[: len(top)][top == grams[: len(top)]].view(np.int64)
+
+
+def find_runs(data: np.ndarray, offsets: np.ndarray, units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one anchor: row, first window, number of windows, anchor."""
+    _, anchor, inside, first = anchors(data, offsets, units)
     begins = inside.copy()
     begins[1:] &= (anchor[1:] != anchor[:-1]) | ~inside[:-1]
     at = np.flatnonzero(begins)
@@ -61,12 +78,15 @@ def find_runs(data: np.ndarray, offsets: np.ndarray, units: Units) -> tuple[np.n
 
 
 def anchor_counts(docs: DataFrame, units: Units) -> DataFrame:
-    """Anchors that occur more than once, with their number of runs."""
+    """Anchors that stand at more than one place of the corpus, with how many.
+
+    Places are counted, not runs: one run may hold its anchor twice, in a text that repeats itself.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tx.pieces(batch, "text"):
-                key, n = np.unique(find_runs(*tx.bytes_of(part.column("text")), units)[3], return_counts=True)
+                key, n = np.unique(find_places(*tx.bytes_of(part.column("text")), units), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], names=["key", "n"])
 
     return docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")

@@ -119,15 +119,15 @@ def owners(first: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
 
 
-def slide_min(values: np.ndarray, w: int) -> np.ndarray:
-    """Smallest of each w neighbouring values, in about log2(w) passes."""
+def slide(values: np.ndarray, w: int, best: np.ufunc) -> np.ndarray:
+    """Smallest or largest of each w neighbouring values, in about log2(w) passes."""
     n, have, out = len(values) - w + 1, 1, values
     if n <= 0:
         return values[:0]
     while have * 2 <= w:
-        out = np.minimum(out[: len(out) - have], out[have:])
+        out = best(out[: len(out) - have], out[have:])
         have *= 2
-    return np.minimum(out[:n], out[w - have : w - have + n])
+    return best(out[:n], out[w - have : w - have + n])
 
 
 def list_array(values: pa.Array, sizes: np.ndarray) -> pa.Array:
