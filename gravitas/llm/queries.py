@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gravitas.llm import anchors, bpe, runindex, superkmer, winnow
+from gravitas.llm import anchors, bpe, neardup, runindex, superkmer, winnow
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -115,3 +115,8 @@ def op10_super_kmer(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = superkmer.kept_words(anchors.with_spans(docs, superkmer.repeated_words(docs)))
     return kept.select("doc_id", "n_words", "n_removed", digest("kept").alias("kept_sha256"))
+
+
+@query("op7_near_duplicates")
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), similarity=neardup.Similarity(words=3, percent=85))
