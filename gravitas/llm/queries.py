@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gravitas.llm import anchors, bpe, neardup, runindex, superkmer, winnow
+from gravitas.llm import anchors, bpe, licenses, neardup, quality_rules, runindex, superkmer, warc, winnow
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -120,3 +120,140 @@ def op10_super_kmer(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_near_duplicates")
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), similarity=neardup.Similarity(words=3, percent=85))
+
+
+@query(
+    "op1_quality_rules",
+    r"""
+with base as (
+    select doc_id, lang, source, coalesce(text, '') as text,
+        list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l
+    from documents
+),
+grams as (select doc_id, i, array_to_string(w[i + 1 : i + 3], ' ') as g from (select doc_id, w, unnest(range(0, greatest(len(w) - 2, 0))) as i from base)),
+again as (select doc_id, g from grams group by doc_id, g having count(*) > 1),
+repeats as (
+    select doc_id, count(distinct p) as n
+    from (select doc_id, unnest(range(i, i + 3)) as p from grams semi join again using (doc_id, g)) group by doc_id
+),
+m as (
+    select doc_id, lang, source, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as word_chars,
+        len(regexp_extract_all(text, '[#*$%&|<>]')) as n_symbols, len(l) as n_lines, len(l) - len(list_distinct(l)) as n_dup_lines, coalesce(n, 0) as n_repeat_words
+    from base left join repeats using (doc_id)
+),
+v as (
+    select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, 1000 * word_chars // n_words as word_length,
+        1000 * n_symbols // n_words as symbols, 1000 * n_dup_lines // n_lines as dup_lines, 1000 * n_repeat_words // n_words as repeat_words
+    from m
+),
+u as (
+    select lang, source, measure, value - value % cast(pow(2, greatest(length(bin(value)) - 10, 0)) as bigint) as bucket
+    from (select * from v where not base_failed) unpivot (value for measure in (word_length, symbols, dup_lines, repeat_words))
+),
+s as (select lang, source, measure, bucket, count(*) as n from u group by all),
+s_own as (select *, sum(n) over (partition by lang, source, measure order by bucket) as upto, sum(n) over (partition by lang, source, measure) as docs from s),
+own as (select lang, source, measure, any_value(docs) as docs, min(bucket) filter (4 * upto >= docs) as q1, min(bucket) filter (2 * upto >= docs) as q2 from s_own group by all),
+s_lang as (select lang, measure, bucket, sum(n) as n from s group by all),
+t_lang as (select *, sum(n) over (partition by lang, measure order by bucket) as upto, sum(n) over (partition by lang, measure) as docs from s_lang),
+of_lang as (select lang, measure, any_value(docs) as docs, min(bucket) filter (4 * upto >= docs) as q1, min(bucket) filter (2 * upto >= docs) as q2 from t_lang group by all),
+s_all as (select measure, bucket, sum(n) as n from s group by all),
+t_all as (select *, sum(n) over (partition by measure order by bucket) as upto, sum(n) over (partition by measure) as docs from s_all),
+of_all as (select measure, min(bucket) filter (4 * upto >= docs) as q1, min(bucket) filter (2 * upto >= docs) as q2 from t_all group by all),
+q as (
+    select o.lang, o.source, o.measure, case when o.docs >= 200 then o.q1 when l.docs >= 200 then l.q1 else a.q1 end as q1,
+        case when o.docs >= 200 then o.q2 when l.docs >= 200 then l.q2 else a.q2 end as q2
+    from own o join of_lang l on o.measure = l.measure and o.lang is not distinct from l.lang join of_all a on a.measure = o.measure
+),
+cut as (
+    select lang, source, measure, q2 as mid,
+        12 * greatest(q2 - q1, case measure when 'word_length' then 100 when 'symbols' then 10 else 25 end) as reach
+    from q
+),
+long as (select doc_id, lang, source, measure, value from (select * from v where not base_failed) unpivot (value for measure in (word_length, symbols, dup_lines, repeat_words))),
+bad as (
+    select distinct doc_id from long join cut on long.measure = cut.measure and long.lang is not distinct from cut.lang and long.source is not distinct from cut.source
+    where value > mid + reach or (long.measure = 'word_length' and value < mid - reach)
+)
+select v.doc_id, n_words, cast(word_chars as bigint) as word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    not base_failed and bad.doc_id is null as kept
+from v left join bad using (doc_id)
+""",
+)
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.apply_rules(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _license_oracle() -> str:
+    """The rules as literal rows, and the same cutting and matching in SQL."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    rows = ", ".join(f"({quoted(n)}, {quoted(lic)}, {quoted(chr(10).join(s)).replace(chr(10), chr(39) + ' || chr(10) || ' + chr(39))})" for n, (lic, s) in licenses.RULES.items())
+    cut = r"list_filter(list_transform(string_split_regex({}, '[.!?;:]+\s+|\s*\n\s*'), lambda s: trim(regexp_replace(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'))), lambda s: s <> '')"
+    return f"""
+with rules(rule, license, text) as (values {rows}),
+r as (select rule, license, {cut.format("text")} as s from rules),
+known as (select distinct unnest(s) as sentence from r),
+d as (select doc_id, {cut.format("coalesce(text, '')")} as s from documents),
+f as (select doc_id, no, sentence, row_number() over (partition by doc_id order by no) as k from (select doc_id, unnest(range(1, len(s) + 1)) as no, unnest(s) as sentence from d) semi join known using (sentence)),
+seq as (select doc_id, list(sentence order by k) as s, list(no order by k) as nos from f group by doc_id),
+hits as (
+    select distinct doc_id, license, rule, seq.nos[k] as no
+    from (select *, unnest(range(1, len(s) + 1)) as k from seq) seq join r on r.s = seq.s[k : k + len(r.s) - 1]
+)
+select d.doc_id, len(d.s) as n_sentences, coalesce(len(seq.s), 0) as n_known,
+    coalesce(h.licenses, '') as licenses, coalesce(h.rules, '') as rules
+from d left join seq using (doc_id)
+left join (select doc_id, string_agg(license, ',' order by license, rule, no) as licenses, string_agg(rule || '@' || no, ',' order by license, rule, no) as rules from hits group by doc_id) h using (doc_id)
+"""
+
+
+@query("op2_licenses", _license_oracle())
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_sentences",
+        "n_known",
+        F.array_join(F.transform("matches", lambda m: m["license"]), ",").alias("licenses"),
+        F.array_join(F.transform("matches", lambda m: F.concat(m["rule"], F.lit("@"), m["no"].cast("string"))), ",").alias("rules"),
+    )
+
+
+WARC_DATE = "2024-01-01T00:00:00Z"
+
+_UUID = "'<urn:uuid:' || {0}[1:8] || '-' || {0}[9:12] || '-' || {0}[13:16] || '-' || {0}[17:20] || '-' || {0}[21:32] || '>'"
+_TEXT = "html"
+for _pattern in warc.HIDDEN:
+    _TEXT = f"regexp_replace({_TEXT}, '{_pattern}', ' ', 'g')"
+_TEXT = f"regexp_replace(translate({_TEXT}, chr(13) || chr(10) || chr(9), '   '), '{warc.BREAK}', chr(10), 'g')"
+_TEXT = f"regexp_replace({_TEXT}, '(?s)<[^>]*>', ' ', 'g')"
+for _name, _plain in warc.ENTITIES:
+    _TEXT = f"replace({_TEXT}, '{_name}', {_plain!r})" if _plain != "'" else f"replace({_TEXT}, '{_name}', chr(39))"
+_TEXT = rf"regexp_replace(regexp_replace(regexp_replace({_TEXT}, ' +', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
+
+
+@query(
+    "op9_warc",
+    f"""
+with p as (select page_id, coalesce(url, '') as url, coalesce(html, '') as html from pages),
+r as (select *, sha256('response' || chr(10) || coalesce(cast(page_id as varchar), '') || chr(10) || url || chr(10) || html) as h, sha256(html) as sd, {_TEXT} as text from p),
+i as (select *, {_UUID.format("h")} as rid from r),
+j as (select *, sha256('conversion' || chr(10) || rid) as ch, sha256('metadata' || chr(10) || rid) as mh, sha256(text) as td from i),
+k as (
+    select *, {_UUID.format("ch")} as cid, {_UUID.format("mh")} as mid, chr(13) || chr(10) as nl from j
+),
+m as (
+    select *, 'source-payload-digest: sha256:' || sd || nl || 'source-payload-length: ' || strlen(html) || nl || 'conversion-record: ' || cid || nl
+        || 'conversion-digest: sha256:' || td || nl || nl || 'HTTP/1.1 200 OK' || nl || 'Content-Type: text/html; charset=utf-8' || nl || 'Content-Length: ' || strlen(html) || nl as meta
+    from k
+)
+select page_id, 'metadata' as type, mid as record_id, rid as refers_to, url as target_uri, '{WARC_DATE}' as date, 'application/warc-fields' as content_type,
+    strlen(meta) as n_bytes, 'sha256:' || sha256(meta) as block_digest, 'sha256:' || sd as source_digest from m
+union all
+select page_id, 'conversion', cid, rid, url, '{WARC_DATE}', 'text/plain', strlen(text), 'sha256:' || td, 'sha256:' || sd from m
+""",
+)
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.derivatives(warc.responses(table(spark, sf_dir, "pages"), WARC_DATE))
+    return records.select(F.col("source_id").alias("page_id"), "type", "record_id", "refers_to", "target_uri", "date", "content_type", F.octet_length("block").cast("long").alias("n_bytes"), "block_digest", "source_digest")
