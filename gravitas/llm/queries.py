@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gravitas.llm import anchors, bpe, licenses, neardup, quality_rules, runindex, superkmer, warc, winnow
+from gravitas.llm import anchors, bpe, licenses, neardup, quality_model, quality_rules, runindex, superkmer, warc, winnow
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -167,7 +167,7 @@ q as (
 ),
 cut as (
     select lang, source, measure, q2 as mid,
-        12 * greatest(q2 - q1, case measure when 'word_length' then 100 when 'symbols' then 10 else 25 end) as reach
+        12 * greatest(q2 - q1, case measure when 'word_length' then 100 when 'symbols' then 10 when 'dup_lines' then 45 else 35 end) as reach
     from q
 ),
 long as (select doc_id, lang, source, measure, value from (select * from v where not base_failed) unpivot (value for measure in (word_length, symbols, dup_lines, repeat_words))),
@@ -257,3 +257,22 @@ select page_id, 'conversion', cid, rid, url, '{WARC_DATE}', 'text/plain', strlen
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.derivatives(warc.responses(table(spark, sf_dir, "pages"), WARC_DATE))
     return records.select(F.col("source_id").alias("page_id"), "type", "record_id", "refers_to", "target_uri", "date", "content_type", F.octet_length("block").cast("long").alias("n_bytes"), "block_digest", "source_digest")
+
+
+def remainder(column: str, n: int) -> Column:
+    """crc32 of an id as text, modulo n: which documents a model may learn from."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % n
+
+
+ACCEPTED = 0.7
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Documents with their score, learnt from labels outside the held-out part."""
+    return quality_model.score_quality(docs, labels.where(remainder("doc_id", 4) != 2))
+
+
+@query("op3_quality_model")
+def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= ACCEPTED).cast("int").alias("predicted"))
