@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gravitas.llm import anchors, bpe, licenses, neardup, quality_model, quality_rules, runindex, superkmer, warc, winnow
+from gravitas.llm import anchors, bpe, langid, licenses, neardup, quality_model, quality_rules, runindex, superkmer, warc, winnow
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -276,3 +276,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= ACCEPTED).cast("int").alias("predicted"))
+
+
+@query("op4_language")
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    learn = docs.where((remainder("doc_id", 3) != 1) & F.col("lang").isNotNull())
+    found = langid.identify(docs.select("doc_id", "text"), learn)
+    return found.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
