@@ -14,6 +14,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gravitas.functions.buckets import running_sums, with_range_bucket
+from gravitas.session import ensure_checkpoint_dir
+
 DISTINCT_LIMIT = 200_000
 # Rows that may be left between the ends of a bracket when its values are read one by one.
 BRACKET_ROWS = 20_000
@@ -285,3 +288,29 @@ def fit_quantiles(
         for g, found in narrow_quantiles(df, many, probs, by, surveyed=rest).items():
             out.setdefault(g, {}).update(found)
     return out
+
+
+def group_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str], rows_per_bucket: int | None = None) -> DataFrame:
+    """Exact quantiles of every column in every group: ``by, feature, q``, for any number of groups and values.
+
+    Equal values are counted first; the counts are then summed in order, range by range, so that no group is sorted in
+    one task. A quantile lies between the values at the two ranks next to it. Nothing comes to the driver.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    keys = [*by, "feature"]
+    each = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in cols])
+    long = df.select(*by, F.inline(each)).where(F.col("value").isNotNull())
+    counted = long.groupBy(*keys, "value").agg(F.count("*").alias("n")).checkpoint()
+    summed = running_sums(with_range_bucket(counted, "value", rows_per_bucket=rows_per_bucket), keys, "bucket", F.col("value").asc(), {"upto": "n"})
+    totals = counted.groupBy(*keys).agg(F.sum("n").alias("total"))
+    ranked = summed.join(totals, keys)
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank < F.col("upto")) & (rank >= F.col("upto") - F.col("n")), F.col("value")))
+
+    out = []
+    for p in probs:
+        rank = F.lit(float(p)) * (F.col("total") - 1)
+        low, high, weight = at(F.floor(rank)), at(F.ceil(rank)), F.max(rank - F.floor(rank))
+        out.append(low + (high - low) * weight)
+    return ranked.groupBy(*keys).agg(F.array(*out).alias("q"))

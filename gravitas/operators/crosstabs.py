@@ -14,9 +14,6 @@ from gravitas.functions.columns import (
 from gravitas.operators.distributions import mode_of
 from gravitas.operators.reshape import arg_max
 
-MAX_CATEGORIES = 10_000
-
-
 def pair_counts(df: DataFrame, a: str, b: str) -> DataFrame:
     """Rows per pair of values in which both are known."""
     known = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
@@ -26,17 +23,13 @@ def pair_counts(df: DataFrame, a: str, b: str) -> DataFrame:
 def dense(counts: DataFrame) -> DataFrame:
     """All combinations of the observed a and b values, absent ones with 0.
 
-    The values of b are the columns of the table a reader sees; more than MAX_CATEGORIES of them is an error. The
-    condition on n, always true, keeps the count in every branch, so that all of them share one aggregate of the table.
+    The values of b are the columns of the table a reader sees, and the result has a cell for each pair, so this is
+    for tables meant to be read; ``pair_counts`` has the cells that are not 0, for any number of values. The condition
+    on n, always true, keeps the count in every branch, so that all of them share one aggregate of the table.
     """
     counts = counts.where("n > 0")
-    seen = counts.select("b").distinct().limit(MAX_CATEGORIES + 1).agg(F.sort_array(F.collect_set("b")).alias("bs"))
-    checked = seen.select(
-        F.when(F.size("bs") <= MAX_CATEGORIES, F.col("bs")).otherwise(
-            F.raise_error(F.lit("too many categories for a contingency table"))
-        )
-    ).scalar()
-    grid = counts.select("a").distinct().select("a", F.explode(checked).alias("b"))
+    seen = counts.agg(F.sort_array(F.collect_set("b"))).scalar()
+    grid = counts.select("a").distinct().select("a", F.explode(seen).alias("b"))
     return grid.join(counts, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -93,9 +86,13 @@ def cross_grid(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def risk_slots(df: DataFrame, day: str, hour: str) -> DataFrame:
     """Cells above mean + population deviation over all cells, zeros included; in order of day and hour."""
-    grid = crosstab_counts(df, day, hour)
-    threshold = grid.agg(F.avg("n") + F.stddev_pop("n")).scalar()
-    hot = grid.withColumn("threshold", threshold).where("n > threshold")
+    # A cell of 0 adds nothing to either sum and is never above the threshold, so only its number matters.
+    cells = pair_counts(df, day, hour).where("n > 0")
+    grid = (F.count_distinct("a") * F.count_distinct("b")).cast("double")
+    n = F.col("n").cast("double")
+    mean, squares = F.sum(n) / grid, F.sum(n * n) / grid
+    threshold = cells.agg(mean + F.sqrt(F.greatest(squares - mean * mean, F.lit(0.0)))).scalar()
+    hot = cells.withColumn("threshold", threshold).where("n > threshold")
     label = F.concat_ws(" ", decode(F.col("a"), preset.DAY_ABBR), F.concat(F.col("b").cast("string"), F.lit(":00")))
     # At most days x hours rows are left here, so one window over all of them is small.
     order = Window.partitionBy().orderBy("a", "b")

@@ -25,49 +25,41 @@ def per_feature(
     return df.groupBy(*by).agg(*aggs).select(*by, F.inline(F.array(*rows)))
 
 
-def quantile_columns(
-    df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()
-) -> Callable[[str], list[Column]]:
+def quantile_columns(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> Callable[[str], list[Column]]:
     """Quantile aggregates per column: computed in place if few values are distinct, else fitted and put in as values."""
     cols = list(cols)
-    surveyed = quantiles.survey(df, cols, by)
+    surveyed = quantiles.survey(df, cols)
     few = quantiles.few_distinct(surveyed, cols)
     many = [c for c in cols if c not in few]
-    rest = quantiles.part_of_survey(surveyed, cols, many, by)
-    fitted = quantiles.narrow_quantiles(df, many, probs, by, surveyed=rest) if many else {}
-
-    def of(c: str) -> list[Column]:
-        if c in few:
-            return quantiles.percentile_exprs(c, probs)
-        out = []
-        for i in range(len(probs)):
-            pick: Column = F.lit(None).cast("double")
-            for group, values in fitted.items():
-                match: Column = F.lit(True)
-                for b, g in zip(by, group):
-                    match = match & F.first(F.col(b)).eqNullSafe(F.lit(g))
-                pick = F.when(match, F.lit(values[c][i])).otherwise(pick)
-            out.append(pick)
-        return out
-
-    return of
+    rest = quantiles.part_of_survey(surveyed, cols, many, ())
+    fitted = quantiles.narrow_quantiles(df, many, probs, surveyed=rest) if many else {}
+    values = fitted.get((), {})
+    return lambda c: quantiles.percentile_exprs(c, probs) if c in few else [F.lit(v).cast("double") for v in values[c]]
 
 
 def describe_numeric(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Count, mean, sample deviation, extremes and exact quartiles per column, optionally per group; null groups drop."""
     for b in by:
         df = df.where(F.col(b).isNotNull())
-    quartiles = quantile_columns(df, cols, [0.25, 0.5, 0.75], by)
+    probs = [0.25, 0.5, 0.75]
+    quartiles = None if by else quantile_columns(df, cols, probs)
 
     def build(c: str) -> dict[str, Column]:
         x = F.col(c).cast("double")
-        q1, q2, q3 = quartiles(c)
-        return {
-            "count": F.count(x), "mean": F.avg(x), "std": F.stddev_samp(x), "min": F.min(x),
-            "p25": q1, "p50": q2, "p75": q3, "max": F.max(x),
-        }
+        facts = {"count": F.count(x), "mean": F.avg(x), "std": F.stddev_samp(x), "min": F.min(x), "max": F.max(x)}
+        return facts | (dict(zip(("p25", "p50", "p75"), quartiles(c))) if quartiles else {})
 
-    return per_feature(df, cols, build, by)
+    found = per_feature(df, cols, build, by)
+    if by:
+        # Groups may be many: their quartiles are a table joined by group, never values in the plan.
+        per = quantiles.group_quantiles(df, cols, probs, by)
+        keys = {b: f"__{b}" for b in [*by, "feature"]}
+        per = per.withColumnsRenamed(keys)
+        same = F.lit(True)
+        for b, k in keys.items():
+            same = same & (F.col(b) == F.col(k))
+        found = found.join(per, same, "left").withColumns({n: F.get("q", F.lit(i)) for i, n in enumerate(("p25", "p50", "p75"))})
+    return found.select(*by, "feature", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def boxplot_stats(df: DataFrame, col: str, by: str) -> DataFrame:

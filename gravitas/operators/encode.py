@@ -12,15 +12,13 @@ from gravitas.operators.distributions import per_feature
 from gravitas.operators.reshape import arg_max, union_all
 from gravitas.session import ensure_checkpoint_dir
 
-DRIVER_LIMIT = 200_000
-ONEHOT_LIMIT = 1_000
+BROADCAST_BYTES = 16 << 20
 
 
 class LabelEncoder:
     """Code per value of each column, in ascending order of the values. A missing value gets ``null_code``.
 
-    Columns with at most DRIVER_LIMIT values in all keep a broadcast table; others a checkpointed one that is
-    joined by value.
+    Each column has a checkpointed table that is joined by value, sent to all tasks if it was measured to be small.
     """
 
     def __init__(self, tables: dict[str, tuple[DataFrame, int, bool]]):
@@ -51,45 +49,35 @@ class LabelEncoder:
 
 
 def fit_label(df: DataFrame, cols: Sequence[str]) -> LabelEncoder:
-    spark = df.sparkSession
     long = df.unpivot([], [F.col(c) for c in cols], "feature", "value").where(F.col("value").isNotNull()).distinct()
-    head = long.limit(DRIVER_LIMIT + 1).collect()
-    tables: dict[str, tuple[DataFrame, int, bool]] = {}
-    if len(head) <= DRIVER_LIMIT:
-        per: dict[str, list[str]] = {c: [] for c in cols}
-        for row in head:
-            per[row["feature"]].append(row["value"])
-        for c, values in per.items():
-            values.sort(key=lambda v: v.encode("utf-8"))
-            tables[c] = (spark.createDataFrame([(v, i) for i, v in enumerate(values)], "value string, code bigint"), len(values), True)
-        return LabelEncoder(tables)
+    coded, sizes = sorted_codes(long)
+    tables = {}
     for c in cols:
-        table, n = sorted_codes(df.where(F.col(c).isNotNull()).select(F.col(c).alias("value")).distinct())
-        tables[c] = (table, n, n <= DRIVER_LIMIT)
+        n, size = sizes.get(c, (0, 0))
+        tables[c] = (coded.where(F.col("feature") == c).select("value", "code"), n, size <= BROADCAST_BYTES)
     return LabelEncoder(tables)
 
 
-def sorted_codes(values: DataFrame) -> tuple[DataFrame, int]:
-    """Position of each value in ascending order, for any number of values.
+def sorted_codes(long: DataFrame) -> tuple[DataFrame, dict[str, tuple[int, int]]]:
+    """Position of each value of each feature in ascending order, and number and bytes of values per feature.
 
     A range-partitioned sort is written down, which fixes the partitions; a code is the size of the partitions before
-    a row's own plus its place inside it.
+    a row's own plus its place inside it. The driver sees one row per feature and partition.
     """
-    ensure_checkpoint_dir(values.sparkSession)
-    fixed = values.orderBy("value").checkpoint(eager=True)
-    placed = fixed.select("value", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
-    sizes = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    starts, total = {}, 0
-    for part in sorted(sizes):
-        starts[part] = total
-        total += sizes[part]
-    if not starts:
-        return fixed.select("value", F.lit(0).cast("bigint").alias("code")), 0
-    start = values.sparkSession.createDataFrame(list(starts.items()), "part int, start long")
-    coded = placed.join(F.broadcast(start), "part").select(
-        "value", (F.col("start") + F.col("at") - F.shiftleft(F.col("part").cast("bigint"), 33)).alias("code")
-    )
-    return coded, total
+    ensure_checkpoint_dir(long.sparkSession)
+    fixed = long.orderBy("feature", "value").checkpoint(eager=True)
+    placed = fixed.select("feature", "value", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
+    counted = placed.groupBy("feature", "part").agg(
+        F.count("*").alias("n"), F.min("at").alias("first"), F.sum(F.octet_length("value") + 24).alias("bytes")
+    ).collect()
+    sizes: dict[str, tuple[int, int]] = {}
+    starts = []
+    for r in sorted(counted, key=lambda r: (r["feature"], r["part"])):
+        n, size = sizes.get(r["feature"], (0, 0))
+        starts.append((r["feature"], r["part"], n - r["first"]))
+        sizes[r["feature"]] = (n + r["n"], size + r["bytes"])
+    start = long.sparkSession.createDataFrame(starts, "feature string, part int, start long")
+    return placed.join(F.broadcast(start), ["feature", "part"]).select("feature", "value", (F.col("start") + F.col("at")).alias("code")), sizes
 
 
 def encode_cardinality(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -101,21 +89,32 @@ def encode_cardinality(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     ).withColumn("high_cardinality", F.col("unique_values") > preset.HIGH_CARDINALITY)
 
 
+def fit_onehot(df: DataFrame, col: str, max_columns: int = 1_000) -> list[str]:
+    """The values that get a column each; a caller who wants a wider table says so."""
+    rows = df.where(F.col(col).isNotNull()).select(col).distinct().limit(max_columns + 1).collect()
+    if len(rows) > max_columns:
+        raise ValueError(f"{col} has more than {max_columns} values; raise max_columns or use label codes")
+    return sorted(r[0] for r in rows)
+
+
 def onehot(df: DataFrame, col: str, values: Sequence[str] | None = None) -> DataFrame:
-    """One 0/1 column per value; a missing value has 0 in all of them."""
+    """One 0/1 column per fitted value; a missing or unknown value has 0 in all of them."""
     if values is None:
-        rows = df.where(F.col(col).isNotNull()).select(col).distinct().limit(ONEHOT_LIMIT + 1).collect()
-        if len(rows) > ONEHOT_LIMIT:
-            raise ValueError(f"{col} has more than {ONEHOT_LIMIT} values; use label codes")
-        values = sorted(r[0] for r in rows)
+        values = fit_onehot(df, col)
     return df.withColumns({f"{col}_{v}": F.when(F.col(col) == v, 1).otherwise(0) for v in values}).drop(col)
 
 
-def encode_target(df: DataFrame, col: str, target: str, classes: Sequence[str]) -> DataFrame:
-    """Replace a category by the share of each target class among its rows; missing is a category of its own."""
-    shares = df.where(F.col(target).isNotNull()).groupBy(F.col(col).alias("__k")).agg(
+def fit_target_shares(df: DataFrame, col: str, target: str, classes: Sequence[str]) -> DataFrame:
+    """Share of each target class per category, as ``__k`` and one column per class; missing is a category of its own."""
+    return df.where(F.col(target).isNotNull()).groupBy(F.col(col).alias("__k")).agg(
         *[F.avg(F.when(F.col(target) == k, 1.0).otherwise(0.0)).alias(f"{col}_share_{i}") for i, k in enumerate(classes)]
     )
+
+
+def encode_target(df: DataFrame, col: str, target: str, classes: Sequence[str], shares: DataFrame | None = None) -> DataFrame:
+    """Replace a category by its shares, fitted on ``df`` itself or given; an unknown category has null shares."""
+    if shares is None:
+        shares = fit_target_shares(df, col, target, classes)
     return df.join(shares, F.col(col).eqNullSafe(F.col("__k")), "left").drop("__k", col)
 
 

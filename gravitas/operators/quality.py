@@ -152,19 +152,20 @@ def post_prep_checks(df: DataFrame, target: str, declared: T.StructType | None =
         want = {f.name: f.dataType for f in declared}
         mistyped = sum(1 for f in df.schema if want.get(f.name) != f.dataType)
 
+    # Names and verdicts of the checks are fixed values.
     def check(name: str, ok, otherwise: str, details):
         return F.struct(
             F.lit(name).alias("check"), F.when(ok, "PASS").otherwise(otherwise).alias("status"), details.alias("details")
         )
 
     rows = F.array(
-        check("Missing Values", F.col("m") == 0, "FAIL", F.concat(F.col("m").cast("string"), F.lit(" missing values found"))),
-        check("Infinite Values", F.col("i") == 0, "FAIL", F.concat(F.col("i").cast("string"), F.lit(" infinite values found"))),
-        check("Data Types", F.lit(mistyped) == 0, "WARN", F.lit(f"{len(numeric)} numeric columns")),
+        check("Missing Values", F.col("m") == 0, "FAIL", F.concat(F.lit("null cells: "), F.col("m").cast("string"))),
+        check("Infinite Values", F.col("i") == 0, "FAIL", F.concat(F.lit("infinite cells: "), F.col("i").cast("string"))),
+        check("Data Types", F.lit(mistyped) == 0, "WARN", F.lit(f"numbers: {len(numeric)} of {len(df.columns)}")),
         check(
-            "Target Variable", F.col("classes") > 1, "FAIL", F.concat(F.col("classes").cast("string"), F.lit(" unique classes"))
+            "Target Variable", F.col("classes") > 1, "FAIL", F.concat(F.lit("classes: "), F.col("classes").cast("string"))
         ),
-        check("Duplicate Rows", F.col("d") == 0, "WARN", F.concat(F.col("d").cast("string"), F.lit(" duplicate rows"))),
+        check("Duplicate Rows", F.col("d") == 0, "WARN", F.concat(F.lit("copies: "), F.col("d").cast("string"))),
     )
     return totals.select(F.inline(rows))
 

@@ -31,7 +31,7 @@ def domain_rules(df: DataFrame, rules: Sequence[Rule], examples: int = 5) -> Dat
         values.withColumn("p", place)
         .where(F.col("p") <= examples)
         .groupBy("feature")
-        .agg(F.array_join(F.transform(F.sort_array(F.collect_list("value")), lambda v: v.cast("bigint").cast("string")), ",").alias("examples"))
+        .agg(F.array_join(F.transform(F.sort_array(F.collect_list("value")), lambda v: F.when(v == F.floor(v), v.cast("bigint").cast("string")).otherwise(v.cast("string"))), ",").alias("examples"))
     )
     totals = values.groupBy("feature").agg(F.sum("n").alias("invalid_count"))
     listed = df.sparkSession.createDataFrame([(c, d) for c, _, _, d in rules], "feature string, rule string")

@@ -18,6 +18,8 @@ from gravitas.functions.hashing import order_key
 FIRST_STEP = 2
 STEP = 3
 LEAF_ROWS = 100_000
+# Digits of an order key; rows that agree on all of them have the same id.
+KEY_DIGITS = 32
 MAX_CLASSES = 1_000
 
 
@@ -30,6 +32,8 @@ def class_counts(df: DataFrame, target: str) -> dict:
 
 def prefix_counts(df: DataFrame, target: str, row_id: str, seed: int) -> dict[object, list[tuple[str, int]]]:
     """Rows per class and first digits of the order key; at most 256 entries per class, so they fit the driver."""
+    if not df.where(F.col(row_id).isNull()).isEmpty():
+        raise ValueError(f"{row_id!r} has rows without an id; add ids first, as with_row_id does")
     keyed = df.where(F.col(target).isNotNull()).select(
         F.col(target).alias("c"), F.substring(order_key(F.col(row_id), seed), 1, FIRST_STEP).alias("q")
     )
@@ -98,6 +102,8 @@ def _inside(keyed: DataFrame, prefixes: Sequence[tuple]) -> DataFrame:
 
 def _descend(keyed: DataFrame, deep: dict) -> dict:
     size = len(next(iter(deep.values()))[0])
+    if size >= KEY_DIGITS:
+        raise ValueError("an id is repeated so often that its rows cannot be told apart; ids must be unique")
     prefixes = sorted({(c, p) for (c, _), (p, _, _) in deep.items()}, key=repr)
     longer = _inside(keyed, prefixes).withColumn("q", F.substring("k", 1, size + STEP))
     counts: dict = {}

@@ -264,12 +264,12 @@ def importances(spark, sf):
     "mean_importance_top5",
     on_predictions(
         f"select feature as Feature, {r('avg(i)')} as Importance from (select *, row_number() over (partition by model order by "
-        "round(i, 9) desc, feature) as place from imp) where place <= 3 group by 1 order by round(avg(i), 9) desc, 1 limit 5",
+        "round(i, 9) desc, feature) as place from imp) where place <= 10 group by 1 order by round(avg(i), 9) desc, 1 limit 5",
         ("imp", union_all(f"select model, '{c}' as feature, abs(corr({c}, actual)) as i from predictions group by 1" for c in IMPORTANT)),
     ),
 )
 def _(spark, sf):
-    return rounded(ranking.mean_importance_top5(importances(spark, sf), listed=3))
+    return rounded(ranking.mean_importance_top5(importances(spark, sf)))
 
 
 CV_CTES = [

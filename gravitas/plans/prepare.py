@@ -26,7 +26,7 @@ class Preparation:
         self.rows = df.count()
         self.log: list[tuple] = []
         self.encoders: dict[str, int] = {}
-        self._note("data_loading", "loaded_data", None, f"Loaded {self.rows:,} records")
+        self._note("data_loading", "loaded_data", None, f"rows: {self.rows}")
 
     @classmethod
     def load_data(cls, spark: SparkSession, path: str, fmt: str = "csv", target: str = preset.TARGET, row_id: str = "event_id"):
@@ -47,16 +47,16 @@ class Preparation:
         if strategy in ("auto", "mode_median"):
             fitted = impute.fit_auto(self.df, preset.MOSTLY_NULL_PERCENT if strategy == "auto" else None)
             self.df = fitted.transform(self.df)
-            details = f"Imputed {len(fitted.fills)} features, {sum(n for *_, n in fitted.fills.values()):,} values"
+            details = f"columns: {len(fitted.fills)}, cells: {sum(n for *_, n in fitted.fills.values())}"
         elif strategy == "drop":
             self.df = impute.impute_drop(self.df)
             self.rows = self.df.count()
-            details = f"Dropped {before[0] - self.rows:,} rows"
+            details = f"rows left out: {before[0] - self.rows}"
         elif strategy == "forward_fill":
             cols = self._features(self.df.columns)
             cols = [c for c in cols if c != order and c not in (by or [])]
             self.df = impute.impute_ffill(self.df, cols, order or self.row_id, self.row_id, by or [])
-            details = f"Filled {len(cols)} features forward"
+            details = f"columns: {len(cols)}"
         else:
             raise ValueError(f"unknown strategy {strategy!r}")
         self._note("missing_values", "imputation", before, details)
@@ -67,7 +67,7 @@ class Preparation:
         cols = [c for c in preset.OUTLIER_COLUMNS if c in self.df.columns]
         fitted = cap.fit_cap(self.df, cols, method, threshold)
         self.df = fitted.transform(self.df)
-        self._note("outlier_treatment", f"{method}_capping", before, f"Treated outliers in {len(fitted.bounds)} features")
+        self._note("outlier_treatment", f"{method}_capping", before, f"columns: {len(fitted.bounds)}")
         return self.df
 
     def data_transformation(self, auto_detect_skew: bool = True, skew_threshold: float = preset.SKEW_THRESHOLD) -> DataFrame:
@@ -78,14 +78,14 @@ class Preparation:
         else:
             cols = [c for c in preset.LOG_COLUMNS if c in numeric]
         self.df = skew.apply_log1p(self.df, cols)
-        self._note("data_transformation", "log_transformation", before, f"Transformed {len(cols)} features")
+        self._note("data_transformation", "log_transformation", before, f"columns: {len(cols)}")
         return self.df
 
     def transform_datetime(self, fmt: str = preset.DATE_FORMAT) -> DataFrame:
         before = self._shape()
         if preset.DATE in self.df.columns:
             self.df = features.datetime_features(self.df, preset.DATE, fmt)
-            self._note("datetime", "extract_features", before, "Extracted year, month, day and hour")
+            self._note("datetime", "extract_features", before, "columns: year, month, day, hour")
         return self.df
 
     def feature_engineering(self, create_interactions: bool = True) -> DataFrame:
@@ -93,7 +93,7 @@ class Preparation:
         had = set(self.df.columns)
         self.df = features.engineer(self.df, create_interactions)
         new = [c for c in self.df.columns if c not in had]
-        self._note("feature_engineering", "create_features", before, f"Created {len(new)} new features: {', '.join(new)}")
+        self._note("feature_engineering", "create_features", before, f"added: {', '.join(new)}")
         return self.df
 
     def encode_features(self, encoding_strategy: str = "auto") -> DataFrame:
@@ -112,7 +112,7 @@ class Preparation:
                 self.df = encode.encode_target(self.df, c, self.target, classes)
         else:
             raise ValueError(f"unknown strategy {encoding_strategy!r}")
-        self._note("feature_encoding", f"{encoding_strategy}_encoding", before, f"Encoded {len(text)} categorical features")
+        self._note("feature_encoding", f"{encoding_strategy}_encoding", before, f"columns: {len(text)}")
         return self.df
 
     def scale_features(self, scaling_method: str = "standard", exclude_binary: bool = True) -> DataFrame:
@@ -120,7 +120,7 @@ class Preparation:
         cols = self._features(numeric_columns(self.df))
         fitted = scale.fit_scale(self.df, cols, scaling_method, exclude_binary)
         self.df = fitted.transform(self.df)
-        self._note("feature_scaling", f"{scaling_method}_scaling", before, f"Scaled {len(fitted.params)} features")
+        self._note("feature_scaling", f"{scaling_method}_scaling", before, f"columns: {len(fitted.params)}")
         return self.df
 
     def handle_imbalance(self, method: str = "smote") -> DataFrame:
@@ -128,7 +128,7 @@ class Preparation:
         cols = self._features(numeric_columns(self.df))
         self.df = resample.resample(self.df, self.target, self.row_id, cols, method)
         self.rows = self.df.count()
-        self._note("imbalance_handling", f"{method}_resampling", before, f"{before[0]:,} → {self.rows:,} samples")
+        self._note("imbalance_handling", f"{method}_resampling", before, f"rows: {before[0]} to {self.rows}")
         return self.df
 
     def validate_data_quality(self) -> DataFrame:

@@ -17,7 +17,8 @@ class Profile:
         require(df, target)
         self.df = df
         self.target = target
-        self.insights: list[str] = []
+        #: Findings as (kind, subject, figure).
+        self.found: list[tuple[str, str, float]] = []
 
     @classmethod
     def load_data(cls, spark: SparkSession, path: str, fmt: str = "csv", target: str = preset.TARGET) -> Profile:
@@ -32,22 +33,22 @@ class Profile:
         if numeric:
             out["describe"] = distributions.describe_numeric(self.df, numeric)
         row = quality.missing_total(self.df).first()
-        n = row["cells"] // len(self.df.columns)
-        self.insights.append(f"Dataset contains {n:,} accident records with {row['missing_percent'] or 0:.1f}% missing data")
+        self.found.append(("rows", "table", row["cells"] // len(self.df.columns)))
+        self.found.append(("missing percent", "table", row["missing_percent"] or 0))
         return out
 
     def target_distribution(self) -> dict[str, DataFrame]:
         dist = distributions.target_distribution(self.df, self.target)
         top = dist.orderBy("n", ascending=False).first()
         if top:
-            self.insights.append(f"Most accidents result in '{top['value']}' ({top['percent']:.1f}%)")
+            self.found.append(("largest class percent", str(top["value"]), top["percent"]))
         return {"distribution": dist, "imbalance": distributions.class_imbalance(self.df, self.target)}
 
     def missing_value_analysis(self) -> dict[str, DataFrame]:
         missing = quality.missing_by_column(self.df)
         worst = missing.first()
         if worst:
-            self.insights.append(f"'{worst['feature']}' has the most missing values ({worst['missing_percent']:.1f}%)")
+            self.found.append(("highest missing percent", worst["feature"], worst["missing_percent"]))
         return {"missing": missing, "patterns": quality.missing_correlation(self.df)}
 
     def univariate_analysis(self) -> dict[str, DataFrame]:
@@ -57,7 +58,7 @@ class Profile:
             out["rush_hours"] = distributions.rush_hour_totals(self.df, preset.HOUR)
             peak = out["hourly"].where("is_peak").first()
             if peak:
-                self.insights.append(f"Peak accident hour is {peak['code']}:00 with {peak['n']:,} accidents")
+                self.found.append(("rows in the busiest hour", str(peak["code"]), peak["n"]))
         if self._has(preset.DAY):
             out["daily"] = distributions.daily_distribution(self.df, preset.DAY)
         if self._has(preset.MONTH):
@@ -66,7 +67,7 @@ class Profile:
             out["weather"] = distributions.category_top10(self.df, preset.WEATHER)
             usual = out["weather"].where("is_most_common").first()
             if usual:
-                self.insights.append(f"Most accidents occur in '{usual['value']}' conditions")
+                self.found.append(("rows in the usual weather", str(usual["value"]), usual["n"]))
         return out
 
     def bivariate_analysis(self) -> dict[str, DataFrame]:
@@ -76,7 +77,7 @@ class Profile:
             out["severity_rate"] = crosstabs.severity_rate_by_hour(self.df, preset.HOUR, self.target)
             peak = out["severity_rate"].where("is_peak").first()
             if peak:
-                self.insights.append(f"Hour {peak['hour']}:00 has the highest severity rate")
+                self.found.append(("highest severity percent by hour", str(peak["hour"]), peak["severity_rate"]))
         if self._has(preset.DAY):
             out["day_by_target"] = crosstabs.crosstab_row_pct(self.df, preset.DAY, self.target)
         if self._has(preset.WEATHER):
@@ -91,7 +92,7 @@ class Profile:
             out["risk_slots"] = crosstabs.risk_slots(self.df, preset.DAY, preset.HOUR)
             n = out["risk_slots"].count()
             if n:
-                self.insights.append(f"Identified {n} high-risk time slots")
+                self.found.append(("busy day and hour slots", "table", n))
             out["risk_category"] = crosstabs.risk_category_severity(self.df, preset.HOUR, preset.DAY, self.target)
         if self._has(preset.WEATHER, preset.HOUR):
             kept = crosstabs.keep_top_values(self.df, {preset.WEATHER: 5, preset.HOUR: 8})
@@ -114,7 +115,7 @@ class Profile:
             out["target"] = correlation.target_correlations(matrix, self.target)
         top = out["strong"].first()
         if top:
-            self.insights.append(f"Strongest correlation: {top['feature_1']} ↔ {top['feature_2']} ({top['correlation']:.3f})")
+            self.found.append(("strongest correlation", f"{top['feature_1']}, {top['feature_2']}", top["correlation"]))
         return out
 
     def outlier_detection(self) -> dict[str, DataFrame]:
@@ -130,7 +131,7 @@ class Profile:
         }
         worst = summary.orderBy("percent", ascending=False).first()
         if worst:
-            self.insights.append(f"'{worst['feature']}' has the most outliers ({worst['percent']:.1f}%)")
+            self.found.append(("highest outlier percent", worst["feature"], worst["percent"]))
         return out
 
     def domain_validation(self) -> dict[str, DataFrame]:
@@ -141,15 +142,20 @@ class Profile:
             out["consistency"] = rules.injury_consistency(self.df, preset.TOTAL, parts)
             out["summary"] = rules.rules_summary(out["ranges"], out["consistency"])
         total = out["ranges"].agg({"invalid_count": "sum"}).first()[0] or 0
-        self.insights.append(f"Found {total:,} domain validation issues" if total else "All domain validation checks passed")
+        self.found.append(("values outside their range", "table", total))
         return out
 
     def generate_summary(self) -> DataFrame:
         return quality.eda_summary(self.df, self.insights)
 
+    @property
+    def insights(self) -> list[str]:
+        return [f"{kind}: {subject} = {figure:.6g}" for kind, subject, figure in self.found]
+
     def findings(self) -> DataFrame:
         """The findings so far, in the order they were made."""
-        return self.df.sparkSession.createDataFrame(list(enumerate(self.insights, 1)), "ordinal int, insight string")
+        rows = [(i, kind, subject, float(figure)) for i, (kind, subject, figure) in enumerate(self.found, 1)]
+        return self.df.sparkSession.createDataFrame(rows, "ordinal int, kind string, subject string, figure double")
 
     def run_complete_analysis(self) -> dict[str, dict[str, DataFrame]]:
         steps = [

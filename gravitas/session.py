@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,7 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(app: str = "gravitas", cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """Local session for tests and benchmarks; on a cluster the submitter's session is used instead."""
+    """The session that is there or that the submitter has set up; else a local one, for tests and benchmarks."""
+    if (active := SparkSession.getActiveSession()) is not None:
+        return active
+    if "PYSPARK_GATEWAY_PORT" in os.environ or "--master" in os.environ.get("PYSPARK_SUBMIT_ARGS", ""):
+        return SparkSession.builder.appName(app).getOrCreate()
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)

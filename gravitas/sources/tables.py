@@ -63,14 +63,17 @@ def infer_schema(df: DataFrame) -> T.StructType:
 
 
 def scan_table(
-    spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | None = None
+    spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | None = None, multi_line: bool = False
 ) -> DataFrame:
-    """A table from Parquet, or from header CSV with a given or inferred schema. Missing files raise."""
+    """A table from Parquet, or from header CSV with a given or inferred schema. Missing files raise.
+
+    A CSV whose quoted fields hold line breaks needs ``multi_line``; each such file is read by one task.
+    """
     if fmt == "parquet":
         return nan_to_null(spark.read.parquet(path))
     if fmt != "csv":
         raise ValueError(f"unknown format {fmt!r}")
-    text = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    text = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
     return normalise_text(text, schema if schema is not None else infer_schema(text))
 
 
@@ -100,5 +103,6 @@ def scan_splits(spark: SparkSession, path: str, target: str, include_validation:
 
 
 def same_columns(left: DataFrame, right: DataFrame) -> None:
-    if left.columns != right.columns:
-        raise ValueError(f"feature columns differ: {sorted(set(left.columns) ^ set(right.columns))}")
+    """Names, order and types must agree."""
+    if left.dtypes != right.dtypes:
+        raise ValueError(f"feature columns differ: {sorted(set(left.dtypes) ^ set(right.dtypes)) or 'in their order'}")

@@ -151,9 +151,9 @@ def test_single_class(spark):
 def test_post_prep_checks_find_infinity_and_copies(spark):
     df = frame(spark, [(float("inf"), "a"), (1.0, "b"), (1.0, "b"), (None, "b")], "x double, t string")
     status = {r["check"]: (r.status, r.details) for r in quality.post_prep_checks(df, "t", df.schema).collect()}
-    assert status["Infinite Values"] == ("FAIL", "1 infinite values found")
-    assert status["Missing Values"] == ("FAIL", "1 missing values found")
-    assert status["Duplicate Rows"] == ("WARN", "1 duplicate rows")
+    assert status["Infinite Values"] == ("FAIL", "infinite cells: 1")
+    assert status["Missing Values"] == ("FAIL", "null cells: 1")
+    assert status["Duplicate Rows"] == ("WARN", "copies: 1")
     assert status["Data Types"][0] == "PASS"
 
 
