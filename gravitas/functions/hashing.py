@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Width of a draw in bits; 8 hex digits of an md5.
@@ -25,3 +25,14 @@ def hex_slice(key: Column, start: int) -> Column:
 
 def unit_draw(key: Column, start: int) -> Column:
     return hex_slice(key, start) / F.lit(DRAW_RANGE)
+
+
+def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
+    """Add a unique text id that depends on a row's values alone: their md5 and a number among equal rows.
+
+    Equal rows are counted before the shuffle, so it moves each distinct row about once.
+    """
+    counted = df.groupBy(*df.columns).agg(F.count("*").alias("__n"))
+    content = F.md5(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).cast("binary"))
+    numbered = counted.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__n"))))
+    return numbered.select(F.concat_ws("-", content, F.col("__i").cast("string")).alias(name), *df.columns)

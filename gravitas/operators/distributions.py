@@ -83,8 +83,8 @@ def mode_of(df: DataFrame, col: str) -> DataFrame:
 def target_distribution(df: DataFrame, target: str) -> DataFrame:
     """Count and percent per class; the percent is of all rows, also those without a class."""
     counted = df.groupBy(F.col(target).alias("value")).agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
-    return counted.withColumn("percent", percent(F.col("n"), total)).where(F.col("value").isNotNull())
+    total = counted.agg(F.sum("n")).scalar()
+    return counted.where(F.col("value").isNotNull()).withColumn("percent", percent(F.col("n"), total))
 
 
 def class_imbalance(df: DataFrame, target: str) -> DataFrame:

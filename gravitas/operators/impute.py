@@ -52,8 +52,11 @@ class Imputer:
 
     def transform(self, df: DataFrame) -> DataFrame:
         new: dict[str, Column] = {}
-        for c, (_, value, _) in self.fills.items():
+        for c, (_, value, nulls) in self.fills.items():
             kind = df.schema[c].dataType
+            if not nulls:  # a null that fitting has not seen; the column keeps its type
+                new[c] = F.coalesce(F.col(c), F.lit(value).cast(kind))
+                continue
             whole = isinstance(value, float) and isinstance(kind, T.IntegralType)
             col = F.col(c).cast("double") if whole else F.col(c)
             new[c] = F.coalesce(col, F.lit(value))
@@ -68,15 +71,18 @@ def _text(value: object) -> str:
     return f"{value:.6f}" if isinstance(value, float) else str(value)
 
 
-def fit_auto(df: DataFrame, mostly_null_percent: float | None = preset.MOSTLY_NULL_PERCENT) -> Imputer:
+def fit_auto(
+    df: DataFrame, mostly_null_percent: float | None = preset.MOSTLY_NULL_PERCENT, every: bool = False
+) -> Imputer:
     """Mode for strings and median for numbers, in columns with nulls that are not mostly null.
 
-    With ``mostly_null_percent`` None no column is left out: the mode-median strategy.
+    With ``mostly_null_percent`` None no column is left out: the mode-median strategy. With ``every`` columns without
+    nulls get a fill as well, for rows that come later.
     """
     text, numeric = string_columns(df), numeric_columns(df)
     rows, nulls, distinct = null_counts(df, [*text, *numeric], numeric)
     bound = 100.0 if mostly_null_percent is None else mostly_null_percent
-    todo = [c for c, n in nulls.items() if 0 < n < rows and n * 100.0 / rows <= bound]
+    todo = [c for c, n in nulls.items() if (every or n > 0) and n < rows and n * 100.0 / rows <= bound]
     by_mode = modes(df, [c for c in todo if c in text])
     gaps = [c for c in todo if c in numeric]
     by_median = medians(df, gaps, [c for c in gaps if is_few(distinct[c])])

@@ -179,7 +179,7 @@ def nearest_neighbours(
 ) -> DataFrame:
     """k nearest other points of the same group for each query, nearer first, equally near ones by id.
 
-    ``points`` has ``id`` bigint unique, ``g`` string, ``vec`` array<double> without nulls, and may have a string ``tag``
+    ``points`` has ``id`` unique, of any type that sorts, ``g`` string, ``vec`` array<double> without nulls, and may have a string ``tag``
     that neighbours carry along; ``queries`` has a subset of its ids. The result has ``id``, ``g``, ``tag``, ``vec`` and
     ``neighbours``, an array of (dist, id, tag, vec).
     """
@@ -254,4 +254,4 @@ def as_points(
     g = F.col(group).cast("string") if group else F.lit("")
     t = F.col(tag).cast("string") if tag else F.lit(None).cast("string")
     vec = F.array(*[F.col(c).cast("double") for c in features])
-    return df.select(F.col(row_id).cast("bigint").alias("id"), g.alias("g"), vec.alias("vec"), t.alias("tag"))
+    return df.select(F.col(row_id).alias("id"), g.alias("g"), vec.alias("vec"), t.alias("tag"))

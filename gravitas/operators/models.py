@@ -104,11 +104,13 @@ def assembler(features: Sequence[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol=FEATURES, handleInvalid="error")
 
 
-def prepare(df: DataFrame, target: str, features: Sequence[str], indexer: StringIndexerModel | None = None) -> Prepared:
-    """Add features, label index and class weight."""
+def prepare(
+    df: DataFrame, target: str, features: Sequence[str], indexer: StringIndexerModel | None = None, row_id: str = "event_id"
+) -> Prepared:
+    """Add features, label index and class weight; the id is carried along if there is one."""
     ensure_checkpoint_dir(df.sparkSession)
     fitted = indexer or label_indexer(target).fit(df)
-    carried = [c for c in ("event_id", "fold") if c in df.columns]
+    carried = [c for c in (row_id, "fold") if c in df.columns]
     weighted = with_class_weight(df, target)
     frame = assembler(features).transform(fitted.transform(weighted)).select(*carried, target, LABEL, WEIGHT, FEATURES)
     return Prepared(frame, list(features), fitted, frame.count())

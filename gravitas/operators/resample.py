@@ -40,7 +40,8 @@ def resample(
     if method not in ("smote", "adasyn", "borderline", "none"):
         raise ValueError(f"unknown method {method!r}; use smote, adasyn, borderline or none")
     kept = [row_id, target, *features]
-    extra = {"base_id": F.lit(None).cast("bigint"), "neighbour_id": F.lit(None).cast("bigint")} if trace else {}
+    kind = df.schema[row_id].dataType
+    extra = {"base_id": F.lit(None).cast(kind), "neighbour_id": F.lit(None).cast(kind)} if trace else {}
     originals = df.select(*kept).withColumns({"is_synthetic": F.lit(False), **extra})
     counts = class_counts(df, target)
     if method == "none" or imbalance_ratio(counts) < preset.BALANCED_BELOW:
@@ -99,7 +100,7 @@ def _dealt(rows: DataFrame, target: str, row_id: str, wanted: dict, sizes: dict,
     side = rows.sparkSession.createDataFrame(plan, f"__c {kind}, __whole bigint, __cut string")
     more = F.when(order_key(F.col(row_id), seed) <= F.col("__cut"), 1).otherwise(0)
     return rows.join(F.broadcast(side), F.col(target) == F.col("__c")).select(
-        F.col(row_id).cast("bigint").alias("id"), F.col(target).cast("string").alias("g"), (F.col("__whole") + more).alias("reps")
+        F.col(row_id).alias("id"), F.col(target).cast("string").alias("g"), (F.col("__whole") + more).alias("reps")
     )
 
 
@@ -111,7 +112,7 @@ def _smote_bases(df, minority, target, row_id, features, short, k, seed) -> Data
 def other_class_neighbours(df, minority, target, row_id, features, k) -> DataFrame:
     """How many of the k nearest rows of any class have another class, for each row of ``minority``."""
     points = as_points(df, row_id, features, tag=target)
-    near = nearest_neighbours(points, k, minority.select(F.col(row_id).cast("bigint").alias("id")))
+    near = nearest_neighbours(points, k, minority.select(F.col(row_id).alias("id")))
     differs = F.filter("neighbours", lambda e: ~e["tag"].eqNullSafe(F.col("tag")))
     own = F.col("tag").cast(df.schema[target].dataType)
     return near.select("id", own.alias("own"), F.size(differs).alias("others"))

@@ -19,7 +19,7 @@ from gravitas.plans.training import Training
 from gravitas.session import fresh_path
 from gravitas.sources import sinks
 from gravitas.sources.accidents import accidents, events, predictions, spark_accidents_sql
-from gravitas.streaming import score
+from gravitas.streaming import saved, score
 
 BY = ["model"]
 
@@ -366,7 +366,7 @@ def _(spark, sf):
 
 @query("fit_forest")
 def _(spark, sf):
-    return fitted_results(spark, sf, ["Random Forest"], models.PAGE)
+    return fitted_results(spark, sf, ["Random Forest"])
 
 
 @query("train_and_evaluate")
@@ -425,16 +425,12 @@ def _(spark, sf):
 
 
 def scorer(spark, sf):
-    """A fitted tree and the function that turns raw rows into scored ones."""
+    """A tree fitted, saved with its preparation, and loaded again; it turns raw rows into scored ones."""
     run, done = training(spark, sf, ["Decision Tree"])
     run.train_and_evaluate()
-    pipeline = run.pipelines()["Decision Tree"]
-    classes = run.ready.classes
-
-    def apply(raw):
-        return score.score_batch(done.fitted.transform(raw), pipeline, run.features, classes, "event_id")
-
-    return apply
+    path = fresh_path(spark, "scorer")
+    saved.save_scorer(done.fitted, run.pipelines()["Decision Tree"], run.ready.classes, "event_id", path, spark)
+    return saved.load_scorer(spark, path)
 
 
 @query("score_batch")

@@ -196,10 +196,12 @@ def _finite(df: DataFrame) -> DataFrame:
 def fit_preparation(train: DataFrame, target: str, row_id: str) -> Fitted:
     """Fit every step on training rows, in the order they are applied.
 
-    Each fit is a pass; the rows are kept meanwhile, so that no pass parses dates or recomputes the split again.
+    Each fit is a pass; the rows are kept meanwhile, so that no pass parses dates or recomputes the split again. Every
+    column that is not mostly null gets a fill, also for nulls that only later rows have; mostly null numbers are no
+    features.
     """
     with cached(_dated(train)) as raw:
-        imputer = impute.fit_auto(raw.drop(target))
+        imputer = impute.fit_auto(raw.drop(target, row_id), every=True)
         out = imputer.transform(raw)
         usual = mode_of(out, preset.WEATHER).first()["mode"] if preset.WEATHER in out.columns else None
         out = features.engineer(out, True, usual)
@@ -211,7 +213,8 @@ def fit_preparation(train: DataFrame, target: str, row_id: str) -> Fitted:
         text = string_columns(out, [target])
         encoder = encode.fit_label(out, text) if text else None
         out = _finite(encoder.transform(out, unknown_code=-1) if encoder else out)
-        numeric = numeric_columns(out, [target, row_id, "split", "fold"])
+        gaps = [c for c in numeric_columns(raw) if c not in imputer.fills]
+        numeric = numeric_columns(out, [target, row_id, "split", "fold", *gaps])
         scaler = scale.fit_scale(out, numeric, exclude_binary=True)
     return Fitted(imputer, usual, capper, logged, encoder, scaler, numeric)
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gravitas.operators.ranking import select_best_model
 from gravitas.sources.tables import scan_table
@@ -61,7 +63,8 @@ def sink_splits(df: DataFrame, path: str, target: str, test_size: float, validat
 
 
 def folder_name(model: str) -> str:
-    return model.replace(" ", "_").replace("(", "").replace(")", "")
+    """The name without characters that a path should not hold."""
+    return re.sub(r"[^A-Za-z0-9_.-]", "", re.sub(r"\s", "_", model))
 
 
 def sink_model(
@@ -92,12 +95,30 @@ def sink_model(
     return spark.read.schema(schema + ", written_at string").json(f"{folder}/info")
 
 
+CATALOG = (
+    "name string, class string, uid string, model_name string, selection_metric string, selection_score double, "
+    "model_type string, feature_count int, performance_metrics map<string,double>"
+)
+
+
+def _matches(spark: SparkSession, pattern: str) -> bool:
+    """Whether any file has such a path; also false if the folder is missing."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+    return found is not None and len(found) > 0
+
+
 def model_catalog(spark: SparkSession, path: str) -> DataFrame:
     """Saved models with what their description says; one whose description is missing or unreadable is still listed."""
+    if not _matches(spark, f"{path}/*/model/metadata/part-*"):
+        return spark.createDataFrame([], CATALOG)
     folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/(?:model/metadata|info)/[^/]+$", 1)
     found = spark.read.text(f"{path}/*/model/metadata/part-*").select(
         folder.alias("name"), F.get_json_object("value", "$.class").alias("class"), F.get_json_object("value", "$.uid").alias("uid")
     )
+    if not _matches(spark, f"{path}/*/info/part-*"):
+        blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(CATALOG).fields[3:]]
+        return found.select("*", *blank)
     described = (
         spark.read.text(f"{path}/*/info/part-*")
         .select(
