@@ -23,7 +23,7 @@ from gravitas.llm import text as tx
 
 #: An anchor found more often is handled window by window.
 FREQUENT = 1000
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -92,7 +92,7 @@ def anchor_counts(docs: DataFrame, units: Units) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
 
 
-def runs_by_document(docs: DataFrame, units: Units, frequent: int) -> DataFrame:
+def runs_by_document(docs: DataFrame, counts: DataFrame, units: Units, frequent: int) -> DataFrame:
     """``doc_id, runs``: the runs whose anchor occurs again, as array of (at, key, often); a document's own, no more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,19 +103,18 @@ def runs_by_document(docs: DataFrame, units: Units, frequent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), pa.array(key), pa.array(at)], names=["doc_id", "key", "at"])
 
     schema = docs.select("doc_id", F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("at")).schema
-    found = docs.select("doc_id", "text").mapInArrow(run, schema).join(anchor_counts(docs, units), "key")
+    found = docs.select("doc_id", "text").mapInArrow(run, schema).join(counts, "key")
     return found.groupBy("doc_id").agg(F.collect_list(F.struct("at", "key", (F.col("n") > frequent).alias("often"))).alias("runs"))
 
 
 def same_id(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     """Join on ``doc_id``, a null id being an id like any other; the right side's other columns are added."""
-    renamed = right.withColumnRenamed("doc_id", "_id")
-    return left.join(renamed, left["doc_id"].eqNullSafe(renamed["_id"]), how).drop("_id")
+    return left.join(right.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), how).drop("_id")
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """Every document with its spans, an empty array where there are none."""
-    return same_id(docs, spans, "left").withColumn("spans", F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)))
+    """``doc_id, size, packed, spans`` for every document, an empty array where there are no spans."""
+    return same_id(tx.packed_texts(docs), spans, "left").withColumn("spans", F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)))
 
 
 def cut_segments(docs: DataFrame, runs: DataFrame, units: Units) -> DataFrame:
@@ -123,9 +122,9 @@ def cut_segments(docs: DataFrame, runs: DataFrame, units: Units) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tx.pieces(batch, "text"):
-                data, starts, gap = units.packed(*tx.bytes_of(part.column("text")))
-                first = units.grams(*tx.bytes_of(part.column("text")), 0)[1]
+            for part, data, offsets in tx.unpacked(batch):
+                first = units.grams(data, offsets, 0)[1]
+                data, starts, gap = units.packed(data, offsets)
                 listed = part.column("runs")
                 flat = listed.flatten()
                 row = np.repeat(np.arange(part.num_rows), pc.list_value_length(listed).to_numpy(zero_copy_only=False))
@@ -141,7 +140,7 @@ def cut_segments(docs: DataFrame, runs: DataFrame, units: Units) -> DataFrame:
                     )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return same_id(docs.select("doc_id", "text"), runs, "inner").mapInArrow(run, f"doc_id {kind}, start int, n int, key long, often boolean, segment binary")
+    return same_id(tx.packed_texts(docs), runs, "inner").mapInArrow(run, f"doc_id {kind}, start int, n int, key long, often boolean, segment binary")
 
 
 def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Iterator[pa.Table]:
@@ -166,11 +165,24 @@ def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Itera
         yield pa.Table.from_batches(held)
 
 
-def judged(distinct: DataFrame, judge: Judge) -> DataFrame:
+def disputed(block: pa.Table, units: Units) -> np.ndarray:
+    """Segments that can hold equal windows: their anchor has other segments, or stands twice in the only one."""
+    key = block.column("key").to_numpy()
+    grams, first = units.grams(*tx.bytes_of(pa.concat_arrays(block.column("segment").chunks)), units.k)
+    row = np.searchsorted(first, np.arange(len(grams)), "right") - 1
+    places = np.bincount(row[grams.view(np.int64) == key[row]], minlength=len(key))
+    new = np.append(True, key[1:] != key[:-1])
+    return ~(new & np.append(new[1:], True)) | (places > 1)
+
+
+def judged(distinct: DataFrame, units: Units, judge: Judge) -> DataFrame:
     """``key, seg, marks`` for segments with marks: half-open ranges of window numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
+            block = block.filter(pa.array(disputed(block, units)))
+            if not block.num_rows:
+                continue
             marks = judge(*tx.bytes_of(pa.concat_arrays(block.column("segment").chunks)), block.column("copies").to_numpy())
             keep, lo, hi, sizes = [], [], [], []
             for i, marked in enumerate(marks):
@@ -190,15 +202,18 @@ def judged(distinct: DataFrame, judge: Judge) -> DataFrame:
     return together.select("key", "segment", "copies", F.xxhash64("segment").alias("seg")).mapInArrow(run, "key long, seg long, marks array<struct<lo:int,hi:int>>")
 
 
-def compared(distinct: DataFrame, units: Units) -> DataFrame:
-    """The same for segments of very frequent anchors: each window is a row, and equal rows are counted by Spark."""
+def compared(distinct: DataFrame, units: Units) -> tuple[DataFrame, DataFrame]:
+    """The same for segments of very frequent anchors: each window is a row, and equal rows are counted by Spark.
+
+    Also gives the written table of counts. It stands on its own so that adaptive execution can split a frequent
+    window's rows in the join with it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            segments = batch.column("segment")
-            data, offsets = tx.bytes_of(segments)
+            data, offsets = tx.bytes_of(batch.column("segment"))
+            first = units.grams(data, offsets, 0)[1]
             data, starts, gap = units.packed(data, offsets)
-            first = units.grams(*tx.bytes_of(segments), 0)[1]
             n = np.diff(first) - units.size + 1
             row = np.repeat(np.arange(batch.num_rows), n)
             o = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
@@ -214,12 +229,12 @@ def compared(distinct: DataFrame, units: Units) -> DataFrame:
     each = often.mapInArrow(run, schema)
     if "first" in each.columns:
         each = each.withColumn("first", F.struct(F.col("first.doc_id").alias("doc_id"), (F.col("first.start") + F.col("o")).alias("start")))
-        best = each.groupBy("window").agg(F.min("first").alias("best"))
+        best = tx.written(each.groupBy("window").agg(F.min("first").alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "windows")
         again = each.join(best, "window").where(~F.col("first").eqNullSafe(F.col("best")))
     else:
-        best = each.groupBy("window").agg(F.sum("copies").alias("total")).where("total > 1")
+        best = tx.written(each.groupBy("window").agg(F.sum("copies").alias("total")).where("total > 1"), "windows")
         again = each.join(best, "window", "left_semi")
-    return again.groupBy("key", "seg").agg(F.collect_list(F.struct(F.col("o").alias("lo"), (F.col("o") + 1).alias("hi"))).alias("marks"))
+    return again.groupBy("key", "seg").agg(F.collect_list(F.struct(F.col("o").alias("lo"), (F.col("o") + 1).alias("hi"))).alias("marks")), best
 
 
 def merged(df: DataFrame) -> DataFrame:
@@ -251,11 +266,14 @@ def marked_spans(docs: DataFrame, units: Units, judge: Judge, keep_first: bool,
     ``docs`` has unique ids. With ``keep_first`` the first place of every window (smallest id, then earliest) stays
     unmarked; else every window with a second place is marked.
     """
-    runs = tx.written(runs_by_document(docs, units, frequent), "runs")
+    counts = tx.written(anchor_counts(docs, units), "anchors")
+    runs = tx.written(runs_by_document(docs, counts, units, frequent), "runs")
     places = tx.written(cut_segments(docs, runs, units), "segments")
+    tx.remove(counts, runs)
     first = [F.min(F.struct("doc_id", "start")).alias("first")] if keep_first else []
     distinct = tx.written(places.groupBy("key", "often", "segment").agg(F.count(F.lit(1)).alias("copies"), *first), "distinct")
-    marks = judged(distinct, judge).unionByName(compared(distinct, units))
+    often, windows = compared(distinct, units)
+    marks = judged(distinct, units, judge).unionByName(often)
     names = ["key", F.xxhash64("segment").alias("seg")]
     at = places.select("doc_id", "start", "n", *names)
     whole: Column = F.array(F.struct(F.lit(0).alias("lo"), F.col("n").alias("hi")))
@@ -269,4 +287,6 @@ def marked_spans(docs: DataFrame, units: Units, judge: Judge, keep_first: bool,
         own = at.join(marks, ["key", "seg"]).select("doc_id", "start", "marks")
     each = later.unionByName(own).select("doc_id", "start", F.inline("marks"))
     spans = each.groupBy("doc_id").agg(F.collect_list(F.struct((F.col("start") + F.col("lo")).alias("start"), (F.col("start") + F.col("hi") + (units.size - 1)).alias("end"))).alias("spans"))
-    return tx.written(merged(spans), "spans")
+    done = tx.written(merged(spans), "spans")
+    tx.remove(places, distinct, windows)
+    return done

@@ -30,7 +30,7 @@ ENOUGH = 200
 REACH = 12
 #: Smallest distance of each measure (thousandths), for groups where most documents agree. A word's length may also be
 #: too small; of the other measures, only too much is a fault.
-MEASURES = {"word_length": 100, "symbols": 10, "dup_lines": 25, "repeat_words": 25}
+MEASURES = {"word_length": 100, "symbols": 10, "dup_lines": 45, "repeat_words": 35}
 
 
 def _per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -82,8 +82,8 @@ def base_failed() -> Column:
 
 
 def measures() -> dict[str, Column]:
-    """Thousandths, as whole numbers."""
-    share = lambda a, b: F.floor(1000 * F.col(a) / F.col(b)).cast("long")
+    """Thousandths, as whole numbers; null without words."""
+    share = lambda a, b: F.expr(f"1000 * {a} div nullif({b}, 0)")
     return {"word_length": share("word_chars", "n_words"), "symbols": share("n_symbols", "n_words"), "dup_lines": share("n_dup_lines", "n_lines"), "repeat_words": share("n_repeat_words", "n_words")}
 
 

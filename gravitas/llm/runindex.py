@@ -171,12 +171,11 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def kept_bytes(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept`` (binary): the bytes outside ``spans``."""
+    """``doc_id, n_bytes, n_removed, n_spans, kept`` (binary) from ``anchors.with_spans``: the bytes outside."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tx.pieces(batch, "text"):
-                data, offsets = tx.bytes_of(part.column("text"))
+            for part, data, offsets in tx.unpacked(batch):
                 keep = ~covered_units(part.column("spans"), offsets)
                 so_far = np.concatenate(([0], np.cumsum(keep)))[offsets]
                 n, spans = np.diff(offsets), part.column("spans").value_lengths().cast(pa.int64())
@@ -186,4 +185,16 @@ def kept_bytes(docs: DataFrame) -> DataFrame:
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", "spans").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return docs.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+def kept_texts(docs: DataFrame) -> DataFrame:
+    """``doc_id, kept`` (string): as ``kept_bytes``, without the halves of characters that a span has cut in two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x.decode("utf-8", "ignore") for x in batch.column("kept").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "kept"])
+
+    kept = kept_bytes(docs)
+    return kept.select("doc_id", "kept").mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, kept string")

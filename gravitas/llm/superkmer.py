@@ -80,12 +80,11 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def kept_words(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_words, n_removed, kept``: the words outside ``spans``, joined by one space."""
+    """``doc_id, n_words, n_removed, kept`` from ``anchors.with_spans``: the words outside, joined by one space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tx.pieces(batch, "text"):
-                data, offsets = tx.bytes_of(part.column("text"))
+            for part, data, offsets in tx.unpacked(batch):
                 first = word_grams(data, offsets, 0)[1]
                 packed, at, _ = packed_words(data, offsets)
                 keep = ~covered_units(part.column("spans"), first)
@@ -97,7 +96,7 @@ def kept_words(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(n - np.diff(so_far)), kept], names=["doc_id", "n_words", "n_removed", "kept"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", "spans").mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept string")
+    return docs.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept string")
 
 
 def covered_units(spans: pa.Array, first: np.ndarray) -> np.ndarray:
