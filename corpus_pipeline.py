@@ -1,25 +1,80 @@
-"""From raw documents to token ids: every stage reads what the one before it wrote."""
+"""From raw documents to token ids: every stage reads what the one before it wrote.
+
+All stages but the last return the columns of ``documents``. Rows that share a document id are one document from the
+second stage on. An empty table passes through all stages.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gravitas.llm import queries
+from gravitas.llm import anchors, neardup, queries, runindex, winnow
 from gravitas.session import fresh_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def one_row_per_id(docs: DataFrame) -> DataFrame:
+    """Of rows with one id the one with the smallest text; texts are shuffled only if an id does repeat."""
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    smallest = F.min(F.struct(F.col("text").isNull().alias("missing"), "text", *rest)).alias("row")
+    return docs.groupBy("doc_id").agg(smallest).select("doc_id", "row.text", *(f"row.{c}" for c in rest)).select(docs.columns)
+
+
+def accept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality classifier: documents with a score below ``queries.ACCEPTED`` go, all others stay as they are."""
+    scored = queries.quality_scores(docs.select(COLUMNS), queries.table(spark, sf_dir, "labels"))
+    return scored.where(F.col("score") >= queries.ACCEPTED).select(COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash: of each group of linked documents (5 words, similarity 0.8) the one with the smallest id stays."""
+    docs = one_row_per_id(docs.select(COLUMNS))
+    kept = neardup.near_duplicates(docs).where("kept").select("doc_id")
+    return anchors.same_id(docs, kept, "left_semi").select(COLUMNS)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Suffix-array dedup: bytes of strings that also start earlier go, with the rest of a character cut in two.
+
+    Every document stays, with what is left of its text; ``n_chars`` follows. A null text stays null.
+    """
+    docs = one_row_per_id(docs.select(COLUMNS))
+    kept = runindex.kept_texts(anchors.with_spans(docs, runindex.repeated_bytes(docs)))
+    rest = docs.select("doc_id", F.col("text").isNull().alias("missing"), "lang", "source")
+    text = F.when(~F.col("missing"), F.col("kept"))
+    return anchors.same_id(rest, kept, "inner").select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: documents that hold ten consecutive words of a benchmark item (or a whole shorter
+    one) go."""
+    docs = one_row_per_id(docs.select(COLUMNS))
+    found = winnow.contamination(docs, queries.table(spark, sf_dir, "benchmark"))
+    return anchors.same_id(docs, found.where(F.size("spans") > 0).select("doc_id"), "left_anti").select(COLUMNS)
+
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, their number and digests."""
     return queries.encoded(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("bpe_encoding", encode)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_classifier", accept),
+    ("minhash_near_dedup", drop_near_duplicates),
+    ("suffix_array_dedup", cut_repeats),
+    ("benchmark_decontamination", drop_contaminated),
+    ("bpe_encoding", encode),
+]
 
-#: Several stages are not expressible in SQL (trained models, tokenizer); tests compare with brute force.
+#: SQL cannot express a trained network, MinHash components, byte spans or the tokenizer; tests use brute force.
 ORACLE_SQL: str | None = None
 
 
