@@ -465,7 +465,29 @@ def prepared(spark, sf):
     return prep
 
 
-@query("prep_log")
+ADDED = (
+    "is_night, is_morning_rush, is_evening_rush, time_period, is_weekend, has_severe_injury, injury_rate, bad_weather, "
+    "risk_score, night_bad_weather, weekend_night"
+)
+
+
+@query(
+    "prep_log",
+    on_accidents(
+        "select step, action, case when no > 1 then n end as rows_before, cols_before, n as rows_after, cols_after, details from ("
+        "select 1 as no, 'data_loading' as step, 'loaded_data' as action, null::int as cols_before, 14 as cols_after, 'rows: ' || n as details from s "
+        "union all select 2, 'datetime', 'extract_features', 14, 16, 'columns: year, month, day, hour' "
+        "union all select 3, 'missing_values', 'imputation', 16, 16, 'columns: ' || c || ', cells: ' || cells from s "
+        "union all select 4, 'outlier_treatment', 'iqr_capping', 16, 16, 'columns: 4' "
+        f"union all select 5, 'feature_engineering', 'create_features', 16, 27, 'added: {ADDED}' "
+        "union all select 6, 'feature_encoding', 'auto_encoding', 27, 27, 'columns: 3'), s",
+        (
+            "s",
+            "select n, (w > 0)::int + (u > 0)::int + (i > 0)::int as c, w + u + i as cells from (select count(*) as n, "
+            "count(*) - count(weather_condition) as w, count(*) - count(num_units) as u, count(*) - count(injuries_total) as i from accidents)",
+        ),
+    ),
+)
 def _(spark, sf):
     return prepared(spark, sf).prep_log()
 

@@ -67,9 +67,22 @@ def _(spark, sf):
     return reshape.union_all(*[df.select(F.lit(n).alias("split"), "event_id", T) for n, df in parts.items()])
 
 
-@query("sink_table")
+@query(
+    "sink_table",
+    on_accidents(
+        f"select u.pos, u.feature, '{T}' as target_variable, (select count(*) from accidents) as n_rows, {len(COLUMNS)}::bigint as n_columns "
+        f"from (select unnest(range({len(COLUMNS)})) as pos, unnest([{', '.join(repr(c) for c in COLUMNS)}]) as feature) u"
+    ),
+)
 def _(spark, sf):
-    return sinks.sink_table(accidents(spark, sf), fresh_path(spark, "prepared"), T).drop("written_at")
+    path = fresh_path(spark, "prepared")
+    info = sinks.sink_table(accidents(spark, sf), path, T)
+    kept = sinks.read_back(spark, path)
+    named = info.select("target_variable", F.posexplode("feature_names").alias("pos", "feature"))
+    return named.select(
+        F.col("pos").cast("bigint"), "feature", "target_variable", F.lit(kept.count()).alias("n_rows"),
+        F.lit(len(kept.columns)).cast("bigint").alias("n_columns"),
+    )
 
 
 @query(
