@@ -202,11 +202,10 @@ def judged(distinct: DataFrame, units: Units, judge: Judge) -> DataFrame:
     return together.select("key", "segment", "copies", F.xxhash64("segment").alias("seg")).mapInArrow(run, "key long, seg long, marks array<struct<lo:int,hi:int>>")
 
 
-def compared(distinct: DataFrame, units: Units) -> tuple[DataFrame, DataFrame]:
+def compared(distinct: DataFrame, units: Units) -> DataFrame:
     """The same for segments of very frequent anchors: each window is a row, and equal rows are counted by Spark.
 
-    Also gives the written table of counts. It stands on its own so that adaptive execution can split a frequent
-    window's rows in the join with it.
+    The counts are a table of their own, so that adaptive execution can split a frequent window's rows in the join.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +233,7 @@ def compared(distinct: DataFrame, units: Units) -> tuple[DataFrame, DataFrame]:
     else:
         best = tx.written(each.groupBy("window").agg(F.sum("copies").alias("total")).where("total > 1"), "windows")
         again = each.join(best, "window", "left_semi")
-    return again.groupBy("key", "seg").agg(F.collect_list(F.struct(F.col("o").alias("lo"), (F.col("o") + 1).alias("hi"))).alias("marks")), best
+    return again.groupBy("key", "seg").agg(F.collect_list(F.struct(F.col("o").alias("lo"), (F.col("o") + 1).alias("hi"))).alias("marks"))
 
 
 def merged(df: DataFrame) -> DataFrame:
@@ -266,27 +265,25 @@ def marked_spans(docs: DataFrame, units: Units, judge: Judge, keep_first: bool,
     ``docs`` has unique ids. With ``keep_first`` the first place of every window (smallest id, then earliest) stays
     unmarked; else every window with a second place is marked.
     """
-    counts = tx.written(anchor_counts(docs, units), "anchors")
-    runs = tx.written(runs_by_document(docs, counts, units, frequent), "runs")
-    places = tx.written(cut_segments(docs, runs, units), "segments")
-    tx.remove(counts, runs)
-    first = [F.min(F.struct("doc_id", "start")).alias("first")] if keep_first else []
-    distinct = tx.written(places.groupBy("key", "often", "segment").agg(F.count(F.lit(1)).alias("copies"), *first), "distinct")
-    often, windows = compared(distinct, units)
-    marks = judged(distinct, units, judge).unionByName(often)
-    names = ["key", F.xxhash64("segment").alias("seg")]
-    at = places.select("doc_id", "start", "n", *names)
-    whole: Column = F.array(F.struct(F.lit(0).alias("lo"), F.col("n").alias("hi")))
-    if keep_first:
-        copied = distinct.where("copies > 1").select(*names, "first")
-        later = at.join(copied, ["key", "seg"]).where(~F.struct("doc_id", "start").eqNullSafe(F.col("first"))).select("doc_id", "start", whole.alias("marks"))
-        own = distinct.select(*names, "first").join(marks, ["key", "seg"]).select("first.doc_id", "first.start", "marks")
-    else:
-        copied = distinct.where("copies > 1").select(*names)
-        later = at.join(copied, ["key", "seg"], "left_semi").select("doc_id", "start", whole.alias("marks"))
-        own = at.join(marks, ["key", "seg"]).select("doc_id", "start", "marks")
-    each = later.unionByName(own).select("doc_id", "start", F.inline("marks"))
-    spans = each.groupBy("doc_id").agg(F.collect_list(F.struct((F.col("start") + F.col("lo")).alias("start"), (F.col("start") + F.col("hi") + (units.size - 1)).alias("end"))).alias("spans"))
-    done = tx.written(merged(spans), "spans")
-    tx.remove(places, distinct, windows)
-    return done
+    with tx.scratch():
+        counts = tx.written(anchor_counts(docs, units), "anchors")
+        runs = tx.written(runs_by_document(docs, counts, units, frequent), "runs")
+        places = tx.written(cut_segments(docs, runs, units), "segments")
+        tx.remove(counts, runs)
+        first = [F.min(F.struct("doc_id", "start")).alias("first")] if keep_first else []
+        distinct = tx.written(places.groupBy("key", "often", "segment").agg(F.count(F.lit(1)).alias("copies"), *first), "distinct")
+        marks = judged(distinct, units, judge).unionByName(compared(distinct, units))
+        names = ["key", F.xxhash64("segment").alias("seg")]
+        at = places.select("doc_id", "start", "n", *names)
+        whole: Column = F.array(F.struct(F.lit(0).alias("lo"), F.col("n").alias("hi")))
+        if keep_first:
+            copied = distinct.where("copies > 1").select(*names, "first")
+            later = at.join(copied, ["key", "seg"]).where(~F.struct("doc_id", "start").eqNullSafe(F.col("first"))).select("doc_id", "start", whole.alias("marks"))
+            own = distinct.select(*names, "first").join(marks, ["key", "seg"]).select("first.doc_id", "first.start", "marks")
+        else:
+            copied = distinct.where("copies > 1").select(*names)
+            later = at.join(copied, ["key", "seg"], "left_semi").select("doc_id", "start", whole.alias("marks"))
+            own = at.join(marks, ["key", "seg"]).select("doc_id", "start", "marks")
+        each = later.unionByName(own).select("doc_id", "start", F.inline("marks"))
+        spans = each.groupBy("doc_id").agg(F.collect_list(F.struct((F.col("start") + F.col("lo")).alias("start"), (F.col("start") + F.col("hi") + (units.size - 1)).alias("end"))).alias("spans"))
+        return tx.kept(tx.written(merged(spans), "spans"))

@@ -127,9 +127,13 @@ def chunk_keys(nodes: DataFrame, similarity: Similarity) -> DataFrame:
 
 
 def central_pairs(members: DataFrame) -> DataFrame:
-    """``a, b``: each set with the most central one of every key it has; central sets share most keys with others."""
+    """``a, b``: each set with the most central one of every key it has; central sets share most keys with others.
+
+    As elsewhere here, what is joined to rows of a frequent key is written first: adaptive execution splits such a
+    key's rows only where nothing but the join follows the shuffle.
+    """
     weight = members.groupBy("node").agg(F.sum("n").alias("weight"))
-    hubs = members.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("hub"))
+    hubs = tx.written(members.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("hub")), "hubs")
     return members.join(hubs, "key").where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
 
 
@@ -164,6 +168,7 @@ def open_rows(members: DataFrame, labels: DataFrame) -> DataFrame:
     """``cluster, node, label`` of sets that share a key, directly or by others, with sets of another component."""
     labelled = members.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
     opened = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("low")).where("lo <> hi").select("key", "low")
+    opened = tx.written(opened, "opened")
     held = tx.written(labelled.join(opened, "key").select("node", "label", "low").distinct(), "open")
     clusters = components(held.select(F.col("node").alias("a"), F.col("low").alias("b")))
     return held.select("node", "label").distinct().join(clusters, "node").withColumnRenamed("component", "cluster")
@@ -233,22 +238,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty result. Only the two named columns are read.
     """
     plain = tx.unique_documents(docs, id_col, text_col)
-    sets = tx.written(signed(plain, similarity.words), "signatures")
-    linked = sets.where("n_shingles > 0 and doc_id is not null")
-    classes = linked.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"))
-    tagged = tx.written(linked.join(classes, ["h1", "h2"]).select("doc_id", "node", "signature"), "classes")
-    nodes = tagged.where("doc_id = node").select("node", "signature")
-
-    keys = chunk_keys(nodes, similarity)
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = tx.written(keys.join(shared, "key"), "members")
-    full = tx.written(full_sets(plain, members.select("node").distinct(), similarity.words), "sets")
-    links = tx.written(confirmed(central_pairs(members), full, similarity), "links")
-    found = components(links)
-    rows = open_rows(members, found)
-    more = tx.written(block_links(rows, full, nodes, similarity, block_rows), "links")
-    groups = tx.written(components(links.unionByName(more)), "groups")
-
-    classes = tagged.select("doc_id", "node").join(groups, "node", "left").select(F.col("doc_id").alias("_id"), F.coalesce("component", "node").alias("component"))
-    out = sets.join(classes, F.col("doc_id") == F.col("_id"), "left").withColumn("component_id", F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    with tx.scratch():
+        sets = tx.written(signed(plain, similarity.words), "signatures")
+        linked = sets.where("n_shingles > 0 and doc_id is not null")
+        classes = tx.written(linked.groupBy("h1", "h2").agg(F.min("doc_id").alias("node")), "classes")
+        tagged = tx.written(linked.join(classes, ["h1", "h2"]).select("doc_id", "node", "signature"), "classes")
+        nodes = tagged.where("doc_id = node").select("node", "signature")
+
+        keys = chunk_keys(nodes, similarity)
+        shared = tx.written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+        members = tx.written(keys.join(shared, "key"), "members")
+        full = tx.written(full_sets(plain, members.select("node").distinct(), similarity.words), "sets")
+        links = tx.written(confirmed(central_pairs(members), full, similarity), "links")
+        found = components(links)
+        rows = open_rows(members, found)
+        more = tx.written(block_links(rows, full, nodes, similarity, block_rows), "links")
+        groups = tx.written(components(links.unionByName(more)), "groups")
+
+        classes = tagged.select("doc_id", "node").join(groups, "node", "left").select(F.col("doc_id").alias("_id"), F.coalesce("component", "node").alias("component"))
+        out = sets.join(classes, F.col("doc_id") == F.col("_id"), "left").withColumn("component_id", F.coalesce("component", "doc_id"))
+        done = out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+        return tx.kept(tx.written(done, "components"))

@@ -132,8 +132,8 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     group of its own. An empty table gives an empty result. Only the four named columns are read.
     """
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
-    rows = tx.written(measured(named), "measured")
-    cuts = cutoffs(tx.written(sketches(rows), "sketches"))
+    rows = tx.kept(tx.written(measured(named), "measured"))
+    cuts = cutoffs(tx.kept(tx.written(sketches(rows), "sketches")))
     renamed = cuts.withColumnsRenamed({"lang": "c_lang", "source": "c_source"})
     joined = rows.join(renamed, F.col("lang").eqNullSafe(F.col("c_lang")) & F.col("source").eqNullSafe(F.col("c_source")), "left")
     outside = [F.when((value > F.col(f"{m}_hi")) | (F.lit(m == "word_length") & (value < F.col(f"{m}_lo"))), F.lit(m)) for m, value in measures().items()]

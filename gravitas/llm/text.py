@@ -184,6 +184,22 @@ def remove(*tables: DataFrame) -> None:
         folder.getFileSystem(conf).delete(folder, True)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """A written table that is a result and so outlives its ``scratch``."""
+    _written.pop(id(df))
+    return df
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Delete at the end all tables written inside, but for those ``kept``."""
+    before = set(_written)
+    try:
+        yield
+    finally:
+        remove(*(df for key, (df, _) in list(_written.items()) if key not in before))
+
+
 def packed_texts(docs: DataFrame) -> DataFrame:
     """``doc_id, size, packed``: texts as compressed bytes, a third smaller in a shuffle than Spark's own compression."""
 

@@ -13,7 +13,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gravitas.llm.text import unique_documents, written
+from gravitas.llm.text import kept, unique_documents, written
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
@@ -112,7 +112,7 @@ def contamination(
     """
     windows = benchmark_windows(items, item_col, item_text_col, window)
     sizes = [r[0] for r in windows.select("size").distinct().collect()]  # at most ``window`` rows
-    hits = written(find_hits(unique_documents(docs, id_col, text_col), windows, sizes), "hits")
+    hits = kept(written(find_hits(unique_documents(docs, id_col, text_col), windows, sizes), "hits"))
     spans = hits.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.collect_set(F.when(F.col("start").isNotNull(), F.struct("start", "size"))).alias("spans"))
     listed = (
         hits.where("start is not null").select("doc_id", "text").distinct().join(windows.select("text", "item_id").distinct(), "text").groupBy("doc_id").agg(F.collect_set("item_id").alias("items"))
