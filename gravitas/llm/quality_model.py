@@ -74,7 +74,7 @@ def contexts(slots: np.ndarray, first: np.ndarray, places: np.ndarray, signs: np
 def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Unit vectors of all slots from the whole corpus, zero for slots without words.
 
-    Each task sums its part; the sums of a block of slots then meet in one task, read one after the other. Only the
+    Each task sums its part, in whole numbers, so that the result does not depend on how rows are dealt; the sums of a block of slots then meet in one task, read one after the other. Only the
     final table comes to the driver: ``SLOTS * DIMENSIONS`` numbers, whatever the corpus.
     """
 
@@ -85,23 +85,25 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
             for part in tx.pieces(batch, text_col):
                 slots, first = tokens(*tx.bytes_of(part.column(text_col)))
                 total += contexts(slots, first, places, signs)
-        for block, sums in enumerate(total.astype(np.float32).reshape(-1, BLOCK * DIMENSIONS)):
+        for block, sums in enumerate(total.reshape(-1, BLOCK * DIMENSIONS)):
             if sums.any():
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([sums.tobytes()], pa.binary())], names=["block", "sums"])
+                small = sums.astype(np.int32) if abs(sums).max() < 1 << 31 else sums
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([small.tobytes()], pa.binary())], names=["block", "sums"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, sums in zip(batch.column("block").to_pylist(), batch.column("sums").to_pylist()):
-                total[block] = total.get(block, 0) + np.frombuffer(sums, np.float32).astype(np.float64)
+                part = np.frombuffer(sums, np.int32 if len(sums) == 4 * BLOCK * DIMENSIONS else np.int64)
+                total[block] = total.get(block, 0) + part.astype(np.int64)
         for block, sums in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([sums.astype(np.float32).tobytes()], pa.binary())], names=["block", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([sums.tobytes()], pa.binary())], names=["block", "sums"])
 
     kind = "block long, sums binary"
     rows = docs.select(text_col).mapInArrow(gather, kind).repartition("block").mapInArrow(add, kind).collect()
     table = np.zeros((SLOTS // BLOCK, BLOCK * DIMENSIONS), np.float32)
     for r in rows:
-        table[r["block"]] = np.frombuffer(r["sums"], np.float32)
+        table[r["block"]] = np.frombuffer(r["sums"], np.int64)
     table = table.reshape(SLOTS, DIMENSIONS)
     norm = np.linalg.norm(table, axis=1, keepdims=True)
     return table / np.where(norm > 0, norm, 1)
