@@ -394,7 +394,7 @@ def _(spark, sf):
 
 @query("feature_importance")
 def _(spark, sf):
-    run, _ = training(spark, sf, ["Decision Tree"])
+    run, _ = training(spark, sf, ["Decision Tree", "Random Forest"])
     run.train_and_evaluate()
     return rounded(models.feature_importance(spark, run.trained, run.features))
 

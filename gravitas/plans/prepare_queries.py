@@ -638,9 +638,11 @@ def drawn_ctes(reps: tuple[str, str]) -> list[tuple[str, str]]:
     ]
 
 
-MADE = "select base_id, neighbour_id, c as most_severe_injury, " + ", ".join(
+MADE = "select null::bigint as event_id, base_id, neighbour_id, true as is_synthetic, c as most_severe_injury, " + ", ".join(
     f"{r(f'vec[{i + 1}] + lam * (nvec[{i + 1}] - vec[{i + 1}])')} as {c}" for i, c in enumerate(KNN_FEATURES)
-) + " from made"
+) + " from made union all select id, null, null, false, c, " + ", ".join(
+    r(f"vec[{i + 1}]") for i in range(len(KNN_FEATURES))
+) + " from points"
 
 SMOTE_REPS = (
     "reps",
@@ -651,7 +653,7 @@ SMOTE_REPS = (
 
 def made_rows(spark, sf, method):
     out = resample.resample(knn_points(spark, sf), T, "event_id", KNN_FEATURES, method, trace=True)
-    return rounded(out.where("is_synthetic").select("base_id", "neighbour_id", T, *KNN_FEATURES))
+    return doubles(out, KNN_FEATURES, "event_id", "base_id", "neighbour_id", "is_synthetic", T)
 
 
 @query("resample_smote", on_accidents(MADE, *drawn_ctes(SMOTE_REPS)))
