@@ -101,10 +101,10 @@ def test_label_codes_and_null(spark):
 
 
 def test_codes_of_many_values_need_no_driver(spark):
-    values = spark.range(5000).select(F.md5(F.col("id").cast("string")).alias("value"))
-    table, n = encode.sorted_codes(values)
+    values = spark.range(5000).select(F.lit("x").alias("feature"), F.md5(F.col("id").cast("string")).alias("value"))
+    table, sizes = encode.sorted_codes(values)
     got = {r.value: r.code for r in table.collect()}
-    assert n == 5000
+    assert sizes["x"][0] == 5000
     assert got == {v: i for i, v in enumerate(sorted(got))}
 
 
