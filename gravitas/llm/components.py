@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from gravitas.llm.text import remove, written
 
 
+def _content(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, component``: for every node of ``edges`` (a, b) the smallest node it can reach.
 
@@ -17,7 +21,8 @@ def components(edges: DataFrame) -> DataFrame:
     own, so that adaptive execution can split a node with very many edges in the join.
     """
     plain = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    stars, before = written(plain, "edges"), None
+    stars = written(plain, "edges")
+    before = _content(stars)
     while True:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
@@ -27,7 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(near, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionByName(near.withColumnRenamed("m", "v"))
         last, stars = stars, written(small.where("u <> v").distinct(), "edges")
         remove(last, low)
-        now = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = _content(stars)
         if now == before:
             break
         before = now

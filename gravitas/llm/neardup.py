@@ -6,8 +6,8 @@ that one of them must hold at most one error (pigeonhole); keys that leave out e
 chunks with that error, so two signatures within the distance always share a key.
 
 Sets that share a key are not paired with each other. First all are compared with the most central of them, which
-settles groups of copies with one comparison each. What the found components leave open is compared in blocks, where
-only sets of different components meet. Every link is confirmed on the full sets.
+settles groups of copies with one comparison each and gives linked sets a common label. Keys that still hold different
+labels are compared in blocks, where only sets of different labels meet. Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -127,14 +127,16 @@ def chunk_keys(nodes: DataFrame, similarity: Similarity) -> DataFrame:
 
 
 def central_pairs(members: DataFrame) -> DataFrame:
-    """``a, b``: each set with the most central one of every key it has; central sets share most keys with others.
+    """``a, b, weight``: each set with the most central one of every key it has; central sets share most keys with
+    others, which is their weight.
 
     As elsewhere here, what is joined to rows of a frequent key is written first: adaptive execution splits such a
     key's rows only where nothing but the join follows the shuffle.
     """
     weight = members.groupBy("node").agg(F.sum("n").alias("weight"))
-    hubs = tx.written(members.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("hub")), "hubs")
-    return members.join(hubs, "key").where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    hubs = tx.written(members.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("hub")), "hubs")
+    pairs = members.join(hubs, "key").where("hub.node <> node")
+    return pairs.select(F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.weight").alias("weight")).distinct()
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
@@ -158,28 +160,40 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: Similarity) -> Data
         for batch in batches:
             both = zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())
             near = [similarity.near(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in both]
-            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+            yield batch.select(["a", "b", "weight"]).filter(pa.array(near, pa.bool_()))
 
     of = lambda name, as_: sets.select(F.col("node").alias(name), F.col("shingles").alias(as_))
-    return pairs.join(of("b", "y"), "b").join(of("a", "x"), "a").select("a", "b", "x", "y").mapInArrow(run, pairs.schema)
+    return pairs.join(of("b", "y"), "b").join(of("a", "x"), "a").select("a", "b", "weight", "x", "y").mapInArrow(run, pairs.schema)
+
+
+def labels_of(links: DataFrame) -> DataFrame:
+    """``node, label`` of linked sets: the heaviest set linked to a set, or what that one is linked to in turn.
+
+    Equal labels mean one component; one component may still have several labels.
+    """
+    best = tx.written(links.groupBy("b").agg(F.max(F.struct("weight", "a"))["a"].alias("label")).withColumnRenamed("b", "node"), "labels")
+    up = best.select(F.col("node").alias("label"), F.col("label").alias("next"))
+    return best.join(up, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
 
 
 def open_rows(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """``cluster, node, label`` of sets that share a key, directly or by others, with sets of another component."""
-    labelled = members.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-    opened = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("low")).where("lo <> hi").select("key", "low")
+    """``cluster, node, label`` of sets that share a key with sets of another label.
+
+    A cluster gathers the keys with one smallest label, so that a pair with several keys meets in few clusters.
+    """
+    labelled = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    labelled = tx.written(labelled, "labelled")
+    opened = labelled.groupBy("key").agg(F.min("label").alias("cluster"), F.max("label").alias("last")).where("cluster <> last").drop("last")
     opened = tx.written(opened, "opened")
-    held = tx.written(labelled.join(opened, "key").select("node", "label", "low").distinct(), "open")
-    clusters = components(held.select(F.col("node").alias("a"), F.col("low").alias("b")))
-    return held.select("node", "label").distinct().join(clusters, "node").withColumnRenamed("component", "cluster")
+    return tx.written(labelled.join(opened, "key").select("cluster", "node", "label").distinct(), "open")
 
 
 def block_links(rows: DataFrame, sets: DataFrame, nodes: DataFrame, similarity: Similarity, block_rows: int) -> DataFrame:
-    """Links between sets of different components in one cluster.
+    """Links between sets of different labels in one cluster.
 
-    The largest component of a cluster is not compared within itself. All other sets form blocks of about
-    ``block_rows``, which meet each other and the blocks of the largest component in cells of bounded size. A cell
-    gives only links that join components, fewer than it has components.
+    The sets of a cluster's largest label are not compared with each other. All other sets form blocks of about
+    ``block_rows``, which meet each other and the blocks of the largest label in cells of bounded size. A cell gives
+    only links that join labels, fewer than it has labels.
     """
     sizes = rows.groupBy("cluster", "label").count()
     top = sizes.groupBy("cluster").agg(F.max(F.struct("count", "label")).alias("top"), F.sum("count").alias("n"))
@@ -250,10 +264,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         members = tx.written(keys.join(shared, "key"), "members")
         full = tx.written(full_sets(plain, members.select("node").distinct(), similarity.words), "sets")
         links = tx.written(confirmed(central_pairs(members), full, similarity), "links")
-        found = components(links)
-        rows = open_rows(members, found)
+        rows = open_rows(members, labels_of(links))
         more = tx.written(block_links(rows, full, nodes, similarity, block_rows), "links")
-        groups = tx.written(components(links.unionByName(more)), "groups")
+        groups = tx.written(components(links.select("a", "b").unionByName(more)), "groups")
 
         classes = tagged.select("doc_id", "node").join(groups, "node", "left").select(F.col("doc_id").alias("_id"), F.coalesce("component", "node").alias("component"))
         out = sets.join(classes, F.col("doc_id") == F.col("_id"), "left").withColumn("component_id", F.coalesce("component", "doc_id"))
