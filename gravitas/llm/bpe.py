@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from gravitas.llm.text import binary_array, join_spans, list_array, pieces
 
 END = "\x00"
-WORDS_KEPT = 400_000
-PAIRS_KEPT = 1_000_000
+WORDS_KEPT = 200_000
+PAIRS_KEPT = 300_000
 _ready: dict[int, WordBpe] = {}
 
 
@@ -190,5 +190,8 @@ def encode_documents(docs: DataFrame, text_col: str = "text", path: str | None =
                 to, start = offsets[last], offsets[last - sizes]
                 decoded = binary_array(*join_spans(data, start, np.maximum(start, to - 1)), pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, list_array(pa.array(ids, pa.int32()), sizes), decoded], names=schema.names)
+        # The process lives on for other work; only the vocabulary stays.
+        bpe.known.clear()
+        bpe.fits.clear()
 
     return kept.mapInArrow(run, schema)

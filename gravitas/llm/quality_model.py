@@ -29,7 +29,7 @@ SAMPLE = 20_000
 HIDDEN = 32
 EPOCHS = 25
 BLOCK = 512
-PIECE = 512 << 10
+PIECE = 128 << 10
 
 #: Classes of bytes: white space, lower case (and all beyond ASCII), upper case, digits, the rest.
 KIND = np.full(256, 4, np.int8)
