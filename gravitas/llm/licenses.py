@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from gravitas.llm.text import unique_documents
 
+#: Known sentences and rules up to this size are sent to every task; beyond it both sides are shuffled.
+BROADCAST_BYTES = 16 << 20
+
 SENTENCE_END = r"[.!?;:]+\s+|\s*\n\s*"
 
 #: Rules: a name, the licence, and its sentences in order. The wording is that of the public licence notices.
@@ -80,12 +83,18 @@ def default_rules(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return numbered.select("sid", "sentence"), rules
 
 
+def sent_if_small(df: DataFrame, size: Column) -> DataFrame:
+    """Marked for broadcast if the measured bytes of its rows stay below ``BROADCAST_BYTES``."""
+    taken = df.agg(F.coalesce(F.sum(size + 40), F.lit(0))).first()[0]
+    return F.broadcast(df) if taken <= BROADCAST_BYTES else df
+
+
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None, rules: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_sentences, n_known, matches``: matches as sorted array of (license, rule, sentence number).
 
     The known sentences of a document, in order, are its identifiers; sentences not known are passed over. A rule
-    matches where its identifiers stand one after the other. Rules and sentences default to ``RULES``; Spark decides
-    by their size whether they are sent to all tasks. Null and empty texts have no sentences. Rows that share an id are
+    matches where its identifiers stand one after the other. Rules and sentences default to ``RULES``; their
+    measured size decides whether they are sent to all tasks. Null and empty texts have no sentences. Rows that share an id are
     one document, see ``unique_documents``; repeated sentences match as often as they stand there. An empty table gives
     an empty result. Only the two named columns are read.
     """
@@ -95,11 +104,12 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None, rules: DataFr
     # A document's first row stands for the document itself and also carries its number of sentences.
     cut = plain.select("doc_id", F.filter(F.transform(sentences_of(F.coalesce("text", F.lit(""))), normal), lambda s: s != "").alias("all"))
     each = cut.select("doc_id", F.size("all").alias("n_sentences"), F.posexplode(F.concat(F.array(F.lit("")), "all")).alias("no", "sentence"))
-    found = each.join(known, "sentence", "left").where("no = 0 or sid is not null").drop("sentence")
+    found = each.join(sent_if_small(known, F.octet_length("sentence")), "sentence", "left").where("no = 0 or sid is not null").drop("sentence")
     longest = rules.agg(F.coalesce(F.max(F.size("sids")), F.lit(1))).first()[0]
     order = W.partitionBy("doc_id").orderBy("no")
     ahead = found.withColumn("next", F.collect_list("sid").over(order.rowsBetween(0, longest - 1)))
-    tried = ahead.join(rules.withColumn("head", F.get("sids", F.lit(0))), (F.col("sid") == F.col("head")) & (F.col("no") > 0), "left")
+    headed = sent_if_small(rules.withColumn("head", F.get("sids", F.lit(0))), 8 * F.size("sids"))
+    tried = ahead.join(headed, (F.col("sid") == F.col("head")) & (F.col("no") > 0), "left")
     hit = F.when(F.slice("next", 1, F.size("sids")) == F.col("sids"), F.struct("license", "rule", "no"))
     return tried.groupBy("doc_id").agg(
         F.max("n_sentences").cast("long").alias("n_sentences"), F.countDistinct(F.when(F.col("no") > 0, F.col("no"))).alias("n_known"), F.array_sort(F.collect_set(hit)).alias("matches")
