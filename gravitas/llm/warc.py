@@ -6,6 +6,11 @@ identifier, so building them twice gives the same records.
 
 from __future__ import annotations
 
+import html as markup
+import re
+from html.entities import html5, name2codepoint
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +18,23 @@ CRLF = "\r\n"
 #: Elements whose content is not text, then what ends a line, then all other tags.
 HIDDEN = [r"(?is)<!--.*?-->", r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>", r"(?is)<head\b.*?</head\s*>", r"(?is)<nav\b.*?</nav\s*>"]
 BREAK = r"(?i)<(br|/p|/div|/li|/h[1-6]|/tr|/ul|/table|/article|/section)\b[^>]*>"
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
+#: Anything that may be a character reference, as the HTML standard cuts it.
+REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)")
+#: References to white space become a plain space.
+SPACES = "\xa0\t\n\f\r"
+
+
+def _entities() -> list[tuple[str, str]]:
+    """Names of HTML 4 with a printable character, and those that stand without a semicolon too; the ampersand last.
+
+    Only for SQL, which replaces one after the other; ``decoded`` knows all names and all numbers.
+    """
+    full = [(f"&{name};", " " if name == "nbsp" else chr(code)) for name, code in sorted(name2codepoint.items()) if name != "amp"]
+    bare = [(f"&{name}", " " if name == "nbsp" else char) for name, char in sorted(html5.items(), key=lambda x: (-len(x[0]), x[0])) if not name.endswith(";") and name != "amp"]
+    return [(name, char) for name, char in [*full, ("&#39;", "'"), *bare, ("&amp;", "&"), ("&amp", "&")] if char.isprintable()]
+
+
+ENTITIES = _entities()
 
 
 def identifier(*parts: str | Column) -> Column:
@@ -42,15 +63,28 @@ def responses(pages: DataFrame, date: str, id_col: str = "page_id", url_col: str
     )
 
 
+def _character(found: re.Match) -> str:
+    plain = markup.unescape(found[0])
+    return " " + plain[1:] if plain[:1] in SPACES else plain
+
+
+def decoded(text: Column) -> Column:
+    """Named, decimal and hexadecimal character references as characters, each decoded once."""
+
+    @F.arrow_udf("string")
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([REFERENCE.sub(_character, x) if x and "&" in x else x for x in column.to_pylist()], pa.string())
+
+    return run(text)
+
+
 def plain_text(html: Column) -> Column:
-    """Visible text: one line per block, words parted by one space, no empty lines."""
+    """Visible text: one line per block, words parted by one space, no empty lines, references decoded."""
     for pattern in HIDDEN:
         html = F.regexp_replace(html, pattern, " ")
     text = F.regexp_replace(F.translate(html, "\r\n\t", "   "), BREAK, "\n")
     text = F.regexp_replace(text, r"(?s)<[^>]*>", " ")
-    for name, plain in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(plain))
-    text = F.regexp_replace(text, " +", " ")
+    text = F.regexp_replace(decoded(text), " +", " ")
     return F.regexp_replace(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
 
 

@@ -153,6 +153,24 @@ def test_warc_records(spark, tmp_path):
     assert sorted(blocks) == sorted(r["block"] for r in got)
 
 
+def test_warc_decodes_all_references(spark):
+    """Named, decimal and hexadecimal references, once each; what is no reference stays."""
+    wanted = {
+        "&copy; 2020 &middot; A": "\u00a9 2020 \u00b7 A",
+        "caf&eacute; caf&#233; caf&#xE9; caf&#Xe9;": "caf\u00e9 caf\u00e9 caf\u00e9 caf\u00e9",
+        "it&#x27;s &apos;so&rsquo; &hellip;": "it's 'so\u2019 \u2026",
+        "&amp;copy; &amp;lt; &amp;amp;": "&copy; &lt; &amp;",
+        "&lt;b&gt;x&lt;/b&gt; &notin; &copy 1 &#128512;": "<b>x</b> \u2209 \u00a9 1 \U0001f600",
+        "a&nbsp;&#160; &#xa0;b&#10;c&NewLine;d": "a b c d",
+        "AT&T & &nosuch; &#; &; R&D": "AT&T & &nosuch; &#; &; R&D",
+    }
+    pages = spark.createDataFrame([(i, f"<p>{x}</p>") for i, x in enumerate(wanted)] + [(99, None)], "page_id long, html string")
+    got = {r["source_id"]: r["block"] for r in warc.derivatives(warc.responses(pages.withColumn("url", F.lit("http://a/")), "2024-01-01T00:00:00Z")).where("type = 'conversion'").collect()}
+    assert got == {i: y for i, y in enumerate(wanted.values())} | {99: ""}
+    meta = warc.derivatives(warc.responses(pages.withColumn("url", F.lit("")), "x")).where("type = 'metadata' and source_id = 0").first()
+    assert hashlib.sha256("\u00a9 2020 \u00b7 A".encode()).hexdigest() in meta["block"]
+
+
 def test_quality_model(spark, docs, rows, empty):
     """Scores for awkward documents; held-out accuracy on the test table is in test_queries."""
     labels = spark.createDataFrame([(10, 1), (30, 0), (31, 0), (40, 1), (10, 1), (999, 1), (20, None), (None, 0)], "doc_id long, quality int")
