@@ -127,6 +127,64 @@ def test_licenses(spark, docs, rows):
     assert licenses.scan_licenses(docs).count() == len({i for i, _ in rows})
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+BSD = """Copyright (c) 2020, Someone
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_3 = """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+"""
+
+
+def test_licenses_in_wrapped_texts(spark):
+    """Hard-wrapped texts are found as unwrapped ones are; three clauses are not two."""
+    joined = lambda t: re.sub(r"(?<![.:;])\n *(?=[^\n])", " ", t)
+    reserved = "LicenseRef-All-Rights-Reserved"
+    texts = {
+        MIT: ["MIT"], joined(MIT): ["MIT"], BSD: ["BSD-2-Clause", reserved], BSD + BSD_3: ["BSD-3-Clause", reserved], joined(BSD + BSD_3): ["BSD-3-Clause"],
+        GPL: ["GPL-3.0-or-later"], GPL.replace("General", "Affero General"): ["AGPL-3.0-or-later"], GPL.replace("General", "Lesser General"): ["LGPL-3.0-or-later"],
+        GPL.replace("Foundation, either version 3", "Foundation; either version 2"): ["GPL-2.0-or-later"],
+        "Released under\nthe MIT License.\nBye": ["MIT"], "Released under the MIT License\nand more\nwords": ["MIT"],
+        "To the extent possible under law, the author(s) have dedicated all copyright\nand related and neighboring rights to this software to the public domain\nworldwide. x": ["CC0-1.0"],
+        "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.": ["MPL-2.0"],
+        "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.": ["ISC"],
+        "\n".join(licenses.RULES["bsd-2-text"][1][:2]): [],
+    }
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(rows).collect()}
+    assert {t: [m["license"] for m in got[i]["matches"]] for i, t in enumerate(texts)} == texts
+    mit = got[0]
+    assert (mit["n_known"], [(m["rule"], m["no"]) for m in mit["matches"]]) == (2, [("mit-text", 1)])
+
+
 def test_warc_records(spark, tmp_path):
     html = "<html><head><title>t</title></head><body><!-- x --><p>A &amp; B</p><script>1 < 2</script><div>C<br>D &lt;e&gt;</div></body></html>"
     pages = spark.createDataFrame([(1, "http://a/", html), (2, None, None), (2, None, None), (3, "http://c/", "")], "page_id long, url string, html string").withColumn("type", F.lit("x")).withColumn("text", F.lit(1))
