@@ -371,13 +371,13 @@ def _(spark, sf):
 
 @query("train_and_evaluate")
 def _(spark, sf):
-    run, _ = training(spark, sf, None, models.ADHOC)
+    run, _ = training(spark, sf, None)
     return rounded(run.train_and_evaluate())
 
 
 @query("cv_scores")
 def _(spark, sf):
-    run, _ = training(spark, sf, ["Decision Tree"])
+    run, _ = training(spark, sf, None)
     return rounded(run.perform_cross_validation("event_id"))
 
 
@@ -409,7 +409,7 @@ def _(spark, sf):
 
 @query("sink_model")
 def _(spark, sf):
-    run, _ = training(spark, sf, ["Decision Tree"])
+    run, _ = training(spark, sf, None)
     run.train_and_evaluate()
     return run.save_best_model(fresh_path(spark, "models")).drop("written_at", "model_file")
 

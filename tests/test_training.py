@@ -155,3 +155,20 @@ def test_whole_profile(acc):
 
 def test_inputs_hold_no_injury_columns():
     assert not [c for c in INPUTS if c.startswith("injuries")]
+
+
+@pytest.mark.parametrize("name", ["cv_scores", "sink_model", "train_and_evaluate"])
+def test_queries_train_all_models_as_the_job_does(spark, sf, monkeypatch, name):
+    """Stopped where the training would begin."""
+
+    def begin(run, *_):
+        raise InterruptedError(run)
+
+    monkeypatch.setattr("gravitas.plans.training.Training.perform_cross_validation", begin)
+    monkeypatch.setattr("gravitas.plans.training.Training.train_and_evaluate", begin)
+    with pytest.raises(InterruptedError) as stopped:
+        catalog.queries()[name](spark, sf)
+    found = stopped.value.args[0].estimators
+    assert set(found) == {"Logistic Regression", "Decision Tree", "Random Forest"}
+    forest = found["Random Forest"]
+    assert (forest.getMaxDepth(), forest.getNumTrees(), forest.getWeightCol()) == (models.DEEPEST, models.FOREST_TREES, models.WEIGHT)
