@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gravitas.llm import anchors, bpe, langid, licenses, neardup, quality_model, quality_rules, runindex, superkmer, warc, winnow
+from gravitas.llm import anchors, bpe, langid, licenses, neardup, periodic, phrases, quality_model, quality_rules, runindex, sqlbpe, superkmer, warc, winnow
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -284,3 +284,69 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     learn = docs.where((remainder("doc_id", 3) != 1) & F.col("lang").isNotNull())
     found = langid.identify(docs.select("doc_id", "text"), learn)
     return found.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+@query("op11_sql_bpe")
+def op11_sql_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = sqlbpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n_tokens = F.expr("cast(octet_length(ids) div 4 as bigint)")
+    return done.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """The input that op12's contract fixes: in one document of ten the words from some place on repeat themselves."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    at = docs.select("doc_id", "text", (h % 10 == 0).alias("chosen"), g.alias("g"), F.when(h % 10 == 0, words).alias("w")).withColumn("n", F.size("w"))
+    at = at.withColumn("a", F.expr("g % nullif(n, 0)")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    moved = F.transform("w", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    return at.select("doc_id", F.when(F.col("chosen") & (F.col("n") > 0), F.array_join(moved, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(with_periods(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    top = found.withColumn("top", longest)
+    return top.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("top.start")).alias("start"),
+        F.col("top.length").alias("length"),
+        (-F.col("top.period")).alias("period"),
+        F.expr("1000 * top.length div -top.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "").cast("binary"), 256).alias("runs_sha256"),
+        digest("collapsed").alias("collapsed_sha256"),
+    )
+
+
+@query(
+    "op13_phrases",
+    r"""
+with d as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+p as (select lang, list_filter(string_split_regex(part, '[\x20\x09]+'), lambda x: x <> '') as w from (select lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) as part from d)),
+g as (select lang, s as size, array_to_string(w[i : i + s - 1], ' ') as phrase from (select lang, w, s, unnest(range(1, len(w) - s + 2)) as i from p, (values (1), (2), (3), (4)) sizes(s) where len(w) >= s)),
+f as materialized (select lang, size, phrase, count(*) as n from g group by all),
+total as (select lang, sum(n) as n from f where size = 1 group by lang),
+c as materialized (select lang, size, phrase, n as a, string_split(phrase, ' ') as w from f where size >= 2 and n >= 30),
+cuts as (select lang, phrase, a, k, lang || chr(10) || array_to_string(w[1 : k], ' ') as x, lang || chr(10) || array_to_string(w[k + 1 :], ' ') as y from (select *, unnest(range(1, size)) as k from c)),
+part as materialized (select lang || chr(10) || phrase as key, n from f where n >= 30),
+s as (
+    select cuts.lang, phrase, a, k, left_.n as l, right_.n as r, cast(2000000 as hugeint) * a // (left_.n + right_.n) as score
+    from cuts join part left_ on left_.key = x join part right_ on right_.key = y
+),
+weakest as (select * from s qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+inner_ as (
+    select lang, array_to_string(w[i : i + n - 1], ' ') as phrase, max(a) as longer
+    from (select lang, w, a, n, unnest(range(1, size - n + 2)) as i from c, (values (2), (3)) sizes(n) where n < size) group by all
+),
+kept as (select weakest.* from weakest left join inner_ using (lang, phrase) where longer is null or cast(100 as hugeint) * longer < cast(80 as hugeint) * a)
+select lang, rank, phrase, a, l, r, cast(total.n as bigint) as n, cast(score as bigint) as score
+from (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept) join total using (lang)
+where rank <= 2000
+""",
+)
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(table(spark, sf_dir, "documents")).drop("example")
