@@ -2,26 +2,26 @@
 
 A Rabin-Karp fingerprint of every phrase comes from prefix sums of a polynomial over the text's bytes. Fingerprints are
 counted inside each block of text, then by a shuffle, length by length: a phrase is only looked at if the parts counted
-before it may be frequent. What a task has to know of these is a table of bits of fixed size (``Sieve``), whatever the
-corpus; a bit set by another phrase costs time, never a result. In the end the texts are read once more. Occurrences
-whose fingerprint may be frequent are compared as text with the first one of their block, so that colliding phrases
-part; each block then sends every such phrase once, with its count and a pointer to its first occurrence, and phrases
-are counted by their text.
+before it may be frequent. What a task has to know of these is a table of bits of bounded size (``Sieve``); a bit set
+by another phrase costs time, never a result. In the end the texts are read once more. Every fingerprint that may be
+frequent points to its first occurrence in a block, the other occurrences are compared with that text, so that
+colliding phrases part, and each block sends every such phrase once, with its count. Phrases are counted by their text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gravitas.llm import text as tx
+from gravitas.llm.sieve import SIEVE_BITS, Sieve, sieve_of
 
 LONGEST = 4
 #: A phrase must occur so often in its language.
@@ -31,8 +31,8 @@ TOP = 2000
 #: A phrase goes if a longer one that holds it has at least this share of its occurrences, in percent.
 SWALLOWED = 80
 SCALE = 2_000_000
-#: The sieve has 2 to this power bits: 16 MB are sent to each task for every length. Should grow with very large corpora.
-SIEVE_BITS = 27
+#: Bits of a fingerprint. It only says what may be frequent, so a collision costs time alone.
+PRINT_BITS = 40
 BLOCK_BYTES = 4 << 20
 NO_LANGUAGE = "und"
 
@@ -73,7 +73,6 @@ class Block:
         code = lang.indices.fill_null(len(self.langs)).to_numpy(zero_copy_only=False)
         self.langs.append(NO_LANGUAGE)
         self.lang = code[self.row]
-        self.ids = part.column("doc_id")
         self.numbers = np.zeros(0, np.int32)
         up, self.down = powers(len(self.data) + 1)
         self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[: len(self.data)], dtype=np.uint64)))
@@ -92,7 +91,7 @@ class Block:
     def fingerprints(self, places: np.ndarray, size: int) -> np.ndarray:
         lo, hi = self.at[places], self.at[places + size] - 1
         rolled = (self.sums[hi] - self.sums[lo]) * self.down[lo] + (hi - lo).astype(np.uint64)
-        return tx.mix(tx.mix(rolled) ^ self.salt[self.lang[places]])
+        return tx.mix(tx.mix(rolled) ^ self.salt[self.lang[places]]) >> np.uint64(64 - PRINT_BITS)
 
     def passing(self, sieve: Sieve, size: int) -> np.ndarray:
         """For every word whether the phrase of ``size`` words that begins there may be frequent."""
@@ -108,30 +107,8 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
             yield Block(part)
 
 
-@dataclass(frozen=True)
-class Sieve:
-    """Bits set for frequent fingerprints. It never denies one; the fuller it is, the more others it lets through."""
-
-    words: np.ndarray
-
-    def has(self, prints: np.ndarray) -> np.ndarray:
-        slot = (prints >> np.uint64(6)) & np.uint64(len(self.words) - 1)
-        return (self.words[slot.astype(np.int64)] >> (prints & np.uint64(63))) & np.uint64(1) > 0
-
-
-def sieve_of(frequent: DataFrame, bits: int = SIEVE_BITS) -> Sieve:
-    """A sieve of the column ``print``. Rows that come to the driver are words of the table: 2^(bits - 6) at most."""
-    mask = (1 << (bits - 6)) - 1
-    slot = F.shiftrightunsigned("print", 6).bitwiseAND(F.lit(mask).cast("long")).alias("slot")
-    bit = F.expr("shiftleft(1L, cast(print & 63 as int))")
-    rows = frequent.select(slot, bit.alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("word")).toArrow()
-    words = np.zeros(mask + 1, np.uint64)
-    words[rows.column("slot").to_numpy()] = rows.column("word").to_numpy().view(np.uint64)
-    return Sieve(words)
-
-
-def frequent_prints(docs: DataFrame, sizes: list[int], least: int, part_size: int = 0, parts: Sieve | None = None) -> DataFrame:
-    """``print`` of phrases of these sizes that are frequent, as far as fingerprints tell; others are never lost."""
+def frequent_prints(docs: DataFrame, sizes: list[int], least: int, bits: int, part_size: int = 0, parts: Sieve | None = None) -> Sieve:
+    """A sieve of the fingerprints found ``least`` times: no phrase of these sizes that is frequent is missing."""
     shared = docs.sparkSession.sparkContext.broadcast(parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,10 +116,11 @@ def frequent_prints(docs: DataFrame, sizes: list[int], least: int, part_size: in
             known = block.passing(shared.value, part_size) if shared.value else None
             for size in sizes:
                 prints, n = np.unique(block.fingerprints(block.places(size, known, part_size), size), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), pa.array(n)], names=["print", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), pa.array(n)], names=["key", "n"])
 
-    counted = docs.mapInArrow(run, "print long, n long").groupBy("print").agg(F.sum("n").alias("n"))
-    return counted.where(F.col("n") >= least).select("print")
+    counted = docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    with tx.scratch():
+        return sieve_of(tx.written(counted.where(F.col("n") >= least).select("key"), "prints"), bits)
 
 
 def distinct_phrases(block: Block, places: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,21 +137,14 @@ def distinct_phrases(block: Block, places: np.ndarray, size: int) -> tuple[np.nd
 
 
 def counted_phrases(docs: DataFrame, sieves: dict[int, Sieve]) -> DataFrame:
-    """``lang, size, phrase, n, doc_id, at`` per block for phrases that pass; size 0 and no phrase for all words.
-
-    ``doc_id`` and ``at`` (number of the first word) point to the first occurrence in the block.
-    """
+    """``key, n`` per block for phrases that pass, and for all words of a language; see ``phrase_key``."""
     shared = docs.sparkSession.sparkContext.broadcast(sieves)
-    schema = f"lang string, size int, phrase string, n long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, at long"
-    names = ["lang", "size", "phrase", "n", "doc_id", "at"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sieves = shared.value
         for block in blocks(batches):
-            langs = pa.array(block.langs)
-            all_words = np.bincount(block.lang, minlength=len(block.langs))
-            none = [pa.nulls(len(langs), block.ids.type), pa.nulls(len(langs), pa.int64())]
-            yield pa.RecordBatch.from_arrays([langs, pa.array(np.zeros(len(langs), np.int32)), pa.array([""] * len(langs)), pa.array(all_words), *none], names=names)
+            heads = pa.array([f"{lang}\n" for lang in block.langs])
+            yield pa.RecordBatch.from_arrays([heads, pa.array(np.bincount(block.lang, minlength=len(block.langs)))], names=["key", "n"])
             known = {part: block.passing(sieve, part) for part, sieve in sieves.items() if part < 3}
             block.numbers = tx.binary_array(block.data, block.at).dictionary_encode().indices.to_numpy()
             for size in range(1, LONGEST + 1):
@@ -182,22 +153,26 @@ def counted_phrases(docs: DataFrame, sieves: dict[int, Sieve]) -> DataFrame:
                     places = places[sieves[3].has(block.fingerprints(places, size))]
                 first, n = distinct_phrases(block, places, size)
                 text = tx.binary_array(*tx.join_spans(block.data, block.at[first], block.at[first + size] - 1), pa.string())
-                row = block.row[first]
-                columns = [langs.take(pa.array(block.lang[first])), pa.array(np.full(len(first), size, np.int32)), text, pa.array(n)]
-                yield pa.RecordBatch.from_arrays([*columns, block.ids.take(pa.array(row)), pa.array(first - block.first[row])], names=names)
+                key = pc.binary_join_element_wise(heads.take(pa.array(block.lang[first])), text, "")
+                yield pa.RecordBatch.from_arrays([key, pa.array(n)], names=["key", "n"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, "key string, n long")
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, bits: int = SIEVE_BITS) -> DataFrame:
-    """``lang, size, phrase, n, example`` for phrases of 1 to 4 words found at least ``least`` times in their language,
-    and a row of size 0 with the number of all words of each language."""
-    words = sieve_of(frequent_prints(docs, [1], least), bits)
-    pairs = sieve_of(frequent_prints(docs, [2], least, 1, words), bits)
-    longer = sieve_of(frequent_prints(docs, [3, 4], least, 2, pairs), bits)
-    each = counted_phrases(docs, {1: words, 2: pairs, 3: longer})
-    total = each.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"), F.min(F.when(F.col("at").isNotNull(), F.struct("doc_id", "at"))).alias("example"))
-    return total.where((F.col("n") >= least) | ((F.col("size") == 0) & (F.col("n") > 0)))
+    """``lang, size, phrase, n`` for phrases of 1 to 4 words found at least ``least`` times in their language, and a row
+    of size 0 with an empty phrase and the number of all words of each language.
+
+    The key that is shuffled is the language, a line break (no word holds one) and the phrase.
+    """
+    words = frequent_prints(docs, [1], least, bits)
+    pairs = frequent_prints(docs, [2], least, bits, 1, words)
+    longer = frequent_prints(docs, [3, 4], least, bits, 2, pairs)
+    total = counted_phrases(docs, {1: words, 2: pairs, 3: longer}).groupBy("key").agg(F.sum("n").alias("n"))
+    phrase = F.substring_index("key", "\n", -1)
+    lang = F.expr("left(key, char_length(key) - char_length(phrase) - 1)")
+    size = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ", -1)))
+    return total.withColumn("phrase", phrase).select(lang.alias("lang"), size.alias("size"), "phrase", "n").where((F.col("n") >= least) | ((F.col("size") == 0) & (F.col("n") > 0)))
 
 
 def scored(counts: DataFrame) -> DataFrame:
@@ -205,12 +180,12 @@ def scored(counts: DataFrame) -> DataFrame:
     words = F.split("phrase", " ", -1)
     part = lambda a, n: F.array_join(F.slice(words, a, n), " ")
     cut = lambda k: F.struct(k.alias("k"), part(F.lit(1), k).alias("left"), part(k + 1, F.col("size") - k).alias("right"))
-    cuts = counts.where("size >= 2").select("lang", "size", "phrase", F.col("n").alias("a"), "example", F.inline(F.transform(F.sequence(F.lit(1), F.col("size") - 1), cut)))
+    cuts = counts.where("size >= 2").select("lang", "size", "phrase", F.col("n").alias("a"), F.inline(F.transform(F.sequence(F.lit(1), F.col("size") - 1), cut)))
     side = lambda name, n: counts.where(f"size between 1 and {LONGEST - 1}").select("lang", F.col("phrase").alias(name), F.col("n").alias(n))
     both = cuts.join(side("left", "l"), ["lang", "left"]).join(side("right", "r"), ["lang", "right"])
     score = F.expr(f"cast({SCALE} as decimal(7,0)) * cast(a as decimal(20,0)) div (cast(l as decimal(20,0)) + r)")
-    weakest = both.groupBy("lang", "size", "phrase").agg(F.first("a").alias("a"), F.first("example").alias("example"), F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("cut"))
-    return weakest.select("lang", "size", "phrase", "a", "example", "cut.l", "cut.r", "cut.score")
+    weakest = both.groupBy("lang", "size", "phrase").agg(F.first("a").alias("a"), F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("cut"))
+    return weakest.select("lang", "size", "phrase", "a", "cut.l", "cut.r", "cut.score")
 
 
 def swallowed(counts: DataFrame) -> DataFrame:
@@ -221,21 +196,18 @@ def swallowed(counts: DataFrame) -> DataFrame:
     return counts.where("size >= 3").select("lang", "n", F.explode(parts).alias("phrase")).groupBy("lang", "phrase").agg(F.max("n").alias("longer"))
 
 
-def mine_phrases(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: int = LEAST, top: int = TOP, bits: int = SIEVE_BITS
-) -> DataFrame:
-    """``lang, rank, phrase, a, l, r, n, score, example``: the ``top`` phrases of 2 to 4 words of each language.
+def mine_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, top: int = TOP, bits: int = SIEVE_BITS) -> DataFrame:
+    """``lang, rank, phrase, a, l, r, n, score``: the ``top`` phrases of 2 to 4 words of each language.
 
     A-Z count as lower case; words are parted by spaces and tabs, and a phrase lies between two marks of ``.,;:!?`` or
     line breaks. ``a`` is the number of a phrase's occurrences (overlaps included, ``least`` at least), ``l`` and ``r``
     those of the two parts of its weakest cut, ``n`` all words of the language, ``score`` 2,000,000 a / (l + r), rounded
     down; of equal cuts the first counts. A phrase inside a longer one with 80 % of its occurrences is left out. Order:
-    score, a (both falling), phrase. ``example`` points to the first occurrence: smallest id, then word number. Texts
-    that are null or empty have no words; a null language is ``und``. Every row counts, so repeated rows count as often
-    as they stand there, and ids may be null or repeated. An empty table gives an empty result. Only the three named
-    columns are read.
+    score, a (both falling), phrase. Texts that are null or empty have no words; a null language is ``und``. Every row
+    counts, so repeated rows count as often as they stand there. An empty table gives an empty result. Only the two
+    named columns are read.
     """
-    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    plain = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     with tx.scratch():
         counts = tx.written(phrase_counts(plain, least, bits), "phrases")
         ranked = scored(counts).join(swallowed(counts), ["lang", "phrase"], "left")
@@ -243,5 +215,5 @@ def mine_phrases(
         order = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
         best = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
         whole = counts.where("size = 0").select("lang", F.col("n").alias("whole"))
-        out = best.join(whole, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", F.col("whole").alias("n"), "score", "example")
+        out = best.join(whole, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", F.col("whole").alias("n"), "score")
         return tx.kept(tx.written(out, "collocations"))

@@ -349,4 +349,4 @@ where rank <= 2000
 """,
 )
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return phrases.mine_phrases(table(spark, sf_dir, "documents")).drop("example")
+    return phrases.mine_phrases(table(spark, sf_dir, "documents"))

@@ -6,6 +6,7 @@ batch holds. One document is never cut.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -149,55 +150,78 @@ def binary_array(data: np.ndarray, offsets: np.ndarray, kind: pa.DataType | None
     return whole.cast(kind or pa.binary())
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock, _cleaning = threading.Lock(), {}
+_scratch = threading.local()
+
+
 @contextmanager
-def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
+def _cleanup(spark: SparkSession) -> Iterator[None]:
+    """Remove shuffle files after each query; the setting is as before when the last of several writers is done."""
+    with _lock:
+        users, before = _cleaning.get(spark, (0, spark.conf.get(CLEANUP, None)))
+        _cleaning[spark] = (users + 1, before)
+        spark.conf.set(CLEANUP, "true")
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        with _lock:
+            users, before = _cleaning.pop(spark)
+            if users > 1:
+                _cleaning[spark] = (users - 1, before)
+            elif before is None:
+                spark.conf.unset(CLEANUP)
+            else:
+                spark.conf.set(CLEANUP, before)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: a step that lost executors need not repeat.
 
-    The shuffle files that the step has used are removed when it is done.
+    The shuffle files that the step has used are removed when it is done. The innermost open ``scratch`` of this thread,
+    if there is one, owns the table.
     """
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
-    with _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+    with _cleanup(spark):
         df.write.option("compression", "zstd").parquet(path)
-    kept = spark.read.schema(df.schema).parquet(path)
-    _written[id(kept)] = (kept, path)
-    return kept
+    made = spark.read.schema(df.schema).parquet(path)
+    if owners := getattr(_scratch, "open", None):
+        owners[-1][id(made)] = (made, path)
+    return made
 
 
-_written: dict[int, tuple[DataFrame, str]] = {}
+def _taken(df: DataFrame) -> str | None:
+    """The path of a table that an open ``scratch`` owned until now."""
+    return next((owned.pop(id(df))[1] for owned in getattr(_scratch, "open", []) if id(df) in owned), None)
 
 
 def remove(*tables: DataFrame) -> None:
-    """Delete tables that ``written`` has made; nothing may read them afterwards."""
+    """Delete tables written in an open ``scratch``; nothing may read them afterwards."""
     for df in tables:
-        _, path = _written.pop(id(df))
-        jvm, conf = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-        folder = jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(conf).delete(folder, True)
+        if path := _taken(df):
+            jvm, conf = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
 
 
 def kept(df: DataFrame) -> DataFrame:
     """A written table that is a result and so outlives its ``scratch``."""
-    _written.pop(id(df))
+    _taken(df)
     return df
 
 
 @contextmanager
 def scratch() -> Iterator[None]:
-    """Delete at the end all tables written inside, but for those ``kept``."""
-    before = set(_written)
+    """Delete at the end all tables that this thread has written inside, but for those ``kept``."""
+    if not hasattr(_scratch, "open"):
+        _scratch.open = []
+    own: dict[int, tuple[DataFrame, str]] = {}
+    _scratch.open.append(own)
     try:
         yield
     finally:
-        remove(*(df for key, (df, _) in list(_written.items()) if key not in before))
+        remove(*(df for df, _ in list(own.values())))
+        _scratch.open.pop()
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:

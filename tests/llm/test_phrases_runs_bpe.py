@@ -178,13 +178,6 @@ def test_phrases_on_awkward_documents(docs, empty, least, top, bits):
     got = phrases.mine_phrases(docs, least=least, top=top, bits=bits).collect()
     plain = [(r["lang"], r["text"]) for r in docs.select("lang", "text").collect()]
     assert sorted(tuple(r[c] for c in COLUMNS) for r in got) == brute_phrases(plain, least, top)
-    text = {}
-    for r in docs.select("doc_id", "text").collect():
-        text.setdefault(r["doc_id"], []).append(r["text"] or "")
-    for r in got[:200]:
-        at = r["example"]["at"]
-        found = [" ".join(re.split(r"[ \t.,;:!?\n\x0b\x0c\r]+", t.strip(" \t.,;:!?\n\x0b\x0c\r"))[at : at + len(r["phrase"].split(" "))]) for t in text[r["example"]["doc_id"]]]
-        assert r["phrase"] in ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t) for t in found]
     assert phrases.mine_phrases(empty).count() == 0
 
 
