@@ -4,8 +4,9 @@ The smallest hash of the short grams inside a window is its anchor. Neighbouring
 kept as one run; windows with equal content always have equal anchors. Anchors that occur once in the corpus cannot
 belong to a repeated window, and only runs of the others are cut out of the texts, as one segment of text each.
 Equal segments are merged before they are shuffled to the bucket of their anchor. There an exact method (``Judge``)
-marks windows; where an anchor is so frequent that its bucket could grow without bound, its windows are compared one
-by one by an aggregation instead. Marks then travel back to all places where the segment stands.
+marks windows. A bucket with very many different segments is dealt out anew by longer keys: windows whose anchor stands
+at about the same place in them have more text in common than the anchor, and that text is their new key. The same
+method then marks them. Marks travel back to all places where the segment stands.
 """
 
 from __future__ import annotations
@@ -20,9 +21,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gravitas.llm import text as tx
-
-#: An anchor found more often is handled window by window.
-FREQUENT = 1000
+from gravitas.llm.sieve import sieve_of
+
+#: A key with more different segments than this gets longer keys; so many fit into about one block.
+FREQUENT = 4000
+#: Longer keys hold what windows have in common whose anchor stands at one of so many neighbouring places.
+GRAINS = (8, 1)
+#: Up to so many recurring anchors go to every task as a sieve (128 MB at most); beyond it they are joined.
+SIEVED = 1 << 24
 BLOCK_BYTES = 1 << 20
 
 
@@ -92,8 +98,8 @@ def anchor_counts(docs: DataFrame, units: Units) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
 
 
-def runs_by_document(docs: DataFrame, counts: DataFrame, units: Units, frequent: int) -> DataFrame:
-    """``doc_id, runs``: the runs whose anchor occurs again, as array of (at, key, often); a document's own, no more."""
+def runs_by_document(docs: DataFrame, counts: DataFrame, units: Units) -> DataFrame:
+    """``doc_id, runs``: the runs whose anchor occurs again, as array of (at, key); a document's own, no more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,7 +110,7 @@ def runs_by_document(docs: DataFrame, counts: DataFrame, units: Units, frequent:
 
     schema = docs.select("doc_id", F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("at")).schema
     found = docs.select("doc_id", "text").mapInArrow(run, schema).join(counts, "key")
-    return found.groupBy("doc_id").agg(F.collect_list(F.struct("at", "key", (F.col("n") > frequent).alias("often"))).alias("runs"))
+    return found.groupBy("doc_id").agg(F.collect_list(F.struct("at", "key")).alias("runs"))
 
 
 def same_id(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
@@ -117,30 +123,53 @@ def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return same_id(tx.packed_texts(docs), spans, "left").withColumn("spans", F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)))
 
 
-def cut_segments(docs: DataFrame, runs: DataFrame, units: Units) -> DataFrame:
-    """``doc_id, start, n, key, often, segment`` for every run: the text of its windows as one string."""
+def segments(ids: pa.Array, row: np.ndarray, start: np.ndarray, n: np.ndarray, key: np.ndarray, first: np.ndarray, packed: tuple, units: Units) -> Iterator[pa.RecordBatch]:
+    """``doc_id, start, n, key, segment`` of the given runs of some texts."""
+    data, starts, gap = packed
+    for i in range(0, len(row), 20_000):
+        s = slice(i, i + 20_000)
+        lo = first[row[s]] + start[s]
+        segment = tx.binary_array(*tx.join_spans(data, starts[lo], starts[lo + n[s] + units.size - 1] - gap))
+        yield pa.RecordBatch.from_arrays(
+            [ids.take(pa.array(row[s])), pa.array(start[s].astype(np.int32)), pa.array(n[s].astype(np.int32)), pa.array(key[s]), segment], names=["doc_id", "start", "n", "key", "segment"]
+        )
+
+
+def segment_schema(docs: DataFrame) -> str:
+    return f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start int, n int, key long, segment binary"
+
+
+def sieved_segments(docs: DataFrame, counts: DataFrame, units: Units) -> DataFrame:
+    """The text of the windows of every run whose anchor passes the sieve of the recurring ones, as one string."""
+    shared = docs.sparkSession.sparkContext.broadcast(sieve_of(counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in tx.unpacked(batch):
+            for part in tx.pieces(batch, "text"):
+                data, offsets = tx.bytes_of(part.column("text"))
+                row, start, n, key = find_runs(data, offsets, units)
+                again = shared.value.has(key.view(np.uint64))
                 first = units.grams(data, offsets, 0)[1]
-                data, starts, gap = units.packed(data, offsets)
+                yield from segments(part.column("doc_id"), row[again], start[again], n[again], key[again], first, units.packed(data, offsets), units)
+
+    return docs.select("doc_id", "text").mapInArrow(run, segment_schema(docs))
+
+
+def joined_segments(docs: DataFrame, counts: DataFrame, units: Units) -> DataFrame:
+    """The same by joins, for more recurring anchors than a sieve should hold."""
+    runs = tx.written(runs_by_document(docs, counts, units), "runs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in tx.unpacked(batch):
                 listed = part.column("runs")
                 flat = listed.flatten()
                 row = np.repeat(np.arange(part.num_rows), pc.list_value_length(listed).to_numpy(zero_copy_only=False))
-                at, key = flat.field("at").to_numpy(zero_copy_only=False), flat.field("key")
-                start, n = at >> 32, at & 0xFFFFFFFF
-                lo = first[row] + start
-                segment = tx.binary_array(*tx.join_spans(data, starts[lo], starts[lo + n + units.size - 1] - gap))
-                for i in range(0, len(row), 20_000):
-                    s = slice(i, i + 20_000)
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column("doc_id").take(pa.array(row[s])), pa.array(start[s].astype(np.int32)), pa.array(n[s].astype(np.int32)), key[s], flat.field("often")[s], segment[s]],
-                        names=["doc_id", "start", "n", "key", "often", "segment"],
-                    )
+                at, key = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("at", "key"))
+                first = units.grams(data, offsets, 0)[1]
+                yield from segments(part.column("doc_id"), row, at >> 32, at & 0xFFFFFFFF, key, first, units.packed(data, offsets), units)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return same_id(tx.packed_texts(docs), runs, "inner").mapInArrow(run, f"doc_id {kind}, start int, n int, key long, often boolean, segment binary")
+    return same_id(tx.packed_texts(docs), runs, "inner").mapInArrow(run, segment_schema(docs))
 
 
 def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Iterator[pa.Table]:
@@ -197,43 +226,84 @@ def judged(distinct: DataFrame, units: Units, judge: Judge) -> DataFrame:
                 part = block.select(["key", "seg"]).take(pa.array(keep)).combine_chunks()
                 yield pa.RecordBatch.from_arrays([part.column("key").chunk(0), part.column("seg").chunk(0), tx.list_array(pair, np.array(sizes))], names=["key", "seg", "marks"])
 
-    few = distinct.where("not often").drop("often")
-    together = few.repartition("key").sortWithinPartitions("key", *(["first"] if "first" in few.columns else []), "segment")
+    together = distinct.repartition("key").sortWithinPartitions("key", *(["first"] if "first" in distinct.columns else []), "segment")
     return together.select("key", "segment", "copies", F.xxhash64("segment").alias("seg")).mapInArrow(run, "key long, seg long, marks array<struct<lo:int,hi:int>>")
 
 
-def compared(distinct: DataFrame, units: Units) -> DataFrame:
-    """The same for segments of very frequent anchors: each window is a row, and equal rows are counted by Spark.
+def refined(distinct: DataFrame, units: Units, grain: int) -> DataFrame:
+    """Segments cut into windows whose anchor stands at ``grain`` neighbouring places, with what they share as key.
 
-    The counts are a table of their own, so that adaptive execution can split a frequent window's rows in the join.
+    Columns of ``distinct`` with the new ``key`` and ``segment``; ``first`` moves along. ``of_key``, ``of_seg``, ``lo``
+    and ``hi`` say which windows of which segment these are. The anchor of a window is the first of equal ones, so equal
+    windows of all segments get equal keys. With a grain of 1 the key is the hash of a window.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = tx.bytes_of(batch.column("segment"))
-            first = units.grams(data, offsets, 0)[1]
-            data, starts, gap = units.packed(data, offsets)
-            n = np.diff(first) - units.size + 1
-            row = np.repeat(np.arange(batch.num_rows), n)
-            o = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            for i in range(0, len(row), 20_000):
-                r, k = row[i : i + 20_000], o[i : i + 20_000]
-                lo = first[r] + k
-                window = tx.binary_array(*tx.join_spans(data, starts[lo], starts[lo + units.size] - gap))
-                rest = [batch.column(c).take(pa.array(r)) for c in batch.schema.names if c != "segment"]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(k.astype(np.int32)), window], names=[*(c for c in batch.schema.names if c != "segment"), "o", "window"])
-
-    often = distinct.where("often").drop("often").withColumn("seg", F.xxhash64("segment"))
-    schema = often.drop("segment").withColumn("o", F.lit(0)).withColumn("window", F.lit(b"")).schema
-    each = often.mapInArrow(run, schema)
-    if "first" in each.columns:
-        each = each.withColumn("first", F.struct(F.col("first.doc_id").alias("doc_id"), (F.col("first.start") + F.col("o")).alias("start")))
-        best = tx.written(each.groupBy("window").agg(F.min("first").alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "windows")
-        again = each.join(best, "window").where(~F.col("first").eqNullSafe(F.col("best")))
-    else:
-        best = tx.written(each.groupBy("window").agg(F.sum("copies").alias("total")).where("total > 1"), "windows")
-        again = each.join(best, "window", "left_semi")
-    return again.groupBy("key", "seg").agg(F.collect_list(F.struct(F.col("o").alias("lo"), (F.col("o") + 1).alias("hi"))).alias("marks"))
+            for part in tx.pieces(batch, "segment"):
+                data, offsets = tx.bytes_of(part.column("segment"))
+                key = part.column("gram").to_numpy()
+                grams, first = units.grams(data, offsets, units.k)
+                data, starts, gap = units.packed(data, offsets)
+                n = np.diff(first) - units.size + 1
+                row = np.repeat(np.arange(part.num_rows), n)
+                s = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + first[row]
+                is_anchor = grams.view(np.int64) == key[np.minimum(np.searchsorted(first, np.arange(len(grams)), "right") - 1, part.num_rows - 1)]
+                ahead = np.minimum.accumulate(np.where(is_anchor, np.arange(len(grams)), len(grams))[::-1])[::-1]
+                place = ahead[s]
+                group = (place - s) // grain
+                new = np.ones(len(s), bool)
+                new[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1]) | (group[1:] != group[:-1])
+                at = np.flatnonzero(new)
+                end = np.append(at[1:], len(s))
+                r, p, g = row[at], place[at], group[at]
+                least, most = g * grain, np.minimum((g + 1) * grain, units.size - units.k + 1) - 1
+                same = tx.span_hashes(data, starts[p - least], starts[p - most + units.size] - gap)
+                child = tx.mix(same + tx.mix(g.astype(np.uint64) + np.uint64(1))).view(np.int64)
+                lo, hi = s[at] - first[r], s[end - 1] - first[r] + 1
+                piece = tx.binary_array(*tx.join_spans(data, starts[s[at]], starts[s[end - 1] + units.size] - gap))
+                given = [part.column(c).take(pa.array(r)) for c in part.schema.names if c != "segment"]
+                yield pa.RecordBatch.from_arrays(
+                    [*given, pa.array(child), piece, pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=[*(c for c in part.schema.names if c != "segment"), "child", "segment", "lo", "hi"]
+                )
+
+    rest = [c for c in ("gram", "copies", "first") if c in distinct.columns]
+    named = distinct.select(*rest, F.col("key").alias("of_key"), F.xxhash64("segment").alias("of_seg"), "segment")
+    schema = named.drop("segment").select("*", F.lit(0).cast("long").alias("child"), F.lit(b"").alias("segment"), F.lit(0).alias("lo"), F.lit(0).alias("hi")).schema
+    cut = named.mapInArrow(run, schema).withColumnRenamed("child", "key")
+    return cut.withColumn("first", F.struct(F.col("first.doc_id").alias("doc_id"), (F.col("first.start") + F.col("lo")).alias("start"))) if "first" in rest else cut
+
+
+def ranges_of(rows: DataFrame, marks: DataFrame, keep_first: bool) -> DataFrame:
+    """``rows`` (``key, seg, place, n``) with what is marked of their windows as ``marks``, those with none left out.
+
+    ``marks`` has ``key, seg, copies, best, marks``: a segment's copies are marked as a whole, but for its first place
+    if that is kept; there, and where it stands once, the judge's marks count.
+    """
+    whole: Column = F.array(F.struct(F.lit(0).alias("lo"), F.col("n").alias("hi")))
+    own = F.col("place").eqNullSafe(F.col("best")) if keep_first else F.col("copies") == 1
+    return rows.join(marks, ["key", "seg"]).withColumn("marks", F.when(own, F.col("marks")).otherwise(whole)).where("marks is not null").drop("copies", "best")
+
+
+def with_marks(distinct: DataFrame, units: Units, judge: Judge, frequent: int, grains: tuple[int, ...] = GRAINS) -> DataFrame:
+    """``key, seg, copies, best, marks`` for segments that stand twice or have marks."""
+    keep_first = "first" in distinct.columns
+    marks = judged(distinct, units, judge)
+    hot = tx.written(distinct.groupBy("key").count().where(F.col("count") > frequent).select("key"), "hot") if grains else None
+    if hot is not None and not hot.isEmpty():
+        marks = judged(distinct.join(hot, "key", "left_anti"), units, judge)
+        cut = tx.written(refined(distinct.join(hot, "key", "left_semi"), units, grains[0]), "refined")
+        best = [F.min("first").alias("first")] if keep_first else []
+        inner = tx.written(cut.groupBy("key", "segment").agg(F.sum("copies").alias("copies"), F.min("gram").alias("gram"), *best), "pieces")
+        place = F.col("first") if keep_first else F.lit(None).cast("boolean")
+        rows = cut.select("key", F.xxhash64("segment").alias("seg"), place.alias("place"), (F.col("hi") - F.col("lo")).alias("n"), "of_key", "of_seg", F.col("lo").alias("shift"))
+        found = ranges_of(rows, with_marks(inner, units, judge, frequent, grains[1:]), keep_first)
+        each = found.select(F.col("of_key").alias("key"), F.col("of_seg").alias("seg"), "shift", F.inline("marks"))
+        moved = F.struct((F.col("lo") + F.col("shift")).alias("lo"), (F.col("hi") + F.col("shift")).alias("hi"))
+        marks = marks.unionByName(each.groupBy("key", "seg").agg(F.collect_list(moved).alias("marks")))
+    best = F.col("first") if keep_first else F.lit(None).cast("boolean")
+    named = distinct.select("key", F.xxhash64("segment").alias("seg"), "copies", best.alias("best"))
+    return tx.written(named.join(marks, ["key", "seg"], "left").where("copies > 1 or marks is not null"), "marks")
 
 
 def merged(df: DataFrame) -> DataFrame:
@@ -259,7 +329,7 @@ def merged(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, df.schema)
 
 
-def marked_spans(docs: DataFrame, units: Units, judge: Judge, keep_first: bool, frequent: int = FREQUENT) -> DataFrame:
+def marked_spans(docs: DataFrame, units: Units, judge: Judge, keep_first: bool, frequent: int = FREQUENT, sieved: int = SIEVED) -> DataFrame:
     """``doc_id, spans`` for documents with marked units: sorted, disjoint ranges of unit numbers as (start, end).
 
     ``docs`` has unique ids. With ``keep_first`` the first place of every window (smallest id, then earliest) stays
@@ -267,23 +337,13 @@ def marked_spans(docs: DataFrame, units: Units, judge: Judge, keep_first: bool,
     """
     with tx.scratch():
         counts = tx.written(anchor_counts(docs, units), "anchors")
-        runs = tx.written(runs_by_document(docs, counts, units, frequent), "runs")
-        places = tx.written(cut_segments(docs, runs, units), "segments")
-        tx.remove(counts, runs)
+        cut = sieved_segments if counts.count() <= sieved else joined_segments
+        places = tx.written(cut(docs, counts, units), "segments")
+        tx.remove(counts)
         first = [F.min(F.struct("doc_id", "start")).alias("first")] if keep_first else []
-        distinct = tx.written(places.groupBy("key", "often", "segment").agg(F.count(F.lit(1)).alias("copies"), *first), "distinct")
-        marks = judged(distinct, units, judge).unionByName(compared(distinct, units))
-        names = ["key", F.xxhash64("segment").alias("seg")]
-        at = places.select("doc_id", "start", "n", *names)
-        whole: Column = F.array(F.struct(F.lit(0).alias("lo"), F.col("n").alias("hi")))
-        if keep_first:
-            copied = distinct.where("copies > 1").select(*names, "first")
-            later = at.join(copied, ["key", "seg"]).where(~F.struct("doc_id", "start").eqNullSafe(F.col("first"))).select("doc_id", "start", whole.alias("marks"))
-            own = distinct.select(*names, "first").join(marks, ["key", "seg"]).select("first.doc_id", "first.start", "marks")
-        else:
-            copied = distinct.where("copies > 1").select(*names)
-            later = at.join(copied, ["key", "seg"], "left_semi").select("doc_id", "start", whole.alias("marks"))
-            own = at.join(marks, ["key", "seg"]).select("doc_id", "start", "marks")
-        each = later.unionByName(own).select("doc_id", "start", F.inline("marks"))
+        distinct = tx.written(places.groupBy("key", "segment").agg(F.count(F.lit(1)).alias("copies"), *first).withColumn("gram", F.col("key")), "distinct")
+        marks = with_marks(distinct, units, judge, frequent)
+        rows = places.select("key", F.xxhash64("segment").alias("seg"), F.struct("doc_id", "start").alias("place"), "n")
+        each = ranges_of(rows, marks, keep_first).select("place.doc_id", "place.start", F.inline("marks"))
         spans = each.groupBy("doc_id").agg(F.collect_list(F.struct((F.col("start") + F.col("lo")).alias("start"), (F.col("start") + F.col("hi") + (units.size - 1)).alias("end"))).alias("spans"))
         return tx.kept(tx.written(merged(spans), "spans"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from gravitas.llm import text as tx
-from gravitas.llm.anchors import FREQUENT, Units, marked_spans
+from gravitas.llm.anchors import FREQUENT, SIEVED, Units, marked_spans
 from gravitas.llm.superkmer import covered_units
 
 LENGTH = 100
@@ -158,7 +158,7 @@ def earlier(length: int):
     return judge
 
 
-def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, frequent: int = FREQUENT) -> DataFrame:
+def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, frequent: int = FREQUENT, sieved: int = SIEVED) -> DataFrame:
     """``doc_id, spans``: ranges of UTF-8 bytes covered by ``length`` bytes that also start earlier in the corpus.
 
     Earlier means in a document with a smaller id, or before in the same one, overlaps included; matches never cross
@@ -167,7 +167,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Only the two named columns are read.
     """
     units = Units(length, min(gram, length), byte_grams, packed_bytes)
-    return marked_spans(tx.unique_documents(docs, id_col, text_col), units, earlier(length), keep_first=True, frequent=frequent)
+    return marked_spans(tx.unique_documents(docs, id_col, text_col), units, earlier(length), keep_first=True, frequent=frequent, sieved=sieved)
 
 
 def kept_bytes(docs: DataFrame) -> DataFrame:

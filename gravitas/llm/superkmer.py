@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from gravitas.llm import text as tx
-from gravitas.llm.anchors import FREQUENT, Units, marked_spans
+from gravitas.llm.anchors import FREQUENT, SIEVED, Units, marked_spans
 
 WINDOW = 35
 GRAM = 6
@@ -67,7 +67,7 @@ def counted(size: int):
     return judge
 
 
-def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, frequent: int = FREQUENT) -> DataFrame:
+def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, frequent: int = FREQUENT, sieved: int = SIEVED) -> DataFrame:
     """``doc_id, spans``: ranges of words covered by a window that occurs anywhere else in the corpus.
 
     Words are runs of anything but ASCII white space, unchanged; every occurrence is marked, the first one too. Only
@@ -76,7 +76,7 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     columns are read.
     """
     units = Units(window, min(gram, window), word_grams, packed_words)
-    return marked_spans(tx.unique_documents(docs, id_col, text_col), units, counted(window), keep_first=False, frequent=frequent)
+    return marked_spans(tx.unique_documents(docs, id_col, text_col), units, counted(window), keep_first=False, frequent=frequent, sieved=sieved)
 
 
 def kept_words(docs: DataFrame) -> DataFrame:

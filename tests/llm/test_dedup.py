@@ -21,17 +21,17 @@ def unique(rows):
     return out
 
 
-@pytest.mark.parametrize("frequent", [1000, 2])
-def test_repeated_bytes(docs, rows, frequent):
-    """Both ways of comparing give what brute force gives: by bucket, and window by window for frequent anchors."""
+@pytest.mark.parametrize(("frequent", "sieved"), [(1000, 1 << 20), (1, 1 << 20), (2, 0)])
+def test_repeated_bytes(docs, rows, frequent, sieved):
+    """All ways give what brute force gives: by bucket, with longer keys, and with joins in place of a sieve."""
     want = {i: spans(m) for i, m in kept_after_bytes(unique(rows), 40).items() if any(m)}
-    assert ranges(runindex.repeated_bytes(docs, length=40, gram=8, frequent=frequent)) == want
+    assert ranges(runindex.repeated_bytes(docs, length=40, gram=8, frequent=frequent, sieved=sieved)) == want
 
 
-@pytest.mark.parametrize("frequent", [1000, 2])
-def test_repeated_words(docs, rows, frequent):
+@pytest.mark.parametrize(("frequent", "sieved"), [(1000, 1 << 20), (1, 1 << 20), (2, 0)])
+def test_repeated_words(docs, rows, frequent, sieved):
     want = {i: spans(m) for i, m in repeated_word_marks(unique(rows), 12).items() if any(m)}
-    assert ranges(superkmer.repeated_words(docs, window=12, gram=3, frequent=frequent)) == want
+    assert ranges(superkmer.repeated_words(docs, window=12, gram=3, frequent=frequent, sieved=sieved)) == want
 
 
 def test_production_sizes(docs, rows):
@@ -103,3 +103,27 @@ def test_text_ids(spark):
     assert got == {"a": "a", "b": "a", "c": "c"}
     assert ranges(runindex.repeated_bytes(df)) == {"b": [(0, len(text))]}
     assert set(ranges(superkmer.repeated_words(df.withColumn("text", F.col("text"))))) == {"a", "b"}
+
+
+def test_common_passage(spark):
+    """One passage in thousands of texts, different on both sides: its keys are dealt out anew and nothing is lost."""
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = " ".join(word() for _ in range(50))
+    texts = {i: " ".join([*(word() for _ in range(8)), passage, *(word() for _ in range(8))]) for i in range(5000)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(8)
+    assert ranges(superkmer.repeated_words(df)) == {i: spans(m) for i, m in repeated_word_marks(texts, 35).items() if any(m)}
+    want = {i: spans(m) for i, m in kept_after_bytes(texts, 100).items() if any(m)}
+    assert ranges(runindex.repeated_bytes(df)) == want
+
+
+def test_two_operators_at_once(spark, docs, rows):
+    """Each call deletes its own tables only."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    texts = unique(rows)
+    with ThreadPoolExecutor(2) as pool:
+        by_words, by_bytes = pool.submit(lambda: ranges(superkmer.repeated_words(docs))), pool.submit(lambda: ranges(runindex.repeated_bytes(docs)))
+        assert by_words.result() == {i: spans(m) for i, m in repeated_word_marks(texts, 35).items() if any(m)}
+        assert by_bytes.result() == {i: spans(m) for i, m in kept_after_bytes(texts, 100).items() if any(m)}
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") != "true"
