@@ -6,12 +6,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gravitas import preset
 
-MOMENTS = "a int, b int, n double, mean_a double, mean_b double, m_aa double, m_bb double, m_ab double"
+#: Tasks that first merge what the scan has found; so many rows per pair are left, whatever the size of the table.
+MERGERS = 64
+FIGURES = ("n", "mean_a", "mean_b", "m_aa", "m_bb", "m_ab", "low_a", "high_a", "low_b", "high_b", "own_a", "own_b")
+MOMENTS = "a int, b int, " + ", ".join(f"{f} double" for f in FIGURES)
 
 
 def _pair_moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -40,42 +43,64 @@ def _pair_moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     n = total[0][a, b]
     a, b, n = a[n > 0], b[n > 0], n[n > 0]
     sa, sb = total[1][a, b], total[1][b, a]
-    yield pd.DataFrame(
-        {
-            "a": a, "b": b, "n": n, "mean_a": shift[a] + sa / n, "mean_b": shift[b] + sb / n,
-            "m_aa": total[2][a, b] - sa * sa / n, "m_bb": total[2][b, a] - sb * sb / n, "m_ab": total[3][a, b] - sa * sb / n,
-        }
-    )
+    mean_a, mean_b = shift[a] + sa / n, shift[b] + sb / n
+    m_aa, m_bb = total[2][a, b] - sa * sa / n, total[2][b, a] - sb * sb / n
+    figures = (n, mean_a, mean_b, m_aa, m_bb, total[3][a, b] - sa * sb / n, mean_a, mean_a, mean_b, mean_b, m_aa, m_bb)
+    yield pd.DataFrame({"a": a, "b": b} | dict(zip(FIGURES, figures)))
+
+
+def _added(rows: pd.DataFrame) -> pd.DataFrame:
+    """One row per pair: counts add up, and moments with the spread of the means around their common mean."""
+    pairs, at = np.unique(rows[["a", "b"]].to_numpy(), axis=0, return_inverse=True)
+    at = at.reshape(-1)
+    add = lambda x: np.bincount(at, weights=x, minlength=len(pairs))
+    x = {f: rows[f].to_numpy() for f in FIGURES}
+    n = add(x["n"])
+    mean_a, mean_b = add(x["n"] * x["mean_a"]) / n, add(x["n"] * x["mean_b"]) / n
+    da, db = x["mean_a"] - mean_a[at], x["mean_b"] - mean_b[at]
+    moments = [add(x[m] + x["n"] * u * v) for m, u, v in (("m_aa", da, da), ("m_bb", db, db), ("m_ab", da, db))]
+
+    def extreme(f: str, start: float, pick) -> np.ndarray:
+        out = np.full(len(pairs), start)
+        pick.at(out, at, x[f])
+        return out
+
+    low, high = (np.inf, np.minimum), (-np.inf, np.maximum)
+    ends = [extreme(f, *(low if f.startswith("low") else high)) for f in FIGURES[6:]]
+    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]} | dict(zip(FIGURES, (n, mean_a, mean_b, *moments, *ends))))
+
+
+def _merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What a task receives as one row per pair; no more than a batch and that is held."""
+    total = None
+    for pdf in batches:
+        if len(pdf):
+            total = _added(pdf if total is None else pd.concat([total, pdf]))
+    if total is not None:
+        yield total
+
+
+def merged_moments(df: DataFrame, cols: Sequence[str], mergers: int = MERGERS) -> DataFrame:
+    """One row per pair of column numbers with count, means and centred moments over the whole table."""
+    partial = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).mapInPandas(_pair_moments, MOMENTS)
+    first = partial.repartition(mergers).mapInPandas(_merged, MOMENTS)
+    return first.repartition("a", "b").mapInPandas(_merged, MOMENTS)
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Upper triangle in long form; each pair uses the rows in which both are known. Null where undefined.
 
-    One pass for any number of columns: a task sends one row per pair. The same as aggregate expressions needs three
-    of them per pair, too much code to compile for more than a few columns.
+    One pass for any number of columns: a task sends one row per pair. ``MERGERS`` tasks merge these as they come,
+    and one per pair merges what is left. The same as aggregate expressions needs three of them per pair, too much code
+    to compile for more than a few columns.
     """
     if len(cols) < 2:
         raise ValueError("correlation needs two numeric columns")
-    partial = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).mapInPandas(_pair_moments, MOMENTS)
-    pair = Window.partitionBy("a", "b")
-
-    def centre(mean: str) -> Column:
-        return F.sum(F.col("n") * F.col(mean)).over(pair) / F.sum("n").over(pair)
-
-    apart = partial.withColumns({"da": F.col("mean_a") - centre("mean_a"), "db": F.col("mean_b") - centre("mean_b")})
-
-    def whole(own: str, x: str, y: str) -> Column:
-        return F.sum(F.col(own) + F.col("n") * F.col(x) * F.col(y))
-
-    def varies(own: str, mean: str) -> Column:
-        return (F.max(own) > 0) | (F.max(mean) > F.min(mean))
-
-    r = whole("m_ab", "da", "db") / F.nullif(
-        F.sqrt(F.greatest(whole("m_aa", "da", "da"), F.lit(0.0))) * F.sqrt(F.greatest(whole("m_bb", "db", "db"), F.lit(0.0))),
-        F.lit(0.0),
-    )
-    defined = varies("m_aa", "mean_a") & varies("m_bb", "mean_b")
-    seen = apart.groupBy("a", "b").agg(F.when(defined, F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0))).alias("correlation"))
+    whole = merged_moments(df, cols)
+    defined = ((F.col("own_a") > 0) | (F.col("high_a") > F.col("low_a"))) & ((F.col("own_b") > 0) | (F.col("high_b") > F.col("low_b")))
+    spread = F.sqrt(F.greatest("m_aa", F.lit(0.0))) * F.sqrt(F.greatest("m_bb", F.lit(0.0)))
+    r = F.col("m_ab") / F.nullif(spread, F.lit(0.0))
+    seen = whole.select("a", "b", F.when(defined, F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0))).alias("correlation"))
     label = F.array(*[F.lit(c) for c in cols])
     listed = df.sparkSession.createDataFrame(
         [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))], "a int, b int"

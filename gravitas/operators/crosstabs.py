@@ -12,7 +12,7 @@ from gravitas.functions.columns import (
     count_where, decode, is_evening_rush, is_morning_rush, is_night, percent,
 )
 from gravitas.operators.distributions import mode_of
-from gravitas.operators.reshape import arg_max
+from gravitas.operators.reshape import all_pairs, arg_max
 
 def pair_counts(df: DataFrame, a: str, b: str) -> DataFrame:
     """Rows per pair of values in which both are known."""
@@ -20,16 +20,17 @@ def pair_counts(df: DataFrame, a: str, b: str) -> DataFrame:
     return known.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
 
 
-def dense(counts: DataFrame) -> DataFrame:
+def dense(counts: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """All combinations of the observed a and b values, absent ones with 0.
 
-    The values of b are the columns of the table a reader sees, and the result has a cell for each pair, so this is
-    for tables meant to be read; ``pair_counts`` has the cells that are not 0, for any number of values. The condition
-    on n, always true, keeps the count in every branch, so that all of them share one aggregate of the table.
+    The result has a cell for each pair, so this is for tables meant to be read; ``pair_counts`` has the cells that are
+    not 0, for any number of values. ``rows``, a table of a values, names the rows wanted; others are left out before
+    their zero cells are made. The condition on n, always true, keeps the count in every branch, so that all of them
+    share one aggregate of the table.
     """
     counts = counts.where("n > 0")
-    seen = counts.agg(F.sort_array(F.collect_set("b"))).scalar()
-    grid = counts.select("a").distinct().select("a", F.explode(seen).alias("b"))
+    wanted = counts.select("a").distinct() if rows is None else rows
+    grid = all_pairs(wanted, counts.select("b").distinct())
     return grid.join(counts, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -77,7 +78,7 @@ def top_rows_crosstab(df: DataFrame, a: str, b: str, k: int) -> DataFrame:
     """The k rows of the table with the largest totals."""
     counts = pair_counts(df, a, b)
     best = counts.groupBy("a").agg(F.sum("n").alias("t")).orderBy(F.desc("t"), "a").limit(k).select("a")
-    return dense(counts).join(F.broadcast(best), "a", "left_semi")
+    return dense(counts, best)
 
 
 def cross_grid(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gravitas import preset
@@ -13,6 +13,8 @@ from gravitas.operators.reshape import arg_max, union_all
 from gravitas.session import ensure_checkpoint_dir
 
 BROADCAST_BYTES = 16 << 20
+#: A key is common if at least one row of so many has it.
+HEAVY_SHARE = 1_000
 
 
 class LabelEncoder:
@@ -112,10 +114,39 @@ def fit_target_shares(df: DataFrame, col: str, target: str, classes: Sequence[st
 
 
 def encode_target(df: DataFrame, col: str, target: str, classes: Sequence[str], shares: DataFrame | None = None) -> DataFrame:
-    """Replace a category by its shares, fitted on ``df`` itself or given; an unknown category has null shares."""
+    """Replace a category by its shares, fitted on ``df`` itself or given; an unknown category has null shares.
+
+    Small tables of shares go to all tasks, see ``join_spread``.
+    """
     if shares is None:
         shares = fit_target_shares(df, col, target, classes)
-    return df.join(shares, F.col(col).eqNullSafe(F.col("__k")), "left").drop("__k", col)
+    return join_spread(df, shares, col, "__k").drop("__k", col)
+
+
+def join_spread(
+    df: DataFrame, side: DataFrame, col: str, key: str, limit: int | None = None, heavy_share: int = HEAVY_SHARE, size: Column | None = None
+) -> DataFrame:
+    """Left join of ``df`` with a table that has one row per key; null is a key like any other.
+
+    The side is measured (``size``: bytes of a row, else those of its key). Up to ``limit`` bytes it goes to all tasks.
+    Beyond it, keys with at least one of ``heavy_share`` rows, at most that many, go to all tasks, so that no task gets
+    all rows of one; the rest is shuffled.
+    """
+    own = F.octet_length(F.col(key).cast("string")) if size is None else size
+    width = F.coalesce(own, F.lit(0)) + F.lit(8 * len(side.columns) + 16)
+    taken = side.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
+    on = F.col(col).eqNullSafe(F.col(key))
+    if taken <= (BROADCAST_BYTES if limit is None else limit):
+        return df.join(F.broadcast(side), on, "left")
+    counted = df.groupBy(F.col(col).alias("__heavy")).agg(F.count("*").alias("__n"))
+    total = counted.agg(F.sum("__n")).scalar()
+    heavy = counted.where(F.col("__n") * heavy_share >= total).select("__heavy")
+    ensure_checkpoint_dir(df.sparkSession)
+    sent = side.join(F.broadcast(heavy), F.col(key).eqNullSafe(F.col("__heavy")), "right").select("__heavy", *side.columns).checkpoint()
+    is_heavy = F.col(col).eqNullSafe(F.col("__heavy"))
+    common = df.join(F.broadcast(sent), is_heavy).drop("__heavy")
+    rare = df.join(F.broadcast(sent.select("__heavy")), is_heavy, "left_anti").join(side, on, "left")
+    return common.unionByName(rare)
 
 
 def feature_kind(df: DataFrame, cols: Sequence[str], below: int = preset.CATEGORICAL_BELOW) -> DataFrame:

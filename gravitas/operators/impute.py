@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,10 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gravitas import preset
-from gravitas.functions.buckets import with_range_bucket
+from gravitas.functions.buckets import ROWS_PER_BUCKET
 from gravitas.functions.columns import numeric_columns, string_columns
 from gravitas.functions.quantiles import fit_quantiles, is_few
 from gravitas.operators.reshape import arg_max
+from gravitas.session import ensure_checkpoint_dir
 
 SUMMARY = "feature string, method string, fill_value string, missing_count long"
 
@@ -114,11 +116,16 @@ def impute_ffill(
 ) -> DataFrame:
     """Last known value before each row, in ``order``, then ``row_id``, within ``by``.
 
-    Rows are split by ranges of the order column, so one key may hold any share of the table: a range is filled by
-    itself, and what is still missing at its start comes from the last known value of the ranges before it.
+    Rows are split by ranges of the pair (order, id), so one key or one order value may hold any share of the table: a
+    range is filled by itself, and what is still missing at its start comes from the last known value of the ranges
+    before it. Where there is more than one range the ranges are written down, as several steps must agree on them.
     """
-    keyed = df.withColumn("__order", F.col(order).cast("timestamp").cast("double") if _is_time(df, order) else F.col(order))
-    ranged = with_range_bucket(keyed, "__order", "__bucket", rows_per_bucket)
+    ranges = math.ceil(df.count() / (rows_per_bucket or ROWS_PER_BUCKET))
+    if ranges > 1:
+        ensure_checkpoint_dir(df.sparkSession)
+        ranged = df.repartitionByRange(ranges, order, row_id).withColumn("__bucket", F.spark_partition_id()).checkpoint()
+    else:
+        ranged = df.withColumn("__bucket", F.lit(0))
     inside = Window.partitionBy(*by, "__bucket").orderBy(order, row_id).rowsBetween(Window.unboundedPreceding, 0)
     place = F.struct(F.col(order), F.col(row_id))
     lasts = ranged.groupBy(*by, "__bucket").agg(
@@ -139,7 +146,3 @@ def impute_ffill(
             for c in df.columns
         ]
     )
-
-
-def _is_time(df: DataFrame, col: str) -> bool:
-    return isinstance(df.schema[col].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))

@@ -1,32 +1,38 @@
 """Exact k nearest neighbours without comparing all pairs of a group.
 
 Identical vectors are first collapsed, so a vector with any number of copies is compared once. The rest is cut into
-cells around pivots. Each vector is compared with its own cell; the distance to its k-th neighbour there, with the
-triangle inequality, then shows which other cells can still hold a nearer one, and only those are searched. Distances
-are computed block against block; a block has a bounded number of rows, and emits k neighbours per vector, not pairs.
+cells around pivots, and a cell with many vectors into cells around pivots of its own, until all are small: a tree of
+any number of cells, each held as a row. Each vector is compared with its own cell; the distance to its k-th neighbour
+there bounds what can matter. It then goes down the tree, where the triangle inequality and the planes between pivots
+close most branches and distances to pivots, which are vectors themselves, tighten the bound. The cells that stay open
+are searched nearest first, in rounds, and each round closes more. Distances are computed block against block; a block
+has a bounded number of rows, and emits k neighbours per vector, not pairs.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gravitas.functions.hashing import hex_slice, order_key
+from gravitas.functions.hashing import order_key
 from gravitas.session import ensure_checkpoint_dir
 
 CELL_ROWS = 2_000
 BLOCK_ROWS = 4_096
-MAX_PIVOTS = 4_096
-PIVOT_BYTES = 64 * 2**20
+#: Pivots of one cell that is cut, and how often cells are cut; what is still large then is compared in blocks.
+FANOUT = 32
+MAX_DEPTH = 16
+#: Cells that the first round searches for each vector; every further round takes four times as many.
+FIRST_CELLS = 2
 SLICE = 512
 SLACK = 1e-9
 
 EDGE = "g string, q bigint, v bigint, dist double"
+MEMBER = "g string, v bigint, vec array<double>, cell string, reach double"
 
 
 def squared_distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -74,63 +80,64 @@ def _block_nearest(k: int):
     return nearest
 
 
-def _assign(pivots_by_group):
-    """Nearest pivot of its group for each vector, and the distance to it."""
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pivots = pivots_by_group.value
-        for pdf in batches:
-            cell = np.zeros(len(pdf), dtype=np.int32)
-            reach = np.zeros(len(pdf))
-            for g, at in pdf.groupby("g").indices.items():
-                vec = np.stack(pdf["vec"].to_numpy()[at])
-                for lo in range(0, len(at), SLICE):
-                    d = np.sqrt(squared_distances(vec[lo : lo + SLICE], pivots[g]))
-                    best = d.argmin(axis=1)
-                    cell[at[lo : lo + SLICE]] = best
-                    reach[at[lo : lo + SLICE]] = d[np.arange(len(best)), best]
-            yield pdf.assign(cell=cell, reach=reach)
-
-    return assign
-
-
-def _route(pivots_by_group, radii):
-    """Other cells that can hold a vector at most as far as the bound: one row per vector and such cell."""
-
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pivots, radius = pivots_by_group.value, radii.value
-        for pdf in batches:
-            for g, at in pdf.groupby("g").indices.items():
-                vec = np.stack(pdf["vec"].to_numpy()[at])
-                own = pdf["cell"].to_numpy()[at]
-                bound = pdf["bound"].to_numpy()[at] * (1 + SLACK) + SLACK
-                between = np.sqrt(squared_distances(pivots[g], pivots[g]))
-                for lo in range(0, len(at), SLICE):
-                    part = slice(lo, lo + SLICE)
-                    d = np.sqrt(squared_distances(vec[part], pivots[g]))
-                    mine = d[np.arange(len(d)), own[part]][:, None]
-                    gap = between[own[part]]
-                    plane = np.divide(d * d - mine * mine, 2 * gap, out=np.zeros_like(d), where=gap > 0)
-                    nearest = np.maximum(d - radius[g][None, :], plane)
-                    can = (nearest <= bound[part][:, None]) & (radius[g][None, :] >= 0)
-                    can[np.arange(len(d)), own[part]] = False
-                    row, col = np.nonzero(can)
-                    hit = pdf.iloc[at[part][row]]
-                    yield pd.DataFrame({"g": hit["g"], "q": hit["q"], "vec": hit["vec"], "cell": col.astype(np.int32)})
+def _nearest_pivot(queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+    """The child cell of each vector, that of its nearest pivot, and the distance to it."""
+    if queries.empty or members.empty:
+        return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("g", "v", "vec", "cell", "reach")})
+    members = members.sort_values("v")
+    vec, pivots = np.stack(queries["vec"].to_numpy()), np.stack(members["m_vec"].to_numpy())
+    cell, reach = np.zeros(len(vec), np.int64), np.zeros(len(vec))
+    for lo in range(0, len(vec), SLICE):
+        d = np.sqrt(squared_distances(vec[lo : lo + SLICE], pivots))
+        cell[lo : lo + SLICE] = best = d.argmin(axis=1)
+        reach[lo : lo + SLICE] = d[np.arange(len(best)), best]
+    parent = queries["cell"].iloc[0]
+    return pd.DataFrame({"g": queries["g"], "v": queries["q"], "vec": queries["vec"], "cell": [f"{parent}.{i}" for i in cell], "reach": reach})
+
+
+def _open_children(need: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """Child cells that can hold a vector at most as far as the bound, each with the least distance it can have.
+
+    The bound falls to the distance of the ``need``-th nearest pivot if that is smaller.
+    """
+
+    def route(queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        if queries.empty or members.empty:
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("g", "q", "vec", "cell", "bound", "least")})
+        vec, pivots = np.stack(queries["vec"].to_numpy()), np.stack(members["m_vec"].to_numpy())
+        radius, child = members["radius"].to_numpy(), members["child"].to_numpy()
+        between = np.sqrt(squared_distances(pivots, pivots))
+        bounds, before, out = queries["bound"].to_numpy(), queries["least"].to_numpy(), []
+        for lo in range(0, len(vec), SLICE):
+            part = slice(lo, lo + SLICE)
+            d = np.sqrt(squared_distances(vec[part], pivots))
+            bound = bounds[part]
+            if d.shape[1] >= need:
+                bound = np.minimum(bound, np.partition(d, need - 1, axis=1)[:, need - 1])
+            near = d.argmin(axis=1)
+            mine, gap = d[np.arange(len(d)), near][:, None], between[near]
+            plane = np.divide(d * d - mine * mine, 2 * gap, out=np.zeros_like(d), where=gap > 0)
+            least = np.maximum(np.maximum(d - radius * (1 + SLACK), plane), before[part][:, None])
+            row, col = np.nonzero(least <= bound[:, None] * (1 + SLACK) + SLACK)
+            hit = queries.iloc[np.arange(len(vec))[part][row]]
+            out.append(pd.DataFrame({"g": hit["g"], "q": hit["q"], "vec": hit["vec"], "cell": child[col], "bound": bound[row], "least": least[row, col]}))
+        return pd.concat(out)
 
     return route
 
 
-def _blocks(queries: DataFrame, members: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
-    """Compare queries with the members of their cell; big cells are cut into chunks on both sides."""
+def _meet(queries: DataFrame, members: DataFrame, extra: Sequence[str], each: Callable, schema: str, whole: bool = False) -> DataFrame:
+    """Bring the queries of a cell and its members together; big cells are cut into chunks on both sides, or only the
+    queries if a cell's members, of which there are few, must be seen as a whole.
+
+    ``queries`` has ``g, cell, q, vec`` and more, ``members`` ``g, cell, v, vec`` and ``extra``.
+    """
 
     def chunks(n):
         return F.greatest(F.ceil(n / F.lit(BLOCK_ROWS)), F.lit(1)).cast("int")
 
-    routed = queries.groupBy("g", "cell").agg(F.count("*").alias("nq"))
-    plan = F.broadcast(
-        sizes.join(routed, ["g", "cell"]).select("g", "cell", chunks(F.col("nm")).alias("mc"), chunks(F.col("nq")).alias("qc"))
-    )
+    asked = queries.groupBy("g", "cell").agg(chunks(F.count("*")).alias("qc"))
+    plan = members.groupBy("g", "cell").agg((F.lit(1) if whole else chunks(F.count("*"))).alias("mc")).join(asked, ["g", "cell"])
     left = (
         queries.join(plan, ["g", "cell"])
         .withColumn("qk", F.pmod(F.xxhash64("q"), F.col("qc")).cast("int"))
@@ -142,9 +149,14 @@ def _blocks(queries: DataFrame, members: DataFrame, sizes: DataFrame, k: int) ->
         .withColumn("qk", F.explode(F.sequence(F.lit(0), F.col("qc") - 1)))
     )
     keys = ["g", "cell", "qk", "mk"]
-    a = left.select(*keys, "q", "vec").groupBy(*keys)
-    b = right.select(*[F.col(c).alias(f"m_{c}") for c in keys], "v", F.col("vec").alias("m_vec"))
-    return a.cogroup(b.groupBy(*[f"m_{c}" for c in keys])).applyInPandas(_block_nearest(k), EDGE)
+    a = left.select(*keys, *[c for c in queries.columns if c not in keys]).groupBy(*keys)
+    b = right.select(*[F.col(c).alias(f"m_{c}") for c in keys], "v", F.col("vec").alias("m_vec"), *extra)
+    return a.cogroup(b.groupBy(*[f"m_{c}" for c in keys])).applyInPandas(each, schema)
+
+
+def _blocks(queries: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """The k nearest members of its cell for each query and chunk of the cell."""
+    return _meet(queries.select("g", "cell", "q", "vec"), members, (), _block_nearest(k), EDGE)
 
 
 def _first_k(edges: DataFrame, k: int) -> DataFrame:
@@ -159,19 +171,69 @@ def collapse(points: DataFrame, keep: int) -> DataFrame:
     return few.groupBy("g", "vec").agg(F.min("id").alias("v"), F.sort_array(F.collect_list(F.struct("id", "tag"))).alias("ids"))
 
 
-def _pick_pivots(distinct: DataFrame, wanted: dict[str, tuple[int, int]]) -> dict[str, np.ndarray]:
-    """About the wanted number of vectors per group, those with a small hash, and at least the one with the smallest."""
-    shares = [(g, 2.0**32 * min(1.0, take / n)) for g, (take, n) in wanted.items() if take > 1]
-    keyed = distinct.select("g", "v", "vec", order_key(F.col("v"), 0).alias("key"))
-    chosen = keyed.groupBy("g").agg(F.min_by(F.struct("v", "vec"), "key").alias("s")).select("g", "s.v", "s.vec")
-    if shares:
-        side = distinct.sparkSession.createDataFrame(shares, "g string, below double")
-        more = keyed.join(F.broadcast(side), "g").where(hex_slice(F.col("key"), 1) < F.col("below")).select("g", "v", "vec")
-        chosen = chosen.unionByName(more)
-    found: dict[str, dict[int, list]] = {}
-    for r in chosen.collect():
-        found.setdefault(r["g"], {})[r["v"]] = r["vec"]
-    return {g: np.array([vs[v] for v in sorted(vs)], dtype=float) for g, vs in found.items()}
+def cell_tree(distinct: DataFrame, cell_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """Members with their last cell, and the inner nodes: ``g, cell, v, vec, child, radius`` for each child of a cell.
+
+    A cell with more than ``cell_rows`` members is cut around those of its members that have the smallest hash.
+    """
+    members = distinct.select("g", "v", "vec", F.lit("r").alias("cell"), F.lit(0.0).alias("reach"))
+    nodes = None
+    for depth in range(MAX_DEPTH):
+        large = members.groupBy("g", "cell").count().where(F.col("count") > cell_rows).select("g", "cell").checkpoint()
+        if large.isEmpty():
+            break
+        inside = members.join(large, ["g", "cell"], "left_semi")
+        place = F.row_number().over(Window.partitionBy("g", "cell").orderBy(order_key(F.col("v"), depth), "v"))
+        pivots = inside.withColumn("place", place).where(F.col("place") <= FANOUT).select("g", "cell", "v", "vec").checkpoint()
+        cut = _meet(inside.select("g", "cell", F.col("v").alias("q"), "vec"), pivots, (), _nearest_pivot, MEMBER, whole=True).checkpoint()
+        # A pivot's child has the number of its place among the pivots, by id.
+        number = F.row_number().over(Window.partitionBy("g", "cell").orderBy("v")) - 1
+        named = pivots.withColumn("child", F.concat_ws(".", "cell", number.cast("string")))
+        radius = cut.groupBy(F.col("g"), F.col("cell").alias("child")).agg(F.max("reach").alias("radius"))
+        found = named.join(radius, ["g", "child"]).select("g", "cell", "v", "vec", "child", "radius")
+        nodes = found if nodes is None else nodes.unionByName(found)
+        members = members.join(large, ["g", "cell"], "left_anti").unionByName(cut).checkpoint()
+    return members, nodes.checkpoint() if nodes is not None else None
+
+
+def open_cells(asked: DataFrame, nodes: DataFrame, need: int) -> DataFrame:
+    """``g, q, vec, cell, bound, least``: last cells, but for a vector's own, that can hold a near one.
+
+    ``asked`` has ``g, q, vec, cell, bound``. One step down the tree at a time; branches that are closed go no further.
+    """
+    inner = nodes.select("g", "cell").distinct()
+    own = asked.select(F.col("g").alias("__g"), F.col("q").alias("__q"), F.col("cell").alias("__cell"))
+    at = asked.select("g", "q", "vec", F.lit("r").alias("cell"), "bound", F.lit(0.0).alias("least"))
+    schema, done = "g string, q bigint, vec array<double>, cell string, bound double, least double", None
+    for _ in range(MAX_DEPTH):
+        at = at.join(inner, ["g", "cell"], "left_semi")
+        if at.isEmpty():
+            break
+        at = _meet(at, nodes, ("child", "radius"), _open_children(need), schema, whole=True).checkpoint()
+        last = at.join(inner, ["g", "cell"], "left_anti")
+        done = last if done is None else done.unionByName(last)
+    same = (F.col("g") == F.col("__g")) & (F.col("q") == F.col("__q")) & (F.col("cell") == F.col("__cell"))
+    return done.join(own, same, "left_anti").checkpoint()
+
+
+def searched(edges: DataFrame, candidates: DataFrame, members: DataFrame, need: int) -> DataFrame:
+    """The ``need`` nearest of each vector when all open cells are searched, nearest cells first.
+
+    ``edges`` are the nearest of the own cell. A round takes the cells next in line of every vector; then the bound is
+    that of the ``need``-th found, and cells beyond it are closed.
+    """
+    place = F.row_number().over(Window.partitionBy("q").orderBy("least", "cell"))
+    waiting, take, taken = candidates.withColumn("place", place).checkpoint(), FIRST_CELLS, 0
+    while not waiting.isEmpty():
+        taken += take
+        now = waiting.where(F.col("place") <= taken)
+        edges = _first_k(edges.unionByName(_blocks(now, members, need)), need).checkpoint()
+        reached = edges.groupBy("q").agg(F.count("*").alias("n"), F.max("dist").alias("far")).where(F.col("n") >= need)
+        left = waiting.where(F.col("place") > taken).join(reached.select("q", "far"), "q", "left")
+        limit = F.least("bound", F.coalesce("far", F.lit(float("inf"))))
+        waiting = left.where(F.col("least") <= limit * (1 + SLACK) + SLACK).drop("far").checkpoint()
+        take *= 4
+    return edges
 
 
 def nearest_neighbours(
@@ -188,38 +250,21 @@ def nearest_neighbours(
     tag = F.col("tag") if "tag" in points.columns else F.lit(None).cast("string")
     points = points.select("id", "g", "vec", tag.alias("tag"))
     distinct = collapse(points, k + 1).checkpoint()
-    cell_target = cell_rows or CELL_ROWS
-    counts = {r["g"]: r["n"] for r in distinct.groupBy("g").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    if distinct.isEmpty():
         raise ValueError("no points")
-    width = distinct.agg(F.max(F.size("vec"))).first()[0]
-    room = max(len(counts), min(MAX_PIVOTS, PIVOT_BYTES // (8 * max(width, 1))))
-    wanted = {g: max(1, math.ceil(n / cell_target)) for g, n in counts.items()}
-    shrink = min(1.0, room / sum(wanted.values()))
-    pivots = _pick_pivots(distinct, {g: (max(1, int(n * shrink)), counts[g]) for g, n in wanted.items()})
-    shared = spark.sparkContext.broadcast(pivots)
-
-    members = distinct.select("g", "v", "vec").mapInPandas(
-        _assign(shared), "g string, v bigint, vec array<double>, cell int, reach double"
-    ).checkpoint()
-    sizes = members.groupBy("g", "cell").agg(F.count("*").alias("nm"), F.max("reach").alias("radius"))
-    radius = {g: np.full(len(p), -1.0) for g, p in pivots.items()}
-    for r in sizes.collect():
-        radius[r["g"]][r["cell"]] = r["radius"] * (1 + SLACK)
-    radii = spark.sparkContext.broadcast(radius)
-
+    members, nodes = cell_tree(distinct, cell_rows or CELL_ROWS)
     asked = members
     if queries is not None:
         ids = points.join(queries.select("id"), "id", "left_semi").select("g", "vec").distinct()
         asked = members.join(ids, ["g", "vec"], "left_semi")
     asked = asked.withColumn("q", F.col("v"))
     need = k + 1
-    own = _first_k(_blocks(asked.select("g", "cell", "q", "vec"), members, sizes, need), need).checkpoint()
-    reached = own.groupBy("q").agg(F.count("*").alias("n"), F.max("dist").alias("far"))
-    bound = F.when(F.col("n") >= need, F.col("far")).otherwise(F.lit(float("inf")))
-    bounded = asked.join(reached, "q").select("g", "q", "vec", "cell", bound.alias("bound"))
-    routed = bounded.mapInPandas(_route(shared, radii), "g string, q bigint, vec array<double>, cell int").checkpoint()
-    edges = _first_k(own.unionByName(_blocks(routed, members, sizes, need)), need)
+    edges = _first_k(_blocks(asked, members, need), need).checkpoint()
+    if nodes is not None:
+        reached = edges.groupBy("q").agg(F.count("*").alias("n"), F.max("dist").alias("far"))
+        bound = F.when(F.col("n") >= need, F.col("far")).otherwise(F.lit(float("inf")))
+        bounded = asked.join(reached, "q").select("g", "q", "vec", "cell", bound.alias("bound"))
+        edges = searched(edges, open_cells(bounded, nodes, need), members, need)
 
     found = edges.join(distinct.select("v", F.col("ids"), F.col("vec").alias("nvec")), "v")
     rows = F.flatten(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gravitas.functions.buckets import running_sums, with_range_bucket
 from gravitas.functions.columns import percent
-from gravitas.operators.reshape import union_all
+from gravitas.operators.reshape import all_pairs, union_all
 from gravitas.session import ensure_checkpoint_dir
 
 # Fixed value: smallest probability a logarithm is taken of, the spacing of doubles at 1.
@@ -30,10 +30,10 @@ def confusion_matrix(df: DataFrame, actual: str, predicted: str, by: Sequence[st
     """Counts over all pairs of classes, with the percent of each actual class; 0 where nothing was counted."""
     # The condition, always true, keeps the count in every branch: they share one aggregate of the predictions.
     counts = outcome_counts(df, actual, predicted, by).where("n > 0")
-    classes = counts.select(F.explode(F.array("actual", "predicted")).alias("c")).distinct()
-    known = classes.agg(F.sort_array(F.collect_set("c"))).scalar()
+    classes = counts.select(F.explode(F.array("actual", "predicted")).alias("c")).where("c is not null").distinct()
     models = counts.select(*by, F.lit(1).alias("__one")).distinct()
-    grid = models.select(*by, F.explode(known).alias("actual")).select(*by, "actual", F.explode(known).alias("predicted"))
+    rows = all_pairs(models, classes.withColumnRenamed("c", "actual"))
+    grid = all_pairs(rows, classes.withColumnRenamed("c", "predicted")).drop("__one")
     full = grid.join(counts, [*by, "actual", "predicted"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     total = F.sum("n").over(Window.partitionBy(*by, "actual"))
     return full.withColumn("percent", percent(F.col("n"), total))
@@ -131,18 +131,52 @@ def roc_cumulative(scores: DataFrame, by: Sequence[str] = (), rows_per_bucket: i
 
     The scores are written down first: ranges and sums need several passes, and the predictions are scored only once.
     """
+    return _cumulated(scores, by, rows_per_bucket).drop("bucket")
+
+
+def _cumulated(scores: DataFrame, by: Sequence[str], rows_per_bucket: int | None) -> DataFrame:
     ensure_checkpoint_dir(scores.sparkSession)
     ranged = with_range_bucket(scores.checkpoint(), "score", rows_per_bucket=rows_per_bucket)
     group = [*by, "class"]
-    return running_sums(ranged, group, "bucket", F.col("score").desc(), {"tp": "pos", "fp": "neg"}, descending=True).drop("bucket")
+    return running_sums(ranged, group, "bucket", F.col("score").desc(), {"tp": "pos", "fp": "neg"}, descending=True)
+
 
+def with_next_step(cumulated: DataFrame, group: Sequence[str]) -> DataFrame:
+    """``step``: positives and negatives at the next lower score, null at the lowest.
 
-def roc_points(scores: DataFrame, by: Sequence[str] = (), rows_per_bucket: int | None = None) -> DataFrame:
-    """Rates at each distinct score; the corner (0, 0) belongs to no score."""
+    Inside a range the next row has it; a range's last row takes it from the highest score of the next range that has
+    rows. Only one row per range is ever sorted over ranges.
+    """
+    inner = Window.partitionBy(*group, "bucket").orderBy(F.col("score").desc_nulls_last())
+    step = F.struct("pos", "neg")
+    tops = cumulated.groupBy(*group, "bucket").agg(F.max_by(step, F.coalesce("score", F.lit(float("-inf")))).alias("top"))
+    after = Window.partitionBy(*group).orderBy(F.col("bucket").desc())
+    following = tops.select(*[F.col(c).alias(f"__g_{c}") for c in [*group, "bucket"]], F.lead("top").over(after).alias("__after"))
+    same = F.lit(True)
+    for c in [*group, "bucket"]:
+        same = same & F.col(c).eqNullSafe(F.col(f"__g_{c}"))
+    joined = cumulated.withColumn("__inside", F.lead(step).over(inner)).join(following, same)
+    return joined.withColumn("step", F.coalesce("__inside", "__after")).drop("__inside", "__after", *[f"__g_{c}" for c in [*group, "bucket"]])
+
+
+def roc_points(scores: DataFrame, by: Sequence[str] = (), rows_per_bucket: int | None = None, thinned: bool = True) -> DataFrame:
+    """Rates at distinct scores; the corner (0, 0) belongs to no score.
+
+    Unless told otherwise, scores between two others on one straight line are left out: those whose positives and
+    negatives stand in the same ratio as at the next lower score. The highest and the lowest score always stay.
+    """
     group = [*by, "class"]
-    cumulated = roc_cumulative(scores, by, rows_per_bucket)
+    cumulated = _cumulated(scores, by, rows_per_bucket)
     sums = cumulated.groupBy(*group).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    points = cumulated.join(F.broadcast(sums), group)
+    if thinned:
+        wide = lambda c: F.col(c).cast("decimal(19,0)")
+        turns = wide("pos") * wide("step.neg") != wide("neg") * wide("step.pos")
+        first = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
+        cumulated = with_next_step(cumulated, group).where(F.col("step").isNull() | first | turns)
+    same = F.lit(True)
+    for c in group:
+        same = same & F.col(c).eqNullSafe(F.col(f"__s_{c}"))
+    points = cumulated.join(F.broadcast(sums.withColumnsRenamed({c: f"__s_{c}" for c in group})), same)
     rated = points.select(
         *group, "score", F.try_divide(F.col("fp").cast("double"), F.col("N")).alias("fpr"),
         F.try_divide(F.col("tp").cast("double"), F.col("P")).alias("tpr"),

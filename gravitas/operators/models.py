@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Estimator, PipelineModel
@@ -176,18 +177,57 @@ def train_and_evaluate(train: Prepared, test: DataFrame, estimators: Mapping[str
     return results, trained, predictions
 
 
-def cross_validate(df: DataFrame, target: str, row_id: str, features: Sequence[str], estimators, folds: int = 5) -> DataFrame:
-    """One fit per model and fold; all metrics of a fold come from its confusion matrix."""
-    with_fold = stratified_folds(df, target, row_id, folds)
-    ready = prepare(with_fold, target, features)
-    out = None
+#: From the rows that are fitted on to the models: their penalty depends on it.
+ModelMaker = Callable[[int], Mapping[str, Estimator]]
+
+
+def fold_parts(ready: Prepared, frame: DataFrame, folds: int) -> list[tuple[Prepared, DataFrame]]:
+    """For each fold the rows to fit on, with balanced weights of these rows alone, and those held back.
+
+    One count per fold and class gives all weights; a class that only the held rows have weighs nothing.
+    """
+    counts: dict[int, dict[float, int]] = {}
+    for r in frame.groupBy("fold", LABEL).agg(F.count("*").alias("n")).collect():
+        counts.setdefault(r["fold"], {})[r[LABEL]] = r["n"]
+    out = []
     for i in range(folds):
-        part = Prepared(ready.frame.where(F.col("fold") != i), ready.features, ready.indexer, ready.n_rows)
-        held = ready.frame.where(F.col("fold") == i)
-        scored = predict_all(fit_all(part, estimators), held).withColumn("fold", F.lit(i))
-        out = scored if out is None else out.unionByName(scored)
-    per_fold = metrics.metric(out, "actual", "predicted", ["Accuracy", "Precision", "Recall", "F1_Score"], ["Model", "fold"])
-    return cv_summary(per_fold)
+        sizes: dict[float, int] = {}
+        for fold, per in counts.items():
+            for label, n in per.items():
+                sizes[label] = sizes.get(label, 0) + n * (fold != i)
+        rows, present = sum(sizes.values()), sum(n > 0 for n in sizes.values())
+        weight = F.element_at(F.create_map(*[F.lit(x) for label, n in sizes.items() for x in (float(label), rows / (present * n) if n else 0.0)]), F.col(LABEL))
+        fitted_on = frame.where(F.col("fold") != i).withColumn(WEIGHT, weight)
+        out.append((Prepared(fitted_on, ready.features, ready.indexer, rows), frame.where(F.col("fold") == i)))
+    return out
+
+
+def fold_scores(df: DataFrame, target: str, row_id: str, features: Sequence[str], make: ModelMaker, folds: int = 5, parallel: int = 2) -> DataFrame:
+    """``Model, fold`` and the metrics of each; ``make`` gives the models for a number of rows.
+
+    Weights and penalty follow from the rows a fold is fitted on. The assembled rows are kept while all models and folds
+    are fitted, ``parallel`` fits at a time. Metrics come from one confusion matrix per model and fold.
+    """
+    ready = prepare(stratified_folds(df, target, row_id, folds), target, features)
+    with cached(ready.frame) as frame:
+        jobs = [(i, name, est, part, held) for i, (part, held) in enumerate(fold_parts(ready, frame, folds)) for name, est in make(part.n_rows).items()]
+
+        def counted(job) -> list[tuple]:
+            i, name, est, part, held = job
+            trained = Trained({name: est.fit(part.frame)})
+            rows = metrics.outcome_counts(predict_all(trained, held), "actual", "predicted").collect()
+            return [(name, i, r["actual"], r["predicted"], r["n"]) for r in rows]
+
+        with ThreadPoolExecutor(parallel) as pool:
+            rows = [row for each in pool.map(counted, jobs) for row in each]
+    by = ["Model", "fold"]
+    counts = df.sparkSession.createDataFrame(rows, "Model string, fold int, actual int, predicted int, n bigint")
+    return metrics.summary(counts, by).select(*by, "Accuracy", "Precision", "Recall", "F1_Score")
+
+
+def cross_validate(df: DataFrame, target: str, row_id: str, features: Sequence[str], make: ModelMaker, folds: int = 5, parallel: int = 2) -> DataFrame:
+    """Mean and deviation of the metrics of all models over the folds, see ``fold_scores``."""
+    return cv_summary(fold_scores(df, target, row_id, features, make, folds, parallel))
 
 
 def cv_summary(per_fold: DataFrame) -> DataFrame:

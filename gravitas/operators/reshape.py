@@ -73,3 +73,21 @@ def share_of_group(df: DataFrame, count: str, by: Sequence[str], name: str = "sh
     """Each count as a share of its group's total."""
     total = F.sum(count).over(Window.partitionBy(*by))
     return df.withColumn(name, F.try_divide(F.col(count).cast("double"), total))
+
+
+#: Values of one list that stand in one array while pairs are made.
+PAIR_BLOCK = 1000
+
+
+def all_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Every row of ``left`` with every value of ``right``, a table of one column of distinct values.
+
+    The values are dealt out to blocks of about ``PAIR_BLOCK``, and every row meets every block by its number; no list of
+    values grows with the table. A null value is a value like any other.
+    """
+    (value,) = right.columns
+    blocks = right.agg(F.greatest(F.ceil(F.count("*") / F.lit(PAIR_BLOCK)), F.lit(1)).cast("int")).scalar()
+    held = right.withColumn("__block", F.pmod(F.xxhash64(value), blocks).cast("int"))
+    arrays = held.groupBy("__block").agg(F.collect_list(F.struct(value)).alias("__values"))
+    rows = left.withColumn("__block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return rows.join(arrays, "__block").select(*left.columns, F.inline("__values"))

@@ -14,12 +14,15 @@ from pyspark.sql import functions as F
 
 from gravitas import preset
 from gravitas.functions.hashing import order_key
+from gravitas.operators.encode import join_spread
+from gravitas.session import ensure_checkpoint_dir
 
 FIRST_STEP = 2
 STEP = 3
 LEAF_ROWS = 100_000
 # Digits of an order key; rows that agree on all of them have the same id.
 KEY_DIGITS = 32
+# Classes that ``class_counts`` brings to the driver; splits and folds have no such bound.
 MAX_CLASSES = 1_000
 
 
@@ -30,124 +33,105 @@ def class_counts(df: DataFrame, target: str) -> dict:
     return {r[target]: r["n"] for r in rows}
 
 
-def prefix_counts(df: DataFrame, target: str, row_id: str, seed: int) -> dict[object, list[tuple[str, int]]]:
-    """Rows per class and first digits of the order key; at most 256 entries per class, so they fit the driver."""
+def prefix_counts(df: DataFrame, target: str, row_id: str, seed: int) -> DataFrame:
+    """``c, q, n``: rows per class and first digits of the order key, at most 256 rows per class; written down."""
     if not df.where(F.col(row_id).isNull()).isEmpty():
         raise ValueError(f"{row_id!r} has rows without an id; add ids first, as with_row_id does")
+    ensure_checkpoint_dir(df.sparkSession)
     keyed = df.where(F.col(target).isNotNull()).select(
         F.col(target).alias("c"), F.substring(order_key(F.col(row_id), seed), 1, FIRST_STEP).alias("q")
     )
-    counted = keyed.groupBy("c", "q").agg(F.count("*").alias("n"))
-    rows = counted.limit(MAX_CLASSES * 16**FIRST_STEP + 1).collect()
-    out: dict = {}
-    for r in rows:
-        out.setdefault(r["c"], []).append((r["q"], r["n"]))
-    if len(out) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes in {target!r}")
-    return {c: sorted(qs) for c, qs in out.items()}
+    return keyed.groupBy("c", "q").agg(F.count("*").alias("n")).checkpoint()
 
 
-def _locate(rank: int, before: int, counted: Sequence[tuple[str, int]]) -> tuple[str, int, int]:
-    """Prefix that holds a rank, the rows before it and in it."""
-    for q, n in counted:
-        if rank <= before + n:
-            return q, before, n
-        before += n
-    raise ValueError("rank beyond the class")
+def _located(cuts: DataFrame, counted: DataFrame) -> DataFrame:
+    """``c, rank, p, before, n``: the longer prefix that holds each rank. ``cuts`` has ``c, rank, p, before``, and
+    ``counted`` the rows per class, prefix ``p`` and longer prefix ``q``."""
+    upto = Window.partitionBy("c", "p").orderBy("q")
+    ends = counted.withColumn("upto", F.sum("n").over(upto))
+    low = F.col("before") + F.col("upto") - F.col("n")
+    hit = (F.col("rank") > low) & (F.col("rank") <= low + F.col("n"))
+    return cuts.join(ends, ["c", "p"]).where(hit).select("c", "rank", F.col("q").alias("p"), low.alias("before"), "n")
 
 
-def cut_keys(
-    df: DataFrame, target: str, row_id: str, cuts: dict, seed: int = preset.SEED, leaf_rows: int | None = None,
-    first: dict | None = None,
-) -> dict:
-    """For each class the keys at the given ranks: ``{class: {rank: key}}``; rank 1 is the first row in the order."""
-    leaf = LEAF_ROWS if leaf_rows is None else leaf_rows
-    keyed = df.select(F.col(target).alias("c"), order_key(F.col(row_id), seed).alias("k"))
-    found: dict = {c: {} for c in cuts}
-    if not any(rank > 0 for ranks in cuts.values() for rank in ranks):
-        return found
-    counted = first if first is not None else prefix_counts(df, target, row_id, seed)
-    # Open searches as (class, rank): (prefix, rows of the class before the prefix, rows in it)
-    open_ = {(c, rank): _locate(rank, 0, counted[c]) for c, ranks in cuts.items() for rank in ranks if rank > 0}
-    while open_:
-        deep = {s: p for s, p in open_.items() if p[2] > leaf}
-        if deep:
-            open_ |= _descend(keyed, deep)
-            continue
-        by_size: dict[int, set] = {}
-        for (c, _), (p, _, _) in open_.items():
-            by_size.setdefault(len(p), set()).add((c, p))
-        rows = None
-        for prefixes in by_size.values():
-            part = _inside(keyed, sorted(prefixes, key=repr))
-            rows = part if rows is None else rows.unionByName(part)
-        rows = rows.withColumn("at", F.row_number().over(Window.partitionBy("c", "p").orderBy("k")))
-        wanted = {(c, p, rank - before): (c, rank) for (c, rank), (p, before, _) in open_.items()}
-        spots = df.sparkSession.createDataFrame(
-            [(c, p, at) for c, p, at in wanted], f"c {keyed.schema['c'].dataType.simpleString()}, p string, at int"
-        )
-        for r in rows.join(F.broadcast(spots), ["c", "p", "at"]).collect():
-            c, rank = wanted[(r["c"], r["p"], r["at"])]
-            found[c][rank] = r["k"]
-        break
-    return found
-
+def _inside(keyed: DataFrame, prefixes: DataFrame, size: int) -> DataFrame:
+    """Rows under one of the prefixes ``c, p`` of ``size`` digits, with the prefix as ``p``."""
+    return keyed.withColumn("p", F.substring("k", 1, size)).join(prefixes.select("c", "p").distinct(), ["c", "p"], "left_semi")
 
-def _inside(keyed: DataFrame, prefixes: Sequence[tuple]) -> DataFrame:
-    """Rows under one of the prefixes, with the prefix as ``p``; the list has one entry per open cut."""
-    size = len(prefixes[0][1])
-    side = keyed.sparkSession.createDataFrame(prefixes, f"c {keyed.schema['c'].dataType.simpleString()}, p string")
-    return keyed.withColumn("p", F.substring("k", 1, size)).join(F.broadcast(side), ["c", "p"], "left_semi")
 
+def cut_table(
+    df: DataFrame, target: str, row_id: str, cuts: DataFrame, seed: int = preset.SEED, leaf_rows: int | None = None,
+    first: DataFrame | None = None,
+) -> DataFrame:
+    """``c, rank, key``: the order key at each of the ranks ``c, rank``; rank 1 is the first row of a class.
 
-def _descend(keyed: DataFrame, deep: dict) -> dict:
-    size = len(next(iter(deep.values()))[0])
-    if size >= KEY_DIGITS:
-        raise ValueError("an id is repeated so often that its rows cannot be told apart; ids must be unique")
-    prefixes = sorted({(c, p) for (c, _), (p, _, _) in deep.items()}, key=repr)
-    longer = _inside(keyed, prefixes).withColumn("q", F.substring("k", 1, size + STEP))
-    counts: dict = {}
-    for r in longer.groupBy("c", "p", "q").agg(F.count("*").alias("n")).orderBy("q").collect():
-        counts.setdefault((r["c"], r["p"]), []).append((r["q"], r["n"]))
-    return {(c, rank): _locate(rank, before, counts[(c, p)]) for (c, rank), (p, before, _) in deep.items()}
+    Ranks, prefixes and keys are tables joined by class, so there may be any number of classes. A rank is followed down
+    prefixes until few rows share its prefix; these are put in order.
+    """
+    leaf = LEAF_ROWS if leaf_rows is None else leaf_rows
+    keyed = df.where(F.col(target).isNotNull()).select(F.col(target).alias("c"), order_key(F.col(row_id), seed).alias("k"))
+    counted = first if first is not None else prefix_counts(df, target, row_id, seed)
+    wanted = cuts.where("rank > 0").select("c", "rank").distinct()
+    start = wanted.select("c", F.col("rank").cast("bigint").alias("rank"), F.lit("").alias("p"), F.lit(0).cast("bigint").alias("before"))
+    open_ = _located(start, counted.withColumn("p", F.lit(""))).checkpoint()
+    size, settled = FIRST_STEP, None
+    while True:
+        ready = open_.where(F.col("n") <= leaf)
+        rows = _inside(keyed, ready, size).withColumn("at", F.row_number().over(Window.partitionBy("c", "p").orderBy("k")))
+        spots = ready.select("c", "p", "rank", (F.col("rank") - F.col("before")).cast("int").alias("at"))
+        found = rows.join(spots, ["c", "p", "at"]).select("c", "rank", F.col("k").alias("key"))
+        settled = found if settled is None else settled.unionByName(found)
+        deep = open_.where(F.col("n") > leaf)
+        if deep.isEmpty():
+            return settled
+        if size >= KEY_DIGITS:
+            raise ValueError("an id is repeated so often that its rows cannot be told apart; ids must be unique")
+        longer = min(size + STEP, KEY_DIGITS)
+        inside = _inside(keyed, deep, size).withColumn("q", F.substring("k", 1, longer))
+        open_ = _located(deep.drop("n"), inside.groupBy("c", "p", "q").agg(F.count("*").alias("n"))).checkpoint()
+        size = longer
+
+
+def cut_keys(df: DataFrame, target: str, row_id: str, cuts: dict, seed: int = preset.SEED, leaf_rows: int | None = None) -> dict:
+    """For a few classes the keys at the given ranks: ``{class: {rank: key}}``."""
+    found: dict = {c: {} for c in cuts}
+    rows = [(c, rank) for c, ranks in cuts.items() for rank in ranks if rank > 0]
+    if rows:
+        table = df.sparkSession.createDataFrame(rows, f"c {df.schema[target].dataType.simpleString()}, rank bigint")
+        for r in cut_table(df, target, row_id, table, seed, leaf_rows).collect():
+            found[r["c"]][r["rank"]] = r["key"]
+    return found
 
 
 def assign_by_rank(
-    df: DataFrame, target: str, row_id: str, parts: Callable[[int], Sequence[tuple[object, int]]], name: str,
+    df: DataFrame, target: str, row_id: str, parts: Callable[[Column], Sequence[tuple[object, Column]]], name: str,
     seed: int = preset.SEED, leaf_rows: int | None = None,
 ) -> DataFrame:
-    """Label rows by the stretch of their class's shuffled order they fall in.
+    """Label rows by the stretch of their class's shuffled order they fall in; rows without a class have no label.
 
     ``parts`` gives, for a class size, the labels with the rank each one ends at, in order; row ids must be unique.
     """
     first = prefix_counts(df, target, row_id, seed)
-    plan = {c: list(parts(sum(n for _, n in counted))) for c, counted in first.items()}
-    cuts = {c: [end for (_, end) in ends[:-1]] for c, ends in plan.items()}
-    keys = cut_keys(df, target, row_id, cuts, seed, leaf_rows, first)
-    kind = df.schema[target].dataType.simpleString()
-    label_kind = "int" if all(isinstance(lab, int) for ends in plan.values() for lab, _ in ends) else "string"
-    rows = []
-    for c, ends in plan.items():
-        stretches, low = [], ""
-        for i, (label, end) in enumerate(ends):
-            high = "g" if i == len(ends) - 1 else ("" if end == 0 else keys[c][end])
-            if high > low:
-                stretches.append((high, label))
-                low = high
-        rows.append((c, stretches))
-    stretches = df.sparkSession.createDataFrame(
-        rows, f"__c {kind}, __s array<struct<__high: string, __label: {label_kind}>>"
-    )
-    key: Column = order_key(F.col(row_id), seed)
+    ends = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(label).alias("label"), end.cast("bigint").alias("rank")) for i, (label, end) in enumerate(parts(F.col("size")))])
+    plan = first.groupBy("c").agg(F.sum("n").alias("size")).select("c", "size", F.inline(ends))
+    inner = plan.where(F.col("rank") < F.col("size"))
+    keys = cut_table(df, target, row_id, inner, seed, leaf_rows, first)
+    # A stretch that ends at rank 0 is empty; the last one ends after every key.
+    high = F.when(F.col("rank") == F.col("size"), "g").otherwise(F.coalesce("key", F.lit("")))
+    whole = plan.join(keys, ["c", "rank"], "left").where("rank > 0").withColumn("high", high)
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("i", "high", "label"))), lambda x: F.struct(x["high"].alias("__high"), x["label"].alias("__label")))
+    stretches = whole.groupBy(F.col("c").alias("__c")).agg(listed.alias("__s")).checkpoint()
     # Stretches of a class are sorted by upper end; the first one whose end is not before the key holds the row.
-    out = df.withColumn("__k", key).join(F.broadcast(stretches), F.col(target) == F.col("__c"), "left")
+    keyed = df.withColumn("__k", order_key(F.col(row_id), seed))
+    bytes_each = F.octet_length(F.col("__c").cast("string")) + F.size("__s") * 64
+    out = join_spread(keyed, stretches, target, "__c", size=bytes_each)
     hit = F.element_at(F.filter("__s", lambda s: F.col("__k") <= s["__high"]), 1)["__label"]
     return out.withColumn(name, F.when(F.col("__s").isNotNull(), hit)).drop("__k", "__c", "__s")
 
 
-def quota(n: int, share: float) -> int:
+def quota(n: Column, share: float) -> Column:
     """Rows of a class of n that a share amounts to, halves away from zero."""
-    return int(n * share + 0.5)
+    return F.floor(n * F.lit(share) + F.lit(0.5))
 
 
 def split_stratified(
@@ -156,10 +140,9 @@ def split_stratified(
 ) -> DataFrame:
     """Add ``split``: test, then validation as a share of the rest, then train; the same shares in every class."""
 
-    def parts(n: int):
+    def parts(n: Column):
         test = quota(n, test_size)
-        val = quota(n - test, validation_size)
-        return [("test", test), ("validation", test + val), ("train", n)]
+        return [("test", test), ("validation", test + quota(n - test, validation_size)), ("train", n)]
 
     return assign_by_rank(df, target, row_id, parts, "split", seed, leaf_rows)
 
@@ -168,7 +151,7 @@ def stratified_folds(
     df: DataFrame, target: str, row_id: str, k: int = 5, seed: int = preset.SEED, leaf_rows: int | None = None
 ) -> DataFrame:
     """Add ``fold`` 0..k-1 with sizes that differ by at most one inside a class."""
-    return assign_by_rank(df, target, row_id, lambda n: [(i, n * (i + 1) // k) for i in range(k)], "fold", seed, leaf_rows)
+    return assign_by_rank(df, target, row_id, lambda n: [(i, F.call_function("div", n * (i + 1), F.lit(k))) for i in range(k)], "fold", seed, leaf_rows)
 
 
 def split_class_distribution(df: DataFrame, target: str) -> DataFrame:

@@ -145,7 +145,10 @@ def _(spark, sf):
 @query(
     "roc_points",
     on_predictions(
-        f"select model, class, {r('score', 9)} as score, {r('fp / nn::double', 9)} as fpr, {r('tp / np::double', 9)} as tpr from roc "
+        f"select model, class, {r('score', 9)} as score, {r('fp / nn::double', 9)} as fpr, {r('tp / np::double', 9)} as tpr from "
+        "(select *, lead(pos) over w as next_pos, lead(neg) over w as next_neg, lag(pos) over w as last_pos from roc "
+        "window w as (partition by model, class order by score desc)) "
+        "where next_pos is null or last_pos is null or pos * next_neg <> neg * next_pos "
         "union all select distinct model, class, null::double, 0.0::double, 0.0::double from scores", SCORES, ROC,
     ),
 )

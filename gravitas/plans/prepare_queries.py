@@ -603,18 +603,30 @@ def knn_points(spark, sf):
     return acc.select("event_id", T, *[F.col(c).cast("double").alias(c) for c in KNN_FEATURES])
 
 
-@query(
-    "knn_self_join",
-    f"select id, place, neighbour_id, {r('d')} as distance from (select x.vec_id as id, y.vec_id as neighbour_id, "
+NEAREST = (
+    "select id, place, neighbour_id, {d} as distance from (select x.vec_id as id, y.vec_id as neighbour_id, "
     "list_distance(x.embedding::double[], y.embedding::double[]) as d, row_number() over (partition by x.vec_id "
-    "order by d, y.vec_id)::int as place from embeddings x join embeddings y on x.label = y.label and x.vec_id <> y.vec_id) where place <= 5",
-)
-def _(spark, sf):
+    "order by d, y.vec_id)::int as place from embeddings x join embeddings y on x.label = y.label and x.vec_id <> y.vec_id) where place <= 5"
+).format(d=r("d"))
+
+
+def near_embeddings(spark, sf, cell_rows=None):
     emb = scan_table(spark, f"{sf}/embeddings.parquet")
     points = emb.select(
         F.col("vec_id").alias("id"), F.col("label").cast("string").alias("g"), F.col("embedding").cast("array<double>").alias("vec")
     )
-    return rounded(knn.neighbour_pairs(knn.nearest_neighbours(points, preset.NEIGHBOURS)).drop("g"))
+    return rounded(knn.neighbour_pairs(knn.nearest_neighbours(points, preset.NEIGHBOURS, cell_rows=cell_rows)).drop("g"))
+
+
+@query("knn_self_join", NEAREST)
+def _(spark, sf):
+    return near_embeddings(spark, sf)
+
+
+@query("knn_self_join_small_cells", NEAREST)
+def _(spark, sf):
+    """Cells of 50 vectors: the tree of cells has several levels here already."""
+    return near_embeddings(spark, sf, 50)
 
 
 # Same-class neighbours of every row of a smaller class; equally near ones by id.

@@ -18,10 +18,12 @@ class Training:
         self.train_rows, self.test_rows, self.validation_rows = train, test, validation
         self.ready = models.prepare(train, target, features)
         self.estimators: dict = {}
+        self.profile = models.JOB
         self.tuned: dict[str, PipelineModel] = {}
         self.results = self.trained = self.predictions = self.cv = None
 
     def define_models(self, profile: models.Profile = models.JOB, names: list[str] | None = None) -> dict:
+        self.profile = profile
         every = models.define_models(self.ready.n_rows, profile)
         self.estimators = {n: e for n, e in every.items() if names is None or n in names}
         return self.estimators
@@ -30,7 +32,12 @@ class Training:
         return models.assembler(self.features).transform(self.ready.indexer.transform(rows))
 
     def perform_cross_validation(self, row_id: str, folds: int = 5) -> DataFrame:
-        self.cv = models.cross_validate(self.train_rows, self.target, row_id, self.features, self.estimators, folds)
+        """Weights and penalties follow from the rows that each fold is fitted on."""
+
+        def make(n_rows: int) -> dict:
+            return {n: e for n, e in models.define_models(n_rows, self.profile).items() if n in self.estimators}
+
+        self.cv = models.cross_validate(self.train_rows, self.target, row_id, self.features, make, folds)
         return self.cv
 
     def train_and_evaluate(self) -> DataFrame:
