@@ -25,8 +25,9 @@ from gravitas.llm.text import binary_array, join_spans, list_array, pieces
 
 END = "\x00"
 WORDS_KEPT = 200_000
+#: Longer words, such as addresses or encoded data, are encoded every time.
+LONGEST_KEPT = 64
 PAIRS_KEPT = 300_000
-_ready: dict[int, WordBpe] = {}
 
 
 def byte_letters() -> list[str]:
@@ -138,9 +139,10 @@ class WordBpe:
         """Token ids of one word as little-endian 32-bit numbers, kept for the next time."""
         letters = word if word.isascii() and word.isalnum() else "".join(self.byte_letters[b] for b in word.encode())
         ids = np.array(self.encode_letters(letters + END), "<u4").tobytes()
-        if len(self.known) >= WORDS_KEPT:
-            self.known.clear()
-        self.known[word] = ids
+        if len(word) <= LONGEST_KEPT:
+            if len(self.known) >= WORDS_KEPT:
+                self.known.clear()
+            self.known[word] = ids
         return ids
 
     def encode(self, text: str | None) -> np.ndarray:
@@ -170,16 +172,15 @@ def encode_documents(docs: DataFrame, text_col: str = "text", path: str | None =
     ``path`` names the vocabulary on the driver; its content travels to the tasks as a broadcast whose size is that of
     the file. Null and empty texts give an empty array and an empty string; each row stands for itself, so repeated
     rows and ids give equal results. Other columns stay, except any of the names ``ids`` and ``decoded``. Columns of
-    the same name must be told apart by the caller first. A task keeps at most ``WORDS_KEPT`` words it has met; what
-    it keeps changes speed alone.
+    the same name must be told apart by the caller first. A task keeps at most ``WORDS_KEPT`` short
+    words it has met; what it keeps changes speed alone and ends with the task, as its process lives on for other work.
     """
     spec = docs.sparkSession.sparkContext.broadcast(load(path or public_tokenizers.path("word_bpe_49k.json")))
     kept = docs.drop("ids", "decoded")
     schema = kept.withColumn("ids", F.array(F.lit(0))).withColumn("decoded", F.lit("")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash(spec.value)
-        bpe = _ready.get(key) or _ready.setdefault(key, WordBpe(spec.value))
+        bpe = WordBpe(spec.value)
         for batch in batches:
             for part in pieces(batch, text_col):
                 each = [bpe.encode(t) for t in part.column(text_col).to_pylist()]
@@ -190,8 +191,5 @@ def encode_documents(docs: DataFrame, text_col: str = "text", path: str | None =
                 to, start = offsets[last], offsets[last - sizes]
                 decoded = binary_array(*join_spans(data, start, np.maximum(start, to - 1)), pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, list_array(pa.array(ids, pa.int32()), sizes), decoded], names=schema.names)
-        # The process lives on for other work; only the vocabulary stays.
-        bpe.known.clear()
-        bpe.fits.clear()
 
     return kept.mapInArrow(run, schema)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from gravitas.session import fresh_path
 
-PIECE_BYTES = (1 << 20) - 1
+PIECE_BYTES = (1 << 19) - 1
 
 #: ASCII white space: space and \x09-\x0D.
 IS_SPACE = np.zeros(256, bool)
@@ -86,7 +86,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _power_tables(n: int) -> list[np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        size = 1 << max(20, int(n - 1).bit_length())
+        size = 1 << max(19, int(n - 1).bit_length())
         _powers[:] = []
         for base in (_BASE, _BASE_INVERSE):
             table = np.full(size, base, np.uint64)
