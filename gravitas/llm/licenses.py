@@ -13,9 +13,11 @@ from gravitas.llm.text import unique_documents
 #: Known sentences and rules up to this size are sent to every task; beyond it both sides are shuffled.
 BROADCAST_BYTES = 16 << 20
 
-SENTENCE_END = r"[.!?;:]+\s+|\s*\n\s*"
+#: Patterns begin at an end mark or a line break, so that long runs of blanks or marks are passed over once; blanks and
+#: marks that stay with a sentence vanish when it is normalised.
+SENTENCE_END = r"[.!?;:]\s+|\n\s*"
 #: What also ends a sentence wrapped over several lines: an end mark, an empty line or the mark of a list item.
-WRAPPED_END = r"[.!?;:]+\s+|\s*\n\s*\n\s*|\s*\n\s*(?=[-\u2022]\s|\(?[0-9]{1,2}[.)]\s)"
+WRAPPED_END = r"[.!?;:]\s+|\n[^\S\n]*\n\s*|\n[^\S\n]*(?=[-\u2022]\s|\(?[0-9]{1,2}[.)]\s)"
 
 #: Rules: a name, the licence, and its sentences in order. The wording is that of the public licence notices.
 RULES: dict[str, tuple[str, list[str]]] = {

@@ -224,9 +224,9 @@ WARC_DATE = "2024-01-01T00:00:00Z"
 
 _UUID = "'<urn:uuid:' || {0}[1:8] || '-' || {0}[9:12] || '-' || {0}[13:16] || '-' || {0}[17:20] || '-' || {0}[21:32] || '>'"
 _TEXT = "html"
-for _pattern in warc.HIDDEN:
+for _pattern in (r"(?s)<!--.*?-->", *(rf"(?is)<{_n}\b.*?</{_n}\s*>" for _n in ("script", "style", "head", "nav"))):
     _TEXT = f"regexp_replace({_TEXT}, '{_pattern}', ' ', 'g')"
-_TEXT = f"regexp_replace(translate({_TEXT}, chr(13) || chr(10) || chr(9), '   '), '{warc.BREAK}', chr(10), 'g')"
+_TEXT = rf"regexp_replace(translate({_TEXT}, chr(13) || chr(10) || chr(9), '   '), '(?i)<(br|/p|/div|/li|/h[1-6]|/tr|/ul|/table|/article|/section)\b[^>]*>', chr(10), 'g')"
 _TEXT = f"regexp_replace({_TEXT}, '(?s)<[^>]*>', ' ', 'g')"
 for _name, _plain in warc.ENTITIES:
     _TEXT = f"replace({_TEXT}, '{_name}', {_plain!r})" if _plain != "'" else f"replace({_TEXT}, '{_name}', chr(39))"

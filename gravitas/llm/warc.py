@@ -15,9 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CRLF = "\r\n"
-#: Elements whose content is not text, then what ends a line, then all other tags.
-HIDDEN = [r"(?is)<!--.*?-->", r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>", r"(?is)<head\b.*?</head\s*>", r"(?is)<nav\b.*?</nav\s*>"]
-BREAK = r"(?i)<(br|/p|/div|/li|/h[1-6]|/tr|/ul|/table|/article|/section)\b[^>]*>"
+#: Elements whose content is not text, with what ends them, and tags that end a line; a name may begin with a slash.
+HIDDEN = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in ("script", "style", "head", "nav")}
+LINE_ENDS = {"br", "/p", "/div", "/li", *(f"/h{i}" for i in range(1, 7)), "/tr", "/ul", "/table", "/article", "/section"}
+NAME = re.compile(r"/?[A-Za-z0-9_]+")
+BLANKS = str.maketrans("\r\n\t", "   ")
 #: Anything that may be a character reference, as the HTML standard cuts it.
 REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)")
 #: References to white space become a plain space.
@@ -68,24 +70,54 @@ def _character(found: re.Match) -> str:
     return " " + plain[1:] if plain[:1] in SPACES else plain
 
 
-def decoded(text: Column) -> Column:
-    """Named, decimal and hexadecimal character references as characters, each decoded once."""
-
-    @F.arrow_udf("string")
-    def run(column: pa.Array) -> pa.Array:
-        return pa.array([REFERENCE.sub(_character, x) if x and "&" in x else x for x in column.to_pylist()], pa.string())
-
-    return run(text)
+def visible(html: str) -> str:
+    """Text between tags, in one pass from left to right. What is opened and never closed ends with the text; a ``<``
+    after the last ``>`` is a character."""
+    out, at = [], 0
+    while (opened := html.find("<", at)) >= 0:
+        out.append(html[at:opened].translate(BLANKS))
+        if html.startswith("<!--", opened):
+            closed = html.find("-->", opened + 4)
+            out.append(" ")
+            if closed < 0:
+                return "".join(out)
+            at = closed + 3
+            continue
+        closed = html.find(">", opened)
+        if closed < 0:
+            at = opened
+            break
+        named = NAME.match(html, opened + 1)
+        name = named[0].lower() if named else ""
+        if name in HIDDEN:
+            out.append(" ")
+            if (end := HIDDEN[name].search(html, opened)) is None:
+                return "".join(out)
+            at = end.end()
+        else:
+            out.append("\n" if name in LINE_ENDS else " ")
+            at = closed + 1
+    out.append(html[at:].translate(BLANKS))
+    return "".join(out)
+
+
+def readable(html: str) -> str:
+    """Visible text with references decoded once; blank lines and repeated spaces go."""
+    text = visible(html)
+    if "&" in text:
+        text = REFERENCE.sub(_character, text)
+    lines = (" ".join(filter(None, line.split(" "))) for line in text.split("\n"))
+    return "\n".join(filter(None, lines))
 
 
 def plain_text(html: Column) -> Column:
     """Visible text: one line per block, words parted by one space, no empty lines, references decoded."""
-    for pattern in HIDDEN:
-        html = F.regexp_replace(html, pattern, " ")
-    text = F.regexp_replace(F.translate(html, "\r\n\t", "   "), BREAK, "\n")
-    text = F.regexp_replace(text, r"(?s)<[^>]*>", " ")
-    text = F.regexp_replace(decoded(text), " +", " ")
-    return F.regexp_replace(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
+
+    @F.arrow_udf("string")
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([readable(x) if x else x for x in column.to_pylist()], pa.string())
+
+    return run(html)
 
 
 def derivatives(records: DataFrame) -> DataFrame:

@@ -269,3 +269,23 @@ def test_kept_texts_are_whole_characters(spark):
     for r in out.collect():
         assert "�" not in r["kept"]
     assert queries.digest("kept") is not None
+
+
+def test_long_runs_of_blanks_and_open_markup(spark):
+    """Cutting and reading take time in proportion to the text, and what is never closed ends with it."""
+    import time
+
+    n = 1_000_000
+    start = time.time()
+    assert warc.readable("a" + "<" * n) == "a" + "<" * n
+    assert warc.readable("<p>a</p>" + "<!--" * n) == "a"
+    assert warc.readable("x <script> y" * 100_000) == "x"
+    assert warc.readable("a < b > c<br/>d<nav>e</nav >f &eacute; <SCRIPT>g</Script> h") == "a c\nd f \u00e9 h"
+    assert time.time() - start < 2
+    texts = ["Released under the MIT License" + " " * n + ".", "a" + " " * n + "b", "." * n + " x", "\n" * n + "Released under the MIT License", " \n" * (n // 2), "a\n" + " " * n + "b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    licenses.scan_licenses(df.limit(1)).collect()
+    start = time.time()
+    found = {r["doc_id"]: ([m["license"] for m in r["matches"]], r["n_sentences"]) for r in licenses.scan_licenses(df).collect()}
+    assert time.time() - start < 20
+    assert found == {0: (["MIT"], 1), 1: ([], 1), 2: ([], 1), 3: (["MIT"], 1), 4: ([], 0), 5: ([], 2)}
