@@ -6,9 +6,11 @@ batch holds. One document is never cut.
 
 from __future__ import annotations
 
+import ctypes
 import threading
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +44,27 @@ def unique_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return plain if repeated.isEmpty() else plain.groupBy("doc_id").agg(F.min("text").alias("text"))
 
 
+@cache
+def _allocator() -> ctypes.CDLL | None:
+    """The C library, where it can hand freed memory back."""
+    library = ctypes.CDLL(None)
+    return library if hasattr(library, "malloc_trim") else None
+
+
+def release() -> None:
+    """Hand memory that is free back to the machine, and drop tables that only a very long text needed.
+
+    Python workers outlive their tasks; without this each of them keeps the most that any of its tasks has used.
+    """
+    if _powers and len(_powers[0]) > PIECE_BYTES + 1:
+        _powers.clear()
+    pa.default_memory_pool().release_unused()
+    if library := _allocator():
+        library.malloc_trim(0)
+
+
 def pieces(batch: pa.RecordBatch, text: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about ``limit`` bytes of text each, at least one row."""
+    """Slices of a batch with about ``limit`` bytes of text each, at least one row; frees memory after the last."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends, at = np.cumsum(sizes), 0
     while at < batch.num_rows:
@@ -51,6 +72,7 @@ def pieces(batch: pa.RecordBatch, text: str, limit: int = PIECE_BYTES) -> Iterat
         to = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
         yield batch.slice(at, to - at)
         at = to
+    release()
 
 
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -251,3 +273,4 @@ def unpacked(batch: pa.RecordBatch, limit: int = PIECE_BYTES) -> Iterator[tuple[
         raw = b"".join(codec.decompress(x, decompressed_size=n, asbytes=True) for x, n in zip(part.column("packed").to_pylist(), size[at:to].tolist()) if n)
         yield part, np.frombuffer(raw, np.uint8), np.concatenate(([0], ends[at:to] - before))
         at = to
+    release()
