@@ -11,7 +11,7 @@ from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gravitas import preset
@@ -238,26 +238,47 @@ def cv_summary(per_fold: DataFrame) -> DataFrame:
     return per_fold.groupBy("Model").agg(*aggs)
 
 
-def tune(ready: Prepared, estimator, grid, folds: int = 5, parallelism: int = 2):
-    """Grid search over ``grid`` on the ``fold`` column of the prepared frame; the fitted search."""
-    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-    from pyspark.ml.tuning import CrossValidator
+#: Settings that the search tries. ``C`` divides the penalty, the other names are those of the classifier.
+GRID: dict[str, list[dict[str, float]]] = {
+    "Logistic Regression": [{"C": c} for c in (0.1, 1.0, 10.0)],
+    "Decision Tree": [{"maxDepth": depth} for depth in (3, 5, 10)],
+    "Random Forest": [{"maxDepth": depth, "numTrees": trees} for depth in (5, 10) for trees in (20, 50)],
+}
 
-    judge = MulticlassClassificationEvaluator(labelCol=LABEL, predictionCol="prediction", metricName="f1")
-    search = CrossValidator(
-        estimator=estimator, estimatorParamMaps=grid, evaluator=judge, numFolds=folds, foldCol="fold", parallelism=parallelism
-    )
-    with cached(ready.frame) as frame:
-        return search.fit(frame)
 
+def with_settings(estimator: Estimator, settings: Mapping[str, float]) -> Estimator:
+    """A copy of the classifier with other settings."""
+    named = {k: v for k, v in settings.items() if k != "C"}
+    if "C" in settings:
+        named["regParam"] = estimator.getOrDefault("regParam") / settings["C"]
+    return estimator.copy({estimator.getParam(k): v for k, v in named.items()})
 
-def tuning_table(df: DataFrame, name: str, search) -> DataFrame:
-    rows = []
-    for params, score in zip(search.getEstimatorParamMaps(), search.avgMetrics):
-        text = ", ".join(f"{p.name}={v}" for p, v in sorted(params.items(), key=lambda kv: kv[0].name))
-        rows.append((name, text, float(score)))
-    table = df.sparkSession.createDataFrame(rows, "Model string, params string, Best_Score double")
-    return table.withColumn("is_best", F.col("Best_Score") == table.agg(F.max("Best_Score")).scalar())
+
+def settings_text(settings: Mapping[str, float]) -> str:
+    return ", ".join(f"{k}={v}" for k, v in sorted(settings.items()))
+
+
+def tune(
+    df: DataFrame, target: str, row_id: str, features: Sequence[str], make: ModelMaker,
+    grid: Mapping[str, Sequence[Mapping[str, float]]] = GRID, folds: int = 5, parallel: int = 2,
+) -> DataFrame:
+    """``Model, params, Best_Score, is_best``: mean F1 over the folds for all settings of all models.
+
+    All settings share the assembled rows, the folds and their weights; see ``fold_scores``. Of settings that are
+    equally good the one named first is the best. Models without settings in ``grid`` are left out.
+    """
+    tried = {f"{name}: {settings_text(s)}": (name, s) for name, each in grid.items() for s in each}
+
+    def candidates(n_rows: int) -> dict[str, Estimator]:
+        base = make(n_rows)
+        return {label: with_settings(base[name], s) for label, (name, s) in tried.items() if name in base}
+
+    scores = fold_scores(df, target, row_id, features, candidates, folds, parallel)
+    means = scores.groupBy(F.col("Model").alias("label")).agg(F.avg("F1_Score").alias("Best_Score"))
+    rows = [(label, name, settings_text(s), i) for i, (label, (name, s)) in enumerate(tried.items())]
+    named = df.sparkSession.createDataFrame(rows, "label string, Model string, params string, no int")
+    place = F.row_number().over(Window.partitionBy("Model").orderBy(F.round("Best_Score", 12).desc(), "no"))
+    return named.join(means, "label").select("Model", "params", "Best_Score", (place == 1).alias("is_best"))
 
 
 def feature_importance(spark, trained: Trained, features: Sequence[str], k: int = 20) -> DataFrame:
@@ -273,8 +294,6 @@ def feature_importance(spark, trained: Trained, features: Sequence[str], k: int
 
 def feature_coefficients(spark, model, features: Sequence[str], classes: Sequence[str]) -> DataFrame:
     """Coefficients by size: the top 20 of two classes, else the top 15 of each of the first three classes."""
-    from pyspark.sql import Window
-
     matrix = model.coefficientMatrix.toArray()
     binary = len(classes) == 2
     # With two classes the multinomial form has a row per class; their difference is the binary coefficient.

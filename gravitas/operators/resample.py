@@ -7,7 +7,7 @@ shuffled order once more.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,11 +28,41 @@ def imbalance_ratio(counts: dict) -> float:
     return max(counts.values()) / min(counts.values()) if counts else 1.0
 
 
+def rows_short(counts: Mapping, strategy: str | float | Mapping = "auto") -> dict:
+    """Rows to add per class. ``auto`` (also ``not majority`` and ``all``) raises every class to the largest, ``minority``
+    the smallest one only (of equal ones the first by value), ``not minority`` all but that one. A number is the wanted
+    share of the smaller class in the larger one, for two classes; a mapping names the wanted size of some classes.
+    """
+    top, least = max(counts.values()), min(sorted(counts), key=counts.__getitem__)
+    if isinstance(strategy, Mapping):
+        unknown = [c for c in strategy if c not in counts]
+        if unknown:
+            raise ValueError(f"classes {unknown} are not in the table")
+        wanted = dict(strategy)
+    elif isinstance(strategy, str):
+        chosen = {
+            "auto": list(counts), "not majority": list(counts), "all": list(counts), "minority": [least],
+            "not minority": [c for c in counts if c != least],
+        }
+        if strategy not in chosen:
+            raise ValueError(f"unknown strategy {strategy!r}; use one of {sorted(chosen)}, a number or a mapping")
+        wanted = {c: top for c in chosen[strategy]}
+    elif len(counts) != 2:
+        raise ValueError("a number as strategy needs two classes")
+    else:
+        wanted = {least: int(strategy * top)}
+    shrunk = [c for c, n in wanted.items() if n < counts[c]]
+    if shrunk:
+        raise ValueError(f"classes {shrunk} already have more rows than wanted")
+    return {c: n - counts[c] for c, n in wanted.items() if n > counts[c]}
+
+
 def resample(
     df: DataFrame, target: str, row_id: str, features: Sequence[str], method: str = "smote",
-    k: int = preset.NEIGHBOURS, seed: int = preset.SEED, trace: bool = False,
+    k: int = preset.NEIGHBOURS, seed: int = preset.SEED, trace: bool = False, strategy: str | float | Mapping = "auto",
 ) -> DataFrame:
-    """The table with synthetic rows added until smaller classes reach the largest; ``is_synthetic`` marks them.
+    """The table with synthetic rows added until smaller classes have the size that ``strategy`` names (see
+    ``rows_short``), by default that of the largest; ``is_synthetic`` marks them.
 
     A ratio below 2, or method none, leaves the rows as they are. Synthetic rows have no id; with ``trace`` they name
     the two rows they lie between.
@@ -49,8 +79,9 @@ def resample(
     unknown = df.where(F.greatest(*[F.col(c).isNull() for c in features], F.lit(False))).limit(1).collect()
     if unknown:
         raise ValueError("features hold nulls; impute before resampling")
-    top = max(counts.values())
-    short = {c: top - n for c, n in counts.items() if n < top}
+    short = rows_short(counts, strategy)
+    if not short:
+        return originals
     small = [c for c in short if counts[c] <= k]
     if small:
         raise ValueError(f"classes {small} have no {k} neighbours")

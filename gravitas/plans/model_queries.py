@@ -6,11 +6,10 @@ check them; training and scoring run MLlib on the accident table without the inj
 
 from __future__ import annotations
 
-from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
 from gravitas.functions.columns import pearson, rounded
-from gravitas.operators import metrics, models, ranking, split
+from gravitas.operators import metrics, models, ranking
 from gravitas.plans.prepare import Preparation, prepare_splits
 from gravitas.plans.prepare_queries import SPLIT_CTES
 from gravitas.plans.profile_queries import T, describe_sql, union_all
@@ -378,6 +377,32 @@ def _(spark, sf):
     return rounded(run.train_and_evaluate())
 
 
+@query(
+    "training_facts",
+    on_accidents(
+        'select m as "Model", c as class, (select count(*) from splits where split = \'train\') as train_samples, '
+        "(select count(*) from splits where split = 'test') as test_samples, (select count(distinct c) from splits where split = 'train') as classes, "
+        "count(*) as support, true as probabilities_add_up, true as likeliest_predicted, case when m <> 'Logistic Regression' then 1.0::double end as importance "
+        "from splits, (values ('Logistic Regression'), ('Decision Tree'), ('Random Forest')) as t(m) where split = 'test' group by m, c",
+        *SPLIT_CTES,
+    ),
+)
+def _(spark, sf):
+    """What must hold for any models fitted on the splits, read off the training log, the predictions and importances."""
+    run, _ = training(spark, sf, None)
+    run.train_and_evaluate()
+    p, names = F.col("probability"), F.array(*[F.lit(c) for c in run.ready.classes])
+    total = F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
+    facts = run.predictions.groupBy("Model", F.element_at(names, F.col("actual") + 1).alias("class")).agg(
+        F.count("*").alias("support"), F.bool_and(F.abs(total - 1) < 1e-9).alias("probabilities_add_up"),
+        F.bool_and(F.element_at(p, F.col("predicted") + 1) == F.array_max(p)).alias("likeliest_predicted"),
+    )
+    every = models.feature_importance(spark, run.trained, run.features, k=len(run.features))
+    importance = every.groupBy("Model").agg(F.sum("Importance").alias("importance"))
+    log = run.training_log().select("Model", "train_samples", "test_samples", "classes")
+    return rounded(log.join(facts, "Model").join(importance, "Model", "left"))
+
+
 @query("cv_scores")
 def _(spark, sf):
     run, _ = training(spark, sf, None)
@@ -386,13 +411,8 @@ def _(spark, sf):
 
 @query("tune_hyperparameters")
 def _(spark, sf):
-    done = prepare_splits(model_rows(spark, sf))
-    folded = split.stratified_folds(done.parts["train"], T, "event_id", 3)
-    ready = models.prepare(folded, T, done.fitted.features)
-    tree = models.define_models(ready.n_rows)["Decision Tree"]
-    grid = ParamGridBuilder().addGrid(tree.maxDepth, [3, 5, 10]).build()
-    search = models.tune(ready, tree, grid, folds=3)
-    return rounded(models.tuning_table(folded, "Decision Tree", search))
+    run, _ = training(spark, sf, None)
+    return rounded(run.tune_hyperparameters("event_id"))
 
 
 @query("feature_importance")
@@ -419,7 +439,7 @@ def _(spark, sf):
 
 @query("model_catalog")
 def _(spark, sf):
-    run, _ = training(spark, sf, ["Decision Tree"])
+    run, _ = training(spark, sf, None)
     run.train_and_evaluate()
     path = fresh_path(spark, "models")
     run.save_best_model(path)
@@ -427,13 +447,21 @@ def _(spark, sf):
     return sinks.model_catalog(spark, path).drop("uid")
 
 
+#: Where the scorer of a folder of tables was saved, by application and folder.
+SCORERS: dict[tuple[str, str], str] = {}
+
+
 def scorer(spark, sf):
-    """A tree fitted, saved with its preparation, and loaded again; it turns raw rows into scored ones."""
-    run, done = training(spark, sf, ["Decision Tree"])
-    run.train_and_evaluate()
-    path = fresh_path(spark, "scorer")
-    saved.save_scorer(done.fitted, run.pipelines()["Decision Tree"], run.ready.classes, "event_id", path, spark)
-    return saved.load_scorer(spark, path)
+    """A tree fitted and saved with its preparation, once per application, and loaded each time; it turns raw rows into
+    scored ones."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in SCORERS:
+        run, done = training(spark, sf, ["Decision Tree"])
+        run.train_and_evaluate()
+        path = fresh_path(spark, "scorer")
+        saved.save_scorer(done.fitted, run.pipelines()["Decision Tree"], run.ready.classes, "event_id", path, spark)
+        SCORERS[at] = path
+    return saved.load_scorer(spark, SCORERS[at])
 
 
 @query("score_batch")

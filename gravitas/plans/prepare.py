@@ -123,10 +123,10 @@ class Preparation:
         self._note("feature_scaling", f"{scaling_method}_scaling", before, f"columns: {len(fitted.params)}")
         return self.df
 
-    def handle_imbalance(self, method: str = "smote") -> DataFrame:
+    def handle_imbalance(self, method: str = "smote", strategy: str | float | dict = "auto") -> DataFrame:
         before = self._shape()
         cols = self._features(numeric_columns(self.df))
-        self.df = resample.resample(self.df, self.target, self.row_id, cols, method)
+        self.df = resample.resample(self.df, self.target, self.row_id, cols, method, strategy=strategy)
         self.rows = self.df.count()
         self._note("imbalance_handling", f"{method}_resampling", before, f"rows: {before[0]} to {self.rows}")
         return self.df

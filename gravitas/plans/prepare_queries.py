@@ -8,6 +8,7 @@ from gravitas import preset
 from gravitas.functions.columns import rounded
 from gravitas.operators import cap, encode, features, impute, knn, resample, scale, skew, split
 from gravitas.operators.distributions import boxplot_stats
+from gravitas.operators.split import class_counts
 from gravitas.plans.profile_queries import MODE_SQL, NIGHT, NUMERIC, PARTS_SUM, T, WEATHER_MODE, bounds_sql, union_all
 from gravitas.plans.registry import on_accidents, query, r
 from gravitas.sources.accidents import accidents
@@ -663,8 +664,10 @@ SMOTE_REPS = (
 )
 
 
-def made_rows(spark, sf, method):
-    out = resample.resample(knn_points(spark, sf), T, "event_id", KNN_FEATURES, method, trace=True)
+def made_rows(spark, sf, method, strategy="auto"):
+    rows = knn_points(spark, sf)
+    wanted = strategy(class_counts(rows, T)) if callable(strategy) else strategy
+    out = resample.resample(rows, T, "event_id", KNN_FEATURES, method, trace=True, strategy=wanted)
     return doubles(out, KNN_FEATURES, "event_id", "base_id", "neighbour_id", "is_synthetic", T)
 
 
@@ -673,6 +676,26 @@ def _(spark, sf):
     return made_rows(spark, sf, "smote")
 
 
+def smote_ctes(missing: str) -> list[tuple[str, str]]:
+    """Synthetic rows where ``missing`` says how many rows a class lacks."""
+    ctes = drawn_ctes(SMOTE_REPS)
+    return [ctes[0], ("sizes", f"select c, count(*) as n, {missing} as missing from points group by c"), *ctes[2:]]
+
+
+ONE = f"case when row_number() over (order by count(*), c) = 1 then {BIGGEST} - count(*) else 0 end"
+
+
+@query("resample_minority", on_accidents(MADE, *smote_ctes(ONE)))
+def _(spark, sf):
+    return made_rows(spark, sf, "smote", "minority")
+
+
+@query("resample_to_sizes", on_accidents(MADE, *smote_ctes(f"greatest({BIGGEST} // 2 - count(*), 0)")))
+def _(spark, sf):
+    """Every class grows to half of the largest at least."""
+    return made_rows(spark, sf, "smote", lambda counts: {c: max(n, max(counts.values()) // 2) for c, n in counts.items()})
+
+
 def others_cte(k: int) -> tuple[str, str]:
     """Rows of another class among the k nearest of all rows."""
     return (

@@ -234,19 +234,26 @@ def pearson_sql(a: str, b: str, table: str) -> str:
 WORST = ["road_defect", "num_units", "weather_condition", "injuries_total"]
 
 
-@query(
-    "missing_correlation",
-    on_accidents(
+def missing_correlation_sql(threshold: float) -> str:
+    return on_accidents(
         "select * from ("
         + union_all(
             f"select '{a}' as feature_1, '{b}' as feature_2, "
             f"{pearson_sql(f'({a} is null)::int', f'({b} is null)::int', 'accidents')} as correlation"
             for i, a in enumerate(WORST) for b in WORST[i + 1 :]
         )
-        + ") where abs(correlation) > 0.005"
-    ),
-)
+        + f") where abs(correlation) > {threshold}"
+    )
+
+
+@query("missing_correlation", missing_correlation_sql(0.5))
+def _(spark, sf):
+    return rounded(quality.missing_correlation(accidents(spark, sf)))
+
+
+@query("missing_correlation_weak", missing_correlation_sql(0.005))
 def _(spark, sf):
+    """The same with a low threshold, as few nulls of these columns go together."""
     return rounded(quality.missing_correlation(accidents(spark, sf), threshold=0.005))
 
 

@@ -36,11 +36,11 @@ def _(spark, sf):
 
 @query(
     "scan_table_inferred",
-    on_accidents("select event_id, crash_date, weather_condition, num_units, injuries_total::bigint as injuries_total from accidents"),
+    on_accidents(ALL),
 )
 def _(spark, sf):
     path = fresh_path(spark, "csv")
-    acc = accidents(spark, sf).select("event_id", "crash_date", "weather_condition", "num_units", "injuries_total")
+    acc = accidents(spark, sf)
     acc.write.option("header", True).option("nullValue", "NaN").csv(path)
     return scan_table(spark, path, "csv")
 

@@ -5,14 +5,17 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from gravitas.operators import models, ranking
-from gravitas.plans import catalog
+from gravitas.functions.columns import rounded
+from gravitas.operators import models, ranking, resample
+from gravitas.plans import catalog, model_queries
 from gravitas.plans.model_queries import INPUTS, model_rows
 from gravitas.plans.prepare import Preparation, prepare_splits
 from gravitas.plans.profile import Profile
 from gravitas.plans.training import Training
 from gravitas.session import fresh_path
 from gravitas.sources import sinks, tables
+from gravitas.sources.sinks import folder_name
+from gravitas.streaming import saved, score
 
 T = "most_severe_injury"
 
@@ -86,7 +89,9 @@ def test_stream_scores_like_batch(spark, sf):
 
 def test_catalog_lists_models_without_description(spark, sf):
     rows = {r.name: r for r in catalog.queries()["model_catalog"](spark, sf).collect()}
-    assert rows["undescribed"].model_name is None and rows["Decision_Tree"].selection_metric == "F1_Score"
+    assert rows.pop("undescribed").model_name is None
+    (best,) = rows.values()
+    assert best.selection_metric == "F1_Score" and best.model_name in models.GRID and folder_name(best.model_name) == best.name
 
 
 def test_coefficients_and_importances(spark, sf):
@@ -97,9 +102,54 @@ def test_coefficients_and_importances(spark, sf):
     assert totals == {"Decision Tree": pytest.approx(1.0, abs=1e-4), "Random Forest": pytest.approx(1.0, abs=1e-4)}
 
 
-def test_tuning_marks_the_best(spark, sf):
-    rows = catalog.queries()["tune_hyperparameters"](spark, sf).collect()
-    assert len(rows) == 3 and sum(r.is_best for r in rows) >= 1
+def test_settings_replace_those_of_the_model():
+    every = models.define_models(50)
+    assert models.with_settings(every["Logistic Regression"], {"C": 10.0}).getRegParam() == pytest.approx(0.002)
+    forest = models.with_settings(every["Random Forest"], {"maxDepth": 4, "numTrees": 7})
+    assert (forest.getMaxDepth(), forest.getNumTrees(), forest.getWeightCol()) == (4, 7, models.WEIGHT)
+
+
+def test_search_over_all_models(spark, acc):
+    """One best setting per model; the fitted ones join the results and the best of all is saved."""
+    done = prepare_splits(acc.select(*INPUTS))
+    run = Training(done.parts["train"], done.parts["test"], done.fitted.features, T)
+    run.define_models(models.ADHOC)
+    grid = {"Decision Tree": [{"maxDepth": 1}, {"maxDepth": 6}], "Logistic Regression": [{"C": 1.0}, {"C": 0.0001}], "Random Forest": [{"maxDepth": 3, "numTrees": 3}]}
+    rows = run.tune_hyperparameters("event_id", grid, 3).collect()
+    assert len(rows) == 5 and {r.Model: r.params for r in rows if r.is_best}["Decision Tree"] == "maxDepth=6"
+    assert all(r.is_best == (r.Best_Score == max(x.Best_Score for x in rows if x.Model == r.Model)) for r in rows)
+    assert {r.Model for r in run.results.collect()} == {f"{n} (Tuned)" for n in grid}
+    saved_as = run.save_best_model(fresh_path(spark, "models")).first()
+    assert saved_as.model_name == run.get_best_model_name() and saved_as.model_name.endswith("(Tuned)")
+
+
+def test_stream_goes_on_where_it_stopped(spark, sf, tmp_path):
+    """A file that arrives between two runs is scored by a scorer loaded in another session; no row twice."""
+    rows = model_queries.model_rows(spark, sf)
+    half = F.col("event_id") % 2
+    path, out, at = (str(tmp_path / n) for n in ("in", "out", "at"))
+    apply = model_queries.scorer(spark, sf)
+    want = rounded(apply(rows))
+    rows.where(half == 0).write.parquet(path)
+    assert score.score_stream(spark, path, rows.schema, apply, out, at).count() == rows.where(half == 0).count()
+    rows.where(half == 1).write.mode("append").parquet(path)
+    other = spark.newSession()
+    again = saved.load_scorer(other, model_queries.SCORERS[spark.sparkContext.applicationId, sf])
+    score.score_stream(other, path, rows.schema, again, out, at)
+    got = rounded(spark.read.parquet(out))
+    assert got.count() == got.select("event_id").distinct().count() == rows.count()
+    assert got.exceptAll(want).count() == 0
+
+
+def test_rows_short_by_strategy():
+    counts = {"a": 10, "b": 4, "c": 6}
+    assert resample.rows_short(counts) == resample.rows_short(counts, "all") == {"b": 6, "c": 4}
+    assert resample.rows_short(counts, "minority") == {"b": 6} and resample.rows_short(counts, "not minority") == {"c": 4}
+    assert resample.rows_short(counts, {"c": 9, "a": 10}) == {"c": 3}
+    assert resample.rows_short({"a": 10, "b": 4}, 0.75) == {"b": 3}
+    for bad in ({"b": 3}, {"z": 9}, 0.5, "most"):
+        with pytest.raises(ValueError):
+            resample.rows_short(counts, bad)
 
 
 def test_saved_table_and_splits(spark, acc):
