@@ -1,15 +1,15 @@
 """From raw documents to token ids: every stage reads what the one before it wrote.
 
-All stages but the last return the columns of ``documents``. Rows that share a document id are one document from the
-second stage on. Rows without an id are documents of their own, unless all their columns are equal; those without a text
-as well are one, and stay only if no other row lacks an id. An empty table passes through all stages.
+All stages but the last return the columns of ``documents``. From the second stage on equal rows are one document; rows
+that share an id, or have none, and differ in any column are documents of their own. An empty table passes through all
+stages.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -21,31 +21,24 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def one_row_per_id(docs: DataFrame) -> DataFrame:
-    """Of rows with one id the one with the smallest text; of rows without an id all different ones that have a text.
+def with_own_ids(docs: DataFrame) -> DataFrame:
+    """Equal rows once, and ``doc_id`` as (id, digest of the row) where an id, or none, stands in several rows.
 
-    Texts are shuffled only if an id does repeat.
+    The ids keep their order. Texts are shuffled only if an id does repeat.
     """
     if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
         return docs
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    smallest = F.min(F.struct(F.col("text").isNull().alias("missing"), "text", *rest)).alias("row")
-    merged = docs.groupBy("doc_id").agg(smallest).select("doc_id", "row.text", *(f"row.{c}" for c in rest)).select(docs.columns)
-    unnamed = docs.where("doc_id is null and text is not null")
-    return merged if unnamed.isEmpty() else merged.where("doc_id is not null").unionByName(unnamed.distinct())
+    row = F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"}).cast("binary")
+    return docs.withColumn("doc_id", F.struct("doc_id", F.sha2(row, 256).alias("row"))).dropDuplicates(["doc_id"])
 
 
-def with_own_ids(docs: DataFrame) -> DataFrame:
-    """``doc_id`` as (id, digest of the row if it has no id) where several rows have none; ids keep their order."""
-    if docs.where("doc_id is null").limit(2).count() < 2:
-        return docs
-    row = F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"}).cast("binary")
-    return docs.withColumn("doc_id", F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.sha2(row, 256)).alias("row")))
+def plain_id(docs: DataFrame) -> Column:
+    """The id as it was before ``with_own_ids``."""
+    return F.col("doc_id.doc_id" if isinstance(docs.schema["doc_id"].dataType, StructType) else "doc_id")
 
 
 def with_plain_ids(docs: DataFrame) -> DataFrame:
-    """The ids as they were before ``with_own_ids``."""
-    return docs.withColumn("doc_id", F.col("doc_id.doc_id")) if isinstance(docs.schema["doc_id"].dataType, StructType) else docs
+    return docs.withColumn("doc_id", plain_id(docs))
 
 
 def accept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,11 +50,12 @@ def accept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """MinHash: of each group of linked documents (5 words, similarity 0.8) the one with the smallest id stays.
 
-    Documents without an id are linked with nothing and stay.
+    Of linked documents under one id the one whose row has the smallest digest stays. Documents without an id are linked
+    with nothing and stay.
     """
-    docs = one_row_per_id(docs.select(COLUMNS))
-    gone = neardup.near_duplicates(docs.where("doc_id is not null")).where("not kept").select("doc_id")
-    return anchors.same_id(docs, gone, "left_anti").select(COLUMNS)
+    docs = with_own_ids(docs.select(COLUMNS))
+    gone = neardup.near_duplicates(docs.where(plain_id(docs).isNotNull())).where("not kept").select("doc_id")
+    return with_plain_ids(anchors.same_id(docs, gone, "left_anti").select(COLUMNS))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +63,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Every document stays, with what is left of its text; ``n_chars`` follows. A null text stays null.
     """
-    docs = with_own_ids(one_row_per_id(docs.select(COLUMNS)))
+    docs = with_own_ids(docs.select(COLUMNS))
     kept = runindex.kept_texts(anchors.with_spans(docs, runindex.repeated_bytes(docs)))
     rest = docs.select("doc_id", F.col("text").isNull().alias("missing"), "lang", "source")
     text = F.when(~F.col("missing"), F.col("kept"))
@@ -80,7 +74,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: documents that hold ten consecutive words of a benchmark item (or a whole shorter
     one) go."""
-    docs = with_own_ids(one_row_per_id(docs.select(COLUMNS)))
+    docs = with_own_ids(docs.select(COLUMNS))
     found = winnow.contamination(docs, queries.table(spark, sf_dir, "benchmark"))
     return with_plain_ids(anchors.same_id(docs, found.where(F.size("spans") > 0).select("doc_id"), "left_anti").select(COLUMNS))
 
