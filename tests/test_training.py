@@ -94,6 +94,19 @@ def test_catalog_lists_models_without_description(spark, sf):
     assert best.selection_metric == "F1_Score" and best.model_name in models.GRID and folder_name(best.model_name) == best.name
 
 
+def test_large_forest_is_scored_some_trees_at_a_time(spark, monkeypatch):
+    """Groups of trees give the same votes as the forest, and what they return reads no tree."""
+    rows = [(float(i % 3), float(i * 7 % 11), float(i * 5 % 13)) for i in range(300)]
+    data = models.assembler(["x", "y"]).transform(spark.createDataFrame(rows, f"{models.LABEL} double, x double, y double"))
+    model = models.RandomForestClassifier(numTrees=7, maxDepth=5, seed=3, featuresCol=models.FEATURES, labelCol=models.LABEL).fit(data)
+    whole = models.scored(model, data).collect()
+    monkeypatch.setattr(models, "SCORED_NODES", max(t.numNodes for t in model.trees) * 2)
+    assert 1 < len(models.tree_groups(model)) < 7 and [t.numNodes for g in models.tree_groups(model) for t in g] == [t.numNodes for t in model.trees]
+    apart = models.scored(model, data)
+    assert sorted(map(repr, apart.collect())) == sorted(map(repr, whole))
+    assert "UDF" not in apart._jdf.queryExecution().executedPlan().toString()
+
+
 def test_coefficients_and_importances(spark, sf):
     coefficients = catalog.queries()["feature_coefficients"](spark, sf)
     assert coefficients.select("class").distinct().count() == 3
