@@ -35,6 +35,33 @@ def test_neighbours_through_a_tree_of_cells(spark, monkeypatch):
     assert sum(compared) < 2400 * 2400 / 10
 
 
+def test_neighbours_move_once_per_block(spark, monkeypatch):
+    """Where no cell can be closed a vector goes to each block, not to each cell; blocks far apart do not meet."""
+    rnd = np.random.default_rng(6)
+    spread = rnd.normal(0, 1, (600, 16))
+    apart = np.repeat(np.arange(4), 150)[:, None] * 1000.0 + rnd.normal(0, 1, (600, 16))
+    rows = [(i, g, [float(x) for x in p]) for g, points, at in (("spread", spread, 0), ("apart", apart, 600)) for i, p in enumerate(points, at)]
+    met, plain = [], knn.block_pairs
+
+    def seen(placed, asked):
+        pairs = plain(placed, asked)
+        met.extend(asked.join(pairs, ["g", "block", "part"]).groupBy("g").agg(F.count("*").alias("n")).collect())
+        return pairs
+
+    monkeypatch.setattr(knn, "block_pairs", seen)
+    monkeypatch.setattr(knn, "SEARCH_ROWS", 200)
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(knn, "FANOUT", 8)
+    df = spark.createDataFrame(rows, "id long, g string, vec array<double>")
+    got = {r.id: [e.id for e in r.neighbours] for r in knn.nearest_neighbours(df, 5, cell_rows=20).collect()}
+    for points, at in ((spread, 0), (apart, 600)):
+        for i in range(600):
+            d = np.sqrt(((points - points[i]) ** 2).sum(axis=1))
+            assert got[at + i] == [int(j) + at for j in np.lexsort((np.arange(600), d)) if j != i][:5]
+    moved = {r.g: r.n for r in met}
+    assert moved["spread"] <= 600 * 4 and moved["apart"] < moved["spread"]
+
+
 def test_splits_of_very_many_classes(spark):
     df = spark.range(300_000).select(F.col("id"), F.pmod(F.xxhash64("id"), F.lit(100_000)).alias("t"))
     place = F.row_number().over(Window.partitionBy("t").orderBy(order_key(F.col("id"), 42)))
