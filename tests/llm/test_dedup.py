@@ -127,3 +127,21 @@ def test_two_operators_at_once(spark, docs, rows):
         assert by_words.result() == {i: spans(m) for i, m in repeated_word_marks(texts, 35).items() if any(m)}
         assert by_bytes.result() == {i: spans(m) for i, m in kept_after_bytes(texts, 100).items() if any(m)}
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") != "true"
+
+
+def test_only_texts_with_spans_are_shuffled(spark):
+    """At every size: a few spans are not sent to all tasks instead, and rows of one id, null too, get the same spans."""
+    from gravitas.llm import anchors
+    from gravitas.llm import text as tx
+
+    rows = [(i, f"text {i}") for i in range(300)] + [(7, "again"), (None, "no id"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = [(7, [(0, 1)]), (11, [(1, 2)]), (None, [(0, 2)])]
+    spans_of = spark.createDataFrame(pairs, "doc_id long, spans array<struct<start:int,end:int>>").coalesce(1)
+    with tx.scratch():
+        out = anchors.with_spans(df, tx.written(spans_of, "spans"))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and "Union" in plan
+        got = sorted((r["doc_id"] or -1, r["size"], [tuple(s) for s in r["spans"]]) for r in out.collect())
+    want = dict(pairs)
+    assert got == sorted((i or -1, len(t or ""), want.get(i, [])) for i, t in rows)
