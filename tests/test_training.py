@@ -107,6 +107,24 @@ def test_large_forest_is_scored_some_trees_at_a_time(spark, monkeypatch):
     assert "UDF" not in apart._jdf.queryExecution().executedPlan().toString()
 
 
+def test_many_training_rows_are_dealt_to_all_cores(spark, monkeypatch):
+    """One part of a file is fitted on by all cores; the same rows lie in the same order each time, copies and nulls too."""
+    cores = spark.sparkContext.defaultParallelism
+    rows = [(None if i % 50 == 0 else i // 2, "ab"[i % 2], float(i // 4 % 7)) for i in range(4000)]
+    one = spark.createDataFrame(rows, "event_id long, kind string, x double").coalesce(1)
+    few = models.prepare(one, "kind", ["x"]).frame
+    assert few.rdd.getNumPartitions() == 1
+    monkeypatch.setattr(models, "SPREAD_FROM", 1000)
+    ready = models.prepare(one, "kind", ["x"])
+    sizes = [len(part) for part in ready.frame.rdd.glom().collect()]
+    assert ready.n_rows == 4000 and len(sizes) == cores and max(sizes) <= 2 * 4000 / cores
+    assert ready.frame.exceptAll(few).isEmpty() and few.exceptAll(ready.frame).isEmpty()
+    turned = models.prepare(one.orderBy(F.desc("event_id"), "kind"), "kind", ["x"]).frame
+    assert list(map(repr, turned.collect())) == list(map(repr, ready.frame.collect()))
+    monkeypatch.setattr(models, "PART_ROWS", 4000 // cores // 2)
+    assert models.prepare(one, "kind", ["x"]).frame.rdd.getNumPartitions() == 2 * cores
+
+
 def test_coefficients_and_importances(spark, sf):
     coefficients = catalog.queries()["feature_coefficients"](spark, sf)
     assert coefficients.select("class").distinct().count() == 3
