@@ -13,7 +13,7 @@ from gravitas.plans.profile_queries import (
     COLUMNS, MEASURES, NIGHT, PARTS_SUM, RISK_CASE, RUSH, T, case_of, pairs_sql, union_all,
 )
 from gravitas.plans.registry import on_accidents, query, r, with_ctes
-from gravitas.session import cached, fresh_path
+from gravitas.session import cached, case_sensitive, fresh_path
 from gravitas.sources import sinks, tables
 from gravitas.sources.accidents import accidents
 from gravitas.sources.tables import scan_table
@@ -275,7 +275,8 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    return crosstabs.crosstab_wide(scan_table(spark, f"{sf}/lineitem.parquet"), "l_linenumber", "l_returnflag", FLAGS)
+    # Columns a and A: only a case-sensitive session can write the table or read it by name.
+    return crosstabs.crosstab_wide(scan_table(case_sensitive(spark), f"{sf}/lineitem.parquet"), "l_linenumber", "l_returnflag", FLAGS)
 
 
 # --- scalar functions
